@@ -1,0 +1 @@
+"""Intentionally empty: every input is a complete batch table, so nothing here streams."""
