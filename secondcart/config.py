@@ -25,11 +25,11 @@ class Config:
     # Multiplies every tree count, in the base models and in the search spaces.
     tree_scale: float = 1.0
     # How many independent fits the driver keeps in flight at once.
-    parallelism: int = 4
+    parallelism: int = 8
 
     def quick(self) -> "Config":
         """Fewer trials, folds, replicates and trees; never fewer rows."""
-        return replace(self, search_trials=2, cv_folds=3, bootstrap_replicates=100, tree_scale=0.03)
+        return replace(self, search_trials=2, cv_folds=3, bootstrap_replicates=100, tree_scale=0.02)
 
     def trees(self, count: int) -> int:
         return max(2, round(count * self.tree_scale))

@@ -36,19 +36,15 @@ def bucket_edges(
 ) -> list[float]:
     """Inner bucket bounds so that a bucket holds about ``rows_per_window`` rows.
 
-    Empty when all rows fit one window. One pass; the driver gets at most MAX_BUCKETS numbers.
-    They are taken to the driver so that every later use in a plan sees the same bounds.
+    Empty when all rows fit one window, which a count decides. The driver gets at most
+    MAX_BUCKETS numbers; they come here so that every use in a plan sees the same bounds.
     """
-    shares = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    row = values.agg(
-        F.count(column).alias("n"),
-        F.percentile_approx(column, shares, 4 * MAX_BUCKETS).alias("bounds"),
-    ).first()
-    wanted = min(MAX_BUCKETS, math.ceil(row["n"] / rows_per_window))
+    wanted = min(MAX_BUCKETS, math.ceil(values.count() / rows_per_window))
     if wanted <= 1:
         return []
-    step = MAX_BUCKETS / wanted
-    return sorted({float(row["bounds"][round(i * step) - 1]) for i in range(1, wanted)})
+    shares = [i / wanted for i in range(1, wanted)]
+    numeric = values.select(F.col(column).cast("double").alias("value"))
+    return sorted(set(numeric.approxQuantile("value", shares, 1 / (4 * wanted))))
 
 
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
@@ -192,14 +188,19 @@ def exact_quantiles(
 def average_ranks(df: DataFrame, value: str, groups: Sequence[str], weight: str) -> DataFrame:
     """Rank of every distinct value per group, ties sharing their mean rank.
 
-    Columns: groups, value, ``rank`` and ``weight`` (rows with the value).
+    ``centered_rank`` is the distance from the mean rank of the group: half the rows below minus
+    half the rows above, which needs no group total and is exactly 0 for a constant.
     """
     counts = df.groupBy(*groups, value).agg(F.sum(weight).alias("_n"))
-    return running_totals(counts, groups, value, {"_upto": F.col("_n")}).select(
+    edges = bucket_edges(counts, value)
+    n = {"_upto": F.col("_n")}, {"_from": F.col("_n")}
+    upward = running_totals(counts, groups, value, n[0], edges=edges)
+    both = running_totals(upward, groups, value, n[1], descending=True, edges=edges)
+    return both.select(
         *groups,
         value,
         (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("rank"),
-        F.col("_n").alias("weight"),
+        ((F.col("_upto") - F.col("_from")) / 2.0).alias("centered_rank"),
     )
 
 
