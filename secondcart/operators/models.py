@@ -25,7 +25,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secondcart.config import Config
@@ -63,9 +63,9 @@ def run_parallel(jobs: Sequence[Callable[[], object]], parallelism: int) -> list
     if not jobs:
         return []
     pool = ThreadPool(min(parallelism, len(jobs)))
-    spark_jobs = [inheritable_thread_target(job) for job in jobs]
+    inherits_session = inheritable_thread_target(SparkSession.active())
     try:
-        return pool.map(lambda job: job(), spark_jobs)
+        return pool.map(lambda job: job(), [inherits_session(job) for job in jobs])
     finally:
         pool.close()
 

@@ -191,7 +191,7 @@ def first_order_value(spark: SparkSession, folder: str) -> DataFrame:
     )
     joined = _sample(spark, folder).join(totals, "order_id", "left")
     return joined.select(
-        ID, F.round(F.coalesce("first_value", F.lit(0.0)), 2).alias("first_value")
+        ID, F.round(F.coalesce("first_value", F.lit(0.0)), 6).alias("first_value")
     )
 
 
@@ -201,7 +201,7 @@ def first_order_freight(spark: SparkSession, folder: str) -> DataFrame:
         study(spark, folder).tables["items"], "order_id", "freight_value", "first_freight"
     )
     return _sample(spark, folder).join(totals, "order_id", "left").select(
-        ID, F.round("first_freight", 2).alias("first_freight")
+        ID, F.round("first_freight", 6).alias("first_freight")
     )
 
 
@@ -272,8 +272,7 @@ def imputed_features(spark: SparkSession, folder: str) -> DataFrame:
         study(spark, folder).imputed().select(
             ID, "first_value", "slack_days", "rating", "has_text", "sent_neg", "sent_pos",
             "durable",
-        ),
-        4,
+        )
     )
 
 
@@ -287,7 +286,7 @@ def net_sentiment(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def modeling_base(spark: SparkSession, folder: str) -> DataFrame:
     """The customer table from the sources to the end, nothing used again."""
-    return rounded(new_study(spark, folder).modeling_base(), 4)
+    return rounded(new_study(spark, folder).modeling_base())
 
 
 @query
