@@ -47,16 +47,21 @@ def order_item_summary(items: DataFrame, item_order: Sequence[str]) -> DataFrame
     )
 
 
-def with_category(first: DataFrame, products: DataFrame, category: DataFrame) -> DataFrame:
-    """Adds the translated product category of ``product_id``."""
+def product_categories(products: DataFrame, category: DataFrame) -> DataFrame:
+    """Translated category of every product. Joined here, where rows are narrow and few, and not
+    on the sample, which would be shuffled once more."""
     return (
-        first.join(products.select("product_id", "product_category_name"), "product_id", "left")
+        products.select("product_id", "product_category_name")
         .join(category, "product_category_name", "left")
-        .withColumnRenamed("product_category_name_english", "category")
-        .drop("product_category_name")
+        .select("product_id", F.col("product_category_name_english").alias("category"))
     )
 
 
+def with_category(first: DataFrame, products: DataFrame, category: DataFrame) -> DataFrame:
+    """Adds the translated product category of ``product_id``."""
+    return first.join(product_categories(products, category), "product_id", "left")
+
+
 def map_flag(
     category: Column,
     mapping: Mapping[str, int] = CATEGORY_DURABILITY,
@@ -111,10 +116,16 @@ def top_k_group(df: DataFrame, column: str, k: int, other: str) -> Column:
 
 
 def alpha_code(df: DataFrame, column: str, max_levels: int = 1000) -> Column:
-    """Position of a level in the alphabetical order of the levels of ``df``, from 0."""
-    levels = df.select(column).distinct().orderBy(column).limit(max_levels)
-    sorted_levels = levels.agg(F.sort_array(F.collect_list(column))).scalar()
-    return (F.array_position(sorted_levels, F.col(column)) - 1).cast("int")
+    """Position of a level in the alphabetical order of the levels of ``df``, from 0.
+
+    More than ``max_levels`` levels are an error: the level list is held by every task.
+    """
+    levels = df.select(column).distinct().limit(max_levels + 1)
+    all_levels = F.collect_set(column)
+    checked = F.when(F.size(all_levels) <= max_levels, F.sort_array(all_levels)).otherwise(
+        F.raise_error(F.lit(f"{column} has more than {max_levels} levels"))
+    )
+    return (F.array_position(levels.agg(checked).scalar(), F.col(column)) - 1).cast("int")
 
 
 def median(df: DataFrame, column: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1024
+MAX_SMALL_ROWS = 10_000
 SALTS = 64
 
 
@@ -38,3 +39,14 @@ def lookup_by_hot_key(
         "_salt", F.when(F.col("_salts").isNotNull(), row_salt).otherwise(0)
     )
     return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt", "_salts")
+
+
+def small_table(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+    """A report-sized table as local rows, so that joining it never shuffles the other side.
+
+    The size is checked, not assumed: more than ``max_rows`` rows are an error.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)

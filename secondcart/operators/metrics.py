@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondcart.functions.hashing import hash32
-from secondcart.operators.joins import lookup_by_hot_key
+from secondcart.operators.joins import lookup_by_hot_key, small_table
 from secondcart.operators.order_stats import (
     ROWS_PER_WINDOW,
     after_cutoff,
@@ -85,16 +85,18 @@ def average_precision(scored: DataFrame, groups: Sequence[str] = ("model",)) ->
 
 
 def _class_totals(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
-    return scored.groupBy(*groups).agg(
+    """Positives and negatives per group, as local rows: there are few models."""
+    totals = scored.groupBy(*groups).agg(
         F.sum("label").cast("bigint").alias("n_pos"),
         F.sum(1 - F.col("label")).cast("bigint").alias("n_neg"),
     )
+    return small_table(totals)
 
 
 def roc_curve(scored: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
     """All points of the ROC curve; the point above every score has a NULL threshold."""
     totals = _class_totals(scored, groups)
-    points = cum_counts(scored, groups).join(totals, list(groups)).select(
+    points = cum_counts(scored, groups).join(F.broadcast(totals), list(groups)).select(
         *groups,
         F.col("score").alias("threshold"),
         F.try_divide("fp", "n_neg").alias("fpr"),
@@ -113,7 +115,7 @@ def pr_curve(scored: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame
     """All points of the precision-recall curve; the end point (recall 0, precision 1) has a
     NULL threshold."""
     totals = _class_totals(scored, groups)
-    points = cum_counts(scored, groups).join(totals, list(groups)).select(
+    points = cum_counts(scored, groups).join(F.broadcast(totals), list(groups)).select(
         *groups,
         F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -146,7 +148,7 @@ def f1_threshold(scored: DataFrame, groups: Sequence[str] = ("model",)) -> DataF
 
 def _scored_with(scored: DataFrame, thresholds: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Scores with their group's threshold and the prediction ``score >= threshold``."""
-    limits = thresholds.select(*groups, "threshold")
+    limits = small_table(thresholds.select(*groups, "threshold"))
     return scored.join(F.broadcast(limits), list(groups)).withColumn(
         "predicted", (F.col("score") >= F.col("threshold")).cast("int")
     )
@@ -188,7 +190,8 @@ def threshold_metrics(
 
 
 def lift_top(
-    scored: DataFrame, id_column: str, fraction: float, seed: int, rows_per_window: int = ROWS_PER_WINDOW
+    scored: DataFrame, id_column: str, fraction: float, seed: int,
+    rows_per_window: int = ROWS_PER_WINDOW,
 ) -> DataFrame:
     """Precision, capture and lift among the ``ceil(fraction * rows)`` highest scores per model.
 
@@ -201,7 +204,7 @@ def lift_top(
     )
     seen = F.col("tp") + F.col("fp")
     boundary = (
-        counted.join(totals, "model")
+        counted.join(F.broadcast(totals), "model")
         .where((seen >= F.col("n_top")) & (seen - F.col("pos") - F.col("neg") < F.col("n_top")))
         .select(
             "model",
@@ -233,7 +236,7 @@ def lift_top(
     tied_positives = tied.where(taken).groupBy("model").agg(F.sum("label").alias("pos_tied"))
     hits = F.col("pos_above") + F.coalesce(F.col("pos_tied"), F.lit(0))
     precision = hits / F.col("n_top")
-    return limits.join(F.broadcast(tied_positives), "model", "left").select(
+    return limits.join(tied_positives, "model", "left").select(
         "model",
         "n_top",
         precision.alias("precision_top"),
@@ -316,9 +319,10 @@ def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataF
     )
 
     def ranked(frame: DataFrame, value: str) -> DataFrame:
-        ranks = average_ranks(pairs, value, ["_g"], "_w").join(
-            pairs.groupBy("_g", value).agg(F.count("*").alias("_pairs")), ["_g", value]
+        counts = pairs.groupBy("_g", value).agg(
+            F.sum("_w").alias("_n"), F.count("*").alias("_pairs")
         )
+        ranks = average_ranks(counts, value, ["_g"], "_n")
         keyed = ranks.select(
             F.struct("_g", value).alias("_key"),
             F.col("centered_rank").alias(f"{value}_rank"),

@@ -32,14 +32,16 @@ def hash_bucket(h: Column) -> Column:
 
 
 def bucket_edges(
-    values: DataFrame, column: str, rows_per_window: int = ROWS_PER_WINDOW
+    values: DataFrame, column: str, rows_per_window: int = ROWS_PER_WINDOW, rows: int | None = None
 ) -> list[float]:
     """Inner bucket bounds so that a bucket holds about ``rows_per_window`` rows.
 
-    Empty when all rows fit one window, which a count decides. The driver gets at most
-    MAX_BUCKETS numbers; they come here so that every use in a plan sees the same bounds.
+    Empty when all rows fit one window, which the number of rows decides (counted unless given).
+    The driver gets at most MAX_BUCKETS numbers; they come here so that every use in a plan sees
+    the same bounds.
     """
-    wanted = min(MAX_BUCKETS, math.ceil(values.count() / rows_per_window))
+    rows = values.count() if rows is None else rows
+    wanted = min(MAX_BUCKETS, math.ceil(rows / rows_per_window))
     if wanted <= 1:
         return []
     shares = [i / wanted for i in range(1, wanted)]
@@ -137,71 +139,51 @@ def dense_index(df: DataFrame, h: Column, id_column: str, name: str = "row_idx")
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    shares: Sequence[float],
-    groups: Sequence[str] = (),
-    rows_per_window: int = ROWS_PER_WINDOW,
+    df: DataFrame, value: str, shares: Sequence[float], rows_per_window: int = ROWS_PER_WINDOW
 ) -> DataFrame:
-    """Quantiles with linear interpolation, in an array column ``quantiles`` per group.
+    """Quantiles with linear interpolation, as one row with an array column ``quantiles``.
 
     Equal values are counted together before they are ordered, so a value that fills a third of
-    the rows is one row here. NULL values are left out.
+    the rows is one row here. NULL values are left out; without values the quantiles are NULL.
     """
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias("_v"))
+        .groupBy(F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
-    cumulated = running_totals(
-        counts, groups, "_v", {"_upto": F.col("_n")}, rows_per_window=rows_per_window
-    )
-    totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
-    if groups:
-        cumulated = cumulated.join(totals, list(groups))
-    else:
-        cumulated = cumulated.withColumn("_total", totals.select("_total").scalar())
-
-    def position(share: float) -> Column:
-        return (F.col("_total") - 1) * F.lit(float(share))
-
-    def value_at(index: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > index, F.col("_v")))
-
-    marks = []
-    for i, share in enumerate(shares):
-        marks.append(value_at(F.floor(position(share))).alias(f"_low{i}"))
-        marks.append(value_at(F.ceil(position(share))).alias(f"_high{i}"))
-    interpolated = [
-        F.col(f"_low{i}")
-        + (F.col(f"_high{i}") - F.col(f"_low{i}"))
-        * (position(share) - F.floor(position(share)))
-        for i, share in enumerate(shares)
-    ]
-    return (
-        cumulated.groupBy(*groups)
-        .agg(F.max("_total").alias("_total"), *marks)
-        .select(*groups, F.array(*interpolated).alias("quantiles"))
-    )
+    size = counts.agg(F.count("*").alias("distinct"), F.sum("_n").alias("rows")).first()
+    edges = bucket_edges(counts, "_v", rows_per_window, size["distinct"])
+    cumulated = running_totals(counts, [], "_v", {"_upto": F.col("_n")}, edges=edges)
+
+    def value_at(position: int) -> Column:
+        return F.min(F.when(F.col("_upto") > position, F.col("_v")))
 
+    quantiles = []
+    for share in shares:
+        position = ((size["rows"] or 1) - 1) * share
+        low, high = value_at(math.floor(position)), value_at(math.ceil(position))
+        quantiles.append(low + (high - low) * (position - math.floor(position)))
+    return cumulated.agg(F.array(*quantiles).alias("quantiles"))
 
-def average_ranks(df: DataFrame, value: str, groups: Sequence[str], weight: str) -> DataFrame:
-    """Rank of every distinct value per group, ties sharing their mean rank.
 
-    ``centered_rank`` is the distance from the mean rank of the group: half the rows below minus
-    half the rows above, which needs no group total and is exactly 0 for a constant.
+def average_ranks(counts: DataFrame, value: str, groups: Sequence[str], weight: str) -> DataFrame:
+    """Ranks of distinct values per group, ties sharing their mean rank.
+
+    ``counts`` has one row per group and value, with the number of rows in ``weight``; its other
+    columns are kept. ``centered_rank`` is the distance from the mean rank of the group: half the
+    rows below minus half the rows above, which needs no group total and is exactly 0 for a
+    constant.
     """
-    counts = df.groupBy(*groups, value).agg(F.sum(weight).alias("_n"))
     edges = bucket_edges(counts, value)
-    n = {"_upto": F.col("_n")}, {"_from": F.col("_n")}
-    upward = running_totals(counts, groups, value, n[0], edges=edges)
-    both = running_totals(upward, groups, value, n[1], descending=True, edges=edges)
-    return both.select(
-        *groups,
-        value,
-        (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("rank"),
-        ((F.col("_upto") - F.col("_from")) / 2.0).alias("centered_rank"),
-    )
+    n = F.col(weight)
+    upward = running_totals(counts, groups, value, {"_upto": n}, edges=edges)
+    both = running_totals(upward, groups, value, {"_from": n}, descending=True, edges=edges)
+    return both.withColumns(
+        {
+            "rank": F.col("_upto") - (n - 1) / 2.0,
+            "centered_rank": (F.col("_upto") - F.col("_from")) / 2.0,
+        }
+    ).drop("_upto", "_from")
 
 
 def hash_cutoffs(

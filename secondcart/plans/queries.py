@@ -162,7 +162,7 @@ def split_cart_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def median_days_to_repurchase(spark: SparkSession, folder: str) -> DataFrame:
-    positives = cohort.sample_of(study(spark, folder).cohort()).where("target = 1")
+    positives = study(spark, folder).features.where("target = 1")
     return exact_quantiles(positives, "days_to_repeat", [0.5]).select(
         F.col("quantiles")[0].alias("median_days")
     )

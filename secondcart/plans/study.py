@@ -158,10 +158,11 @@ class Study:
     @cached_property
     def searches(self) -> list[models.SearchResult]:
         with models.persisted(self.train) as train:
-            return [
-                models.search(space, train, self.tree_columns, self.config)
+            jobs = [
+                lambda space=space: models.search(space, train, self.tree_columns, self.config)
                 for space in models.SEARCH_SPACES
             ]
+            return models.run_parallel(jobs, self.config.parallelism)
 
     @cached_property
     def final_specs(self) -> list[models.ModelSpec]:
