@@ -25,4 +25,5 @@ def cut_right(value: Column, upper_edges: Sequence[float], n_bins: int | None =
 
 
 def label_of(index: Column, labels: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(label) for label in labels]), index + 1)
+    # Not element_at: with a NULL index it returns an element of an array without NULLs.
+    return F.get(F.array(*[F.lit(label) for label in labels]), index)

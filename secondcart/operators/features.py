@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from secondcart.functions.binning import label_of
 from secondcart.functions.dates import elapsed_days_floor
 from secondcart.functions.lookups import CATEGORY_DURABILITY, TREE_FEATURES, lookup
 from secondcart.operators.order_stats import exact_quantiles
@@ -203,7 +204,7 @@ def modeling_base(imputed: DataFrame) -> DataFrame:
 
 def decode_levels(base: DataFrame, code: str, levels: Sequence[str], name: str) -> DataFrame:
     """Names of the codes of :func:`alpha_code`; an unexpected code decodes to NULL."""
-    return base.withColumn(name, F.get(F.array(*[F.lit(v) for v in levels]), F.col(code)))
+    return base.withColumn(name, label_of(F.col(code), levels))
 
 
 def net_sentiment() -> Column:

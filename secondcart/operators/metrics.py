@@ -16,6 +16,7 @@ from pyspark.ml.param.shared import HasLabelCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from secondcart.functions.binning import label_of
 from secondcart.functions.hashing import hash32
 from secondcart.operators.joins import lookup_by_hot_key, small_table
 from secondcart.operators.order_stats import (
@@ -361,7 +362,7 @@ def classification_report(predicted: DataFrame, names: Sequence[str]) -> DataFra
             F.sum(F.when(is_predicted, n).otherwise(0)).alias("n_predicted"),
         )
         .select(
-            F.element_at(F.array(*[F.lit(x) for x in names]), F.col("class") + 1).alias("class"),
+            label_of(F.col("class"), names).alias("class"),
             F.coalesce(F.try_divide("tp", "n_predicted"), F.lit(0.0)).alias("precision"),
             F.coalesce(F.try_divide("tp", "support"), F.lit(0.0)).alias("recall"),
             F.coalesce(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from secondcart.functions.binning import label_of
 from secondcart.functions.lookups import POLARITY_NAMES, RATING_POLARITY, lookup
 from secondcart.functions.text import consolidated_text, has_text
 from secondcart.operators.models import run_parallel
@@ -99,8 +100,9 @@ def cross_fit(
 
 def sentiment_table(reviews: DataFrame, scored: DataFrame) -> DataFrame:
     """Rows with a text and their scores, then rows without one, in the fixed column order."""
-    names = F.array(*[F.lit(n) for n in POLARITY_NAMES])
-    with_scores = scored.withColumn("sentiment_label", F.get(names, F.col("prediction")))
+    with_scores = scored.withColumn(
+        "sentiment_label", label_of(F.col("prediction"), POLARITY_NAMES)
+    )
     without = reviews.where(F.col("has_text") == 0)
     return (
         with_scores.select(*OUTPUT_COLUMNS)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secondcart.config import Config
-from secondcart.functions.binning import cut_right
+from secondcart.functions.binning import cut_right, label_of
 from secondcart.functions.hashing import hash32
 from secondcart.functions.lookups import (
     DELIVERY_EDGES,
@@ -736,8 +736,8 @@ def polarity_label(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def label_distribution(spark: SparkSession, folder: str) -> DataFrame:
     with_text = study(spark, folder).reviews().where("has_text = 1")
-    names = F.array(*[F.lit(n) for n in POLARITY_NAMES])
-    return describe.frequency(with_text.select(F.get(names, F.col("label")).alias("label")), "label")
+    named = with_text.select(label_of(F.col("label"), POLARITY_NAMES).alias("label"))
+    return describe.frequency(named, "label")
 
 
 @query

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from secondcart.sources.schemas import SCHEMAS
+from secondcart.sources.schemas import table_schema
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -40,9 +40,9 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | None = Non
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
     """One logical table by name."""
     if fmt == "parquet":
-        return read_parquet(spark, path, SCHEMAS[name])
+        return read_parquet(spark, path, table_schema(name))
     if fmt == "csv":
-        return read_csv(spark, path, SCHEMAS[name], multiline_text=name == "reviews")
+        return read_csv(spark, path, table_schema(name), multiline_text=name == "reviews")
     raise ValueError(f"unsupported format {fmt!r}: use 'csv' or 'parquet'")
 
 

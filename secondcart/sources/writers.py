@@ -27,19 +27,19 @@ def write_result(df: DataFrame, path: str, decimals: int | None = 4) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir`` (or set on the context).
 
     Only a local session may fall back to a temporary folder: on a cluster other hosts could
     not read it, so an unset folder is an error there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
-    folder = tempfile.mkdtemp(prefix="secondcart-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="secondcart-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
