@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from secondcart.functions.text import consolidated_text, has_text
 from secondcart.operators.models import run_parallel
 from secondcart.operators.sampling import stratified_folds
 
-TEXT_FEATURES = 1 << 16
+TEXT_FEATURES = 1 << 15
 OUTPUT_COLUMNS = [
     "review_id", "order_id", "review_score", "review_creation_date", "has_text",
     "prob_neg", "prob_neu", "prob_pos", "sentiment_label", "fold",
@@ -45,13 +45,25 @@ def with_review_text(reviews: DataFrame) -> DataFrame:
     )
 
 
-def bag_of_words_scorer(train: DataFrame, rows: DataFrame) -> DataFrame:
-    """Multinomial logistic regression on hashed, inversely weighted words of the whole text."""
+def hashed_words(rows: DataFrame) -> DataFrame:
+    """Adds ``counts``, the hashed words of the whole text. Nothing is learnt here, so it can be
+    done once for all folds."""
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\W+")
     counts = HashingTF(inputCol="words", outputCol="counts", numFeatures=TEXT_FEATURES)
-    idf = IDF(inputCol="counts", outputCol="features")
-    regression = LogisticRegression(family="multinomial", regParam=0.01, maxIter=100)
-    model = Pipeline(stages=[words, counts, idf, regression]).fit(train.select("text", "label"))
+    return counts.transform(words.transform(rows)).drop("words")
+
+
+def bag_of_words_scorer(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """Multinomial logistic regression on inversely weighted words; the length of a text is
+    divided out."""
+    idf = IDF(inputCol="counts", outputCol="weighted")
+    unit = Normalizer(inputCol="weighted", outputCol="features")
+    regression = LogisticRegression(
+        family="multinomial", regParam=1e-4, standardization=False, maxIter=30, tol=1e-5
+    )
+    if "counts" not in rows.columns:
+        train, rows = hashed_words(train), hashed_words(rows)
+    model = Pipeline(stages=[idf, unit, regression]).fit(train.select("label", "counts"))
     return model.transform(rows).withColumn("probability", vector_to_array("probability"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondcart.config import Config
@@ -23,7 +23,30 @@ from secondcart.sources.writers import materialize
 ITEM_ORDER = ("order_item_id", "product_id")
 
 
+def with_split_and_folds(base: DataFrame, config: Config) -> DataFrame:
+    """Adds ``split``, and ``fold`` in the training rows. Membership depends on the seed and the
+    person only, so any job that reads the same persons finds the same rows in the same place."""
+    split = sampling.stratified_split(
+        base, models.ID, models.LABEL, config.test_share, config.seed
+    )
+    train = sampling.stratified_folds(
+        split.where("split = 'train'"), models.ID, models.LABEL, config.cv_folds, config.seed
+    )
+    test = split.where("split = 'test'").withColumn("fold", F.lit(None).cast("int"))
+    return train.unionByName(test)
+
+
+def proportion_comparisons() -> dict[str, tuple[Column, Column]]:
+    return {
+        "not durable / durable": (F.col("durable") == 0, F.col("durable") == 1),
+        "on time / late": (F.col("late_flag") == 0, F.col("late_flag") == 1),
+        "rating 4-5 / rating 1-2": (F.col("rating") >= 4, F.col("rating") <= 2),
+    }
+
+
 class Study:
+    """Lazy plans, and tables and models that are made once and kept."""
+
     def __init__(
         self,
         tables: Mapping[str, DataFrame],
@@ -76,15 +99,7 @@ class Study:
     @cached_property
     def rows(self) -> DataFrame:
         """The base with ``split`` and, in the training rows, ``fold``."""
-        c = self.config
-        split = sampling.stratified_split(
-            self.base, models.ID, models.LABEL, c.test_share, c.seed
-        )
-        train = sampling.stratified_folds(
-            split.where("split = 'train'"), models.ID, models.LABEL, c.cv_folds, c.seed
-        )
-        test = split.where("split = 'test'").withColumn("fold", F.lit(None).cast("int"))
-        return materialize(train.unionByName(test), "rows")
+        return materialize(with_split_and_folds(self.base, self.config), "rows")
 
     def check(self) -> None:
         """Raises when an order has no person, or a join repeated or lost a person."""
@@ -113,12 +128,7 @@ class Study:
         return inference.logit_scores(self.logit, self.design("test"), self.spec.columns())
 
     def proportion_tests(self) -> DataFrame:
-        comparisons = {
-            "not durable / durable": (F.col("durable") == 0, F.col("durable") == 1),
-            "on time / late": (F.col("late_flag") == 0, F.col("late_flag") == 1),
-            "rating 4-5 / rating 1-2": (F.col("rating") >= 4, F.col("rating") <= 2),
-        }
-        return two_proportion_tests(self.base, comparisons, self.config.alpha)
+        return two_proportion_tests(self.base, proportion_comparisons(), self.config.alpha)
 
     # --- classifiers --------------------------------------------------------------------------
 
@@ -224,9 +234,9 @@ class Study:
     @cached_property
     def text_scores(self) -> DataFrame:
         labelled = self.reviews().where("has_text = 1")
-        with models.persisted(labelled) as rows:
+        with models.persisted(sentiment.hashed_words(labelled)) as rows:
             scored = sentiment.cross_fit(rows, self.config.text_folds, self.config.seed)
-            return materialize(scored, "text-scores")
+            return materialize(scored.drop("text", "counts"), "text-scores")
 
     def sentiment_table(self) -> DataFrame:
         return sentiment.sentiment_table(self.reviews(), self.text_scores)
