@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secondcart.functions.distributions import NORMAL_975, chi_square_upper, normal_two_sided
+from secondcart.operators.caching import persisted
 from secondcart.operators.describe import mode
 from secondcart.operators.features import net_sentiment
 from secondcart.operators.order_stats import exact_quantiles
@@ -119,7 +120,8 @@ def fit_logit(
     glr = GeneralizedLinearRegression(
         family="binomial", link="logit", regParam=0.0, maxIter=300, tol=1e-10, labelCol=label
     )
-    return glr.fit(_assembled(train, columns))
+    with persisted(_assembled(train, columns).select(label, "features")) as rows:
+        return glr.fit(rows)
 
 
 def vif(train: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -48,16 +47,6 @@ BALANCED = "balanced"
 POSITIVE_RATIO = "positive ratio"
 
 
-@contextmanager
-def persisted(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep a table for the fits inside the block; lost blocks are recomputed from its source."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def run_parallel(jobs: Sequence[Callable[[], object]], parallelism: int) -> list:
     """Start independent Spark jobs from a few driver threads."""
     if not jobs:

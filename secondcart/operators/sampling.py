@@ -40,9 +40,13 @@ def stratified_split(
     )
     # Without a cutoff the share rounds to no row of the stratum.
     is_train = _per_stratum(
-        stratum, cutoffs, lambda cuts: after_cutoff(h, id_column, cuts[0]) if cuts else F.lit(True)
+        stratum,
+        cutoffs,
+        lambda cuts: after_cutoff(F.col("_h"), id_column, cuts[0]) if cuts else F.lit(True),
     )
-    return df.withColumn("split", F.when(is_train, "train").otherwise("test"))
+    # The hash is a column of its own, so that it is computed once per row.
+    split = F.when(is_train, "train").otherwise("test")
+    return df.withColumn("_h", h).withColumn("split", split).drop("_h")
 
 
 def _tile_ends(n: int, tiles: int) -> list[int]:
@@ -52,21 +56,33 @@ def _tile_ends(n: int, tiles: int) -> list[int]:
 
 
 def stratified_folds(
-    df: DataFrame, id_column: str, stratum: str, folds: int, seed: int, tag: str = "fold"
+    df: DataFrame,
+    id_column: str,
+    stratum: str,
+    folds: int,
+    seed: int,
+    tag: str = "fold",
+    within: Column | None = None,
 ) -> DataFrame:
-    """Add ``fold`` (0..folds-1): each stratum is cut into folds that differ by at most one row."""
+    """Add ``fold`` (0..folds-1): each stratum is cut into folds that differ by at most one row.
+
+    With ``within`` only those rows are dealt out; the others get NULL.
+    """
     h = hash32(seed, tag, id_column)
-    cutoffs = hash_cutoffs(df, stratum, h, id_column, lambda _, n: _tile_ends(n, folds))
+    dealt = df if within is None else df.where(within)
+    cutoffs = hash_cutoffs(dealt, stratum, h, id_column, lambda _, n: _tile_ends(n, folds))
     fold = _per_stratum(
         stratum,
         cutoffs,
         lambda cuts: reduce(
             lambda a, b: a + b,
-            [after_cutoff(h, id_column, c).cast("int") for c in cuts],
+            [after_cutoff(F.col("_h"), id_column, c).cast("int") for c in cuts],
             F.lit(0),
         ),
     )
-    return df.withColumn("fold", fold)
+    if within is not None:
+        fold = F.when(within, fold)
+    return df.withColumn("_h", h).withColumn("fold", fold.cast("int")).drop("_h")
 
 
 def hash_sample(
@@ -75,7 +91,9 @@ def hash_sample(
     """A fixed number of rows without replacement (all rows when there are fewer)."""
     h = hash32(seed, tag, id_column)
     cuts = hash_cutoffs(df, None, h, id_column, lambda _, n: [min(rows, n)]).get(0, [])
-    return df.where(~after_cutoff(h, id_column, cuts[0])) if cuts else df
+    if not cuts:
+        return df
+    return df.withColumn("_h", h).where(~after_cutoff(F.col("_h"), id_column, cuts[0])).drop("_h")
 
 
 def bootstrap_draws(

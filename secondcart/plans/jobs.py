@@ -21,6 +21,7 @@ from secondcart.functions.lookups import (
     QUARTILE_LABELS,
 )
 from secondcart.operators import cohort, describe, explain, features, inference, metrics, models
+from secondcart.operators.caching import persisted
 from secondcart.operators.quality import assert_golden, assert_not_null
 from secondcart.operators.sentiment import cross_fit, hashed_words, sentiment_table, with_review_text
 from secondcart.plans.study import (
@@ -149,7 +150,7 @@ def regression_job(
         assert_golden(earlier, expected, "term", "coefficient", GOLDEN_TOLERANCE)
 
     columns = spec.columns()
-    with models.persisted(design(inference.NET_TEXT)) as net:
+    with persisted(design(inference.NET_TEXT)) as net:
         fit_rows, test_rows = net.where("split = 'train'"), net.where("split = 'test'")
         logit = inference.fit_logit(fit_rows, columns)
         logistic = models.logistic(columns)
@@ -180,7 +181,7 @@ def regression_job(
 def sentiment_job(reviews: DataFrame, out: str, config: Config = Config()) -> None:
     """Cross-fitted sentiment of every review with a text; writes the table and its quality."""
     with_text = with_review_text(reviews)
-    with models.persisted(hashed_words(with_text.where("has_text = 1"))) as labelled:
+    with persisted(hashed_words(with_text.where("has_text = 1"))) as labelled:
         scored = cross_fit(labelled, config.text_folds, config.seed).drop("text", "counts")
         scored = materialize(scored, "sentiment-scores")
     write_table(sentiment_table(with_text, scored), f"{out}/sentiment")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from secondcart.config import Config
 from secondcart.functions.lookups import CATEGORY_DURABILITY, TREE_FEATURES
 from secondcart.operators import cohort, explain, features, inference, models, sampling, sentiment
+from secondcart.operators.caching import persisted
 from secondcart.operators.describe import two_proportion_tests
 from secondcart.operators.quality import assert_not_null, assert_same_count, assert_unique
 from secondcart.sources.writers import materialize
@@ -29,11 +30,14 @@ def with_split_and_folds(base: DataFrame, config: Config) -> DataFrame:
     split = sampling.stratified_split(
         base, models.ID, models.LABEL, config.test_share, config.seed
     )
-    train = sampling.stratified_folds(
-        split.where("split = 'train'"), models.ID, models.LABEL, config.cv_folds, config.seed
+    return sampling.stratified_folds(
+        split,
+        models.ID,
+        models.LABEL,
+        config.cv_folds,
+        config.seed,
+        within=F.col("split") == "train",
     )
-    test = split.where("split = 'test'").withColumn("fold", F.lit(None).cast("int"))
-    return train.unionByName(test)
 
 
 def proportion_comparisons() -> dict[str, tuple[Column, Column]]:
@@ -161,13 +165,13 @@ class Study:
     @cached_property
     def base_scores(self) -> DataFrame:
         specs = models.base_models(self.tree_columns, self.linear_columns, self.config)
-        with models.persisted(self.model_rows) as rows:
+        with persisted(self.model_rows) as rows:
             scores = models.test_scores(specs, rows, self.config)
             return materialize(scores, "base-scores")
 
     @cached_property
     def searches(self) -> list[models.SearchResult]:
-        with models.persisted(self.train) as train:
+        with persisted(self.train) as train:
             jobs = [
                 lambda space=space: models.search(space, train, self.tree_columns, self.config)
                 for space in models.SEARCH_SPACES
@@ -182,14 +186,14 @@ class Study:
     @cached_property
     def final_scores(self) -> DataFrame:
         """Test scores of the logistic and the tuned models."""
-        with models.persisted(self.model_rows) as rows:
+        with persisted(self.model_rows) as rows:
             return materialize(
                 models.test_scores(self.final_specs, rows, self.config), "test-scores"
             )
 
     @cached_property
     def final_oof(self) -> DataFrame:
-        with models.persisted(self.train) as train:
+        with persisted(self.train) as train:
             return materialize(
                 models.oof_scores(self.final_specs, train, self.config), "oof-scores"
             )
@@ -207,13 +211,13 @@ class Study:
 
     @cached_property
     def ablation_folds(self) -> DataFrame:
-        with models.persisted(self.train) as train:
+        with persisted(self.train) as train:
             folds = models.ablation_folds(self.finalist, train, self.config)
             return materialize(folds, "ablation")
 
     @cached_property
     def shap(self) -> DataFrame:
-        with models.persisted(self.train) as train:
+        with persisted(self.train) as train:
             model = models.fit(self.finalist, train)
         sample = sampling.hash_sample(
             self.model_rows.where("split = 'test'"),
@@ -234,7 +238,7 @@ class Study:
     @cached_property
     def text_scores(self) -> DataFrame:
         labelled = self.reviews().where("has_text = 1")
-        with models.persisted(sentiment.hashed_words(labelled)) as rows:
+        with persisted(sentiment.hashed_words(labelled)) as rows:
             scored = sentiment.cross_fit(rows, self.config.text_folds, self.config.seed)
             return materialize(scored.drop("text", "counts"), "text-scores")
 
