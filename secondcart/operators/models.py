@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -22,15 +22,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param import Param
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secondcart.config import Config
 from secondcart.functions.lookups import FEATURE_BLOCKS
 from secondcart.operators.metrics import (
-    AveragePrecisionEvaluator,
     average_precision,
     bootstrap_ci,
     bootstrap_metrics,
@@ -39,6 +36,7 @@ from secondcart.operators.metrics import (
     ranking_metrics,
     threshold_metrics,
 )
+from secondcart.sources.writers import materialize
 
 ID = "customer_unique_id"
 LABEL = "target"
@@ -256,13 +254,11 @@ class Range:
 
 @dataclass(frozen=True)
 class SearchSpace:
-    """Ranges by name, and the MLlib parameter each one sets."""
+    """Ranges of the keyword arguments of a model."""
 
     name: str
     ranges: Mapping[str, Range]
-    params: Mapping[str, str]
     make: Callable[..., ModelSpec]
-    text_params: frozenset[str] = field(default_factory=lambda: frozenset({"featureSubsetStrategy"}))
 
 
 # Ranges of the three searches. Ranges without an MLlib counterpart (leaf penalty,
@@ -276,12 +272,6 @@ SEARCH_SPACES = [
             "min_leaf": Range(1, 40, log=True, integer=True),
             "feature_share": Range(0.3, 1.0),
         },
-        {
-            "trees": "numTrees",
-            "depth": "maxDepth",
-            "min_leaf": "minInstancesPerNode",
-            "feature_share": "featureSubsetStrategy",
-        },
         forest,
     ),
     SearchSpace(
@@ -294,14 +284,6 @@ SEARCH_SPACES = [
             "feature_share": Range(0.6, 1.0),
             "min_leaf": Range(1, 20, integer=True),
         },
-        {
-            "trees": "maxIter",
-            "depth": "maxDepth",
-            "rate": "stepSize",
-            "row_share": "subsamplingRate",
-            "feature_share": "featureSubsetStrategy",
-            "min_leaf": "minInstancesPerNode",
-        },
         boosting,
     ),
     SearchSpace(
@@ -314,14 +296,6 @@ SEARCH_SPACES = [
             "feature_share": Range(0.6, 1.0),
             "min_leaf": Range(10, 100, integer=True),
         },
-        {
-            "trees": "maxIter",
-            "depth": "maxDepth",
-            "rate": "stepSize",
-            "row_share": "subsamplingRate",
-            "feature_share": "featureSubsetStrategy",
-            "min_leaf": "minInstancesPerNode",
-        },
         boosting,
     ),
 ]
@@ -353,35 +327,18 @@ def draw_trials(space: SearchSpace, config: Config) -> list[dict]:
 def search(
     space: SearchSpace, train: DataFrame, columns: Sequence[str], config: Config
 ) -> SearchResult:
-    """Random search: mean average precision over the given folds for every trial."""
+    """Random search: mean average precision over the given folds for every trial.
+
+    All trials are scored out of fold together, so their metrics take one aggregation.
+    """
     trials = draw_trials(space, config)
-    first = space.make(columns, space.name, **trials[0], seed=config.seed)
-    weight, n = _weight(first.weighting, train)
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    estimator = first.build(n)
-
-    def param_map(drawn: Mapping[str, float]) -> dict[Param, object]:
-        values = {}
-        for name, value in drawn.items():
-            param = space.params[name]
-            values[estimator.getParam(param)] = str(value) if param in space.text_params else value
-        return values
-
-    # The folds are given, and the best trial is refitted by the caller, so only the metrics of
-    # the search are used here.
-    validator = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=[param_map(t) for t in trials],
-        evaluator=AveragePrecisionEvaluator(labelCol=LABEL),
-        numFolds=config.cv_folds,
-        foldCol="fold",
-        parallelism=config.parallelism,
-    )
-    prepared = assembler.transform(train.withColumn(WEIGHT, weight)).select(
-        "features", LABEL, WEIGHT, "fold"
-    )
-    fitted = validator.fit(prepared)
-    return SearchResult(space, list(zip(trials, map(float, fitted.avgMetrics), strict=True)))
+    specs = [
+        space.make(columns, str(i), **drawn, seed=config.seed) for i, drawn in enumerate(trials)
+    ]
+    oof = materialize(oof_scores(specs, train, config), "search")
+    means = cv_average_precision(oof).groupBy("model").agg(F.avg("ap").alias("ap")).collect()
+    by_trial = {row["model"]: row["ap"] for row in means}
+    return SearchResult(space, [(drawn, by_trial[str(i)]) for i, drawn in enumerate(trials)])
 
 
 def search_table(results: Sequence[SearchResult], train: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from secondcart.operators.joins import small_table
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a table of any size, one file per partition."""
@@ -19,11 +21,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_result(df: DataFrame, path: str, decimals: int | None = 4) -> None:
-    """Write a small report as a single CSV file, doubles rounded to ``decimals``."""
+    """Write a small report as a single CSV file in its order, doubles rounded to ``decimals``.
+
+    The report is computed in parallel and its size checked before it becomes one file.
+    """
     if decimals is not None:
         doubles = [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))]
         df = df.withColumns({name: F.round(name, decimals) for name in doubles})
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    small_table(df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def shared_folder(spark: SparkSession) -> str:

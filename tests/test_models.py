@@ -82,27 +82,28 @@ def test_search_is_seeded_and_in_range(train):
 
 
 def test_search_metric_is_the_mean_fold_ap(train):
-    """The cross-validator's number equals the one from out-of-fold scores."""
+    """The number of a trial equals the mean over folds of fits made one by one."""
     space = models.SEARCH_SPACES[0]
     result = models.search(space, train, COLUMNS, CONFIG)
     trial, mean_ap = result.trials[0]
     spec = space.make(COLUMNS, "again", **trial, seed=CONFIG.seed)
-    weight, n = models._weight(spec.weighting, train)
-    weighted = train.withColumn(models.WEIGHT, weight)
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(weighted)
     values = []
     for k in range(3):
-        model = spec.build(n).fit(data.where(F.col("fold") != k))
-        scored = model.transform(data.where(F.col("fold") == k)).select(
-            F.lit("m").alias("model"), F.col("target").alias("label"),
-            vector_to_array("probability")[1].alias("score"),
-        )
+        model = models.fit(spec, train.where(F.col("fold") != k))
+        scored = models.score(spec, model, train.where(F.col("fold") == k))
         values.append(metrics.average_precision(scored).first()["ap"])
     assert mean_ap == pytest.approx(np.mean(values), abs=1e-9)
 
 
+def test_evaluator_for_cross_validators(train):
+    spec = models.logistic(COLUMNS)
+    model = models.fit(spec, train)
+    evaluator = metrics.AveragePrecisionEvaluator(labelCol="target")
+    expected = metrics.average_precision(models.score(spec, model, train)).first()["ap"]
+    assert evaluator.evaluate(model.transform(train)) == pytest.approx(expected)
+    assert evaluator.isLargerBetter()
+
+
 def test_metrics_table_and_finalist(rows, train):
     specs = [models.logistic(COLUMNS), models.boosting(COLUMNS, trees=3, depth=3)]
     oof = models.oof_scores(specs, train, CONFIG)

@@ -128,6 +128,14 @@ def test_csv_orders_and_bad_rows(spark, tmp_path):
         readers.read_table(spark, "orders", str(good), "xml")
 
 
+def test_csv_with_a_byte_order_mark(spark, tmp_path):
+    path = tmp_path / "category.csv"
+    path.write_text(
+        "product_category_name,product_category_name_english\nbrinquedos,toys\n", "utf-8-sig"
+    )
+    assert readers.read_table(spark, "category", str(path), "csv").first()[:] == ("brinquedos", "toys")
+
+
 def test_tables_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.23456)], "term string, value double")
     writers.write_table(df, str(tmp_path / "t"))
