@@ -607,7 +607,8 @@ BODIES: dict[str, str] = {
     "state_block_test": """
         SELECT round(2 * (ll - ll0), 4) AS chi_square,
             CAST(groups - 1 AS INTEGER) AS degrees_of_freedom, round(1 - ll / ll0, 4) AS pseudo_r2
-        FROM (SELECT sum(k * ln(k / n) + (n - k) * ln(1 - k / n)) AS ll, count(*) AS groups,
+        FROM (SELECT sum(coalesce(k * ln(nullif(k, 0) / n), 0)
+                      + coalesce((n - k) * ln(nullif(n - k, 0) / n), 0)) AS ll, count(*) AS groups,
                   sum(k) * ln(sum(k) / sum(n)) + (sum(n) - sum(k)) * ln(1 - sum(k) / sum(n)) AS ll0
               FROM by_state)""",
     "review_text": "SELECT review_id, review_text AS text, has_text FROM doc_label",

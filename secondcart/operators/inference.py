@@ -137,6 +137,11 @@ def vif(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _odds(log_odds: float) -> float:
+    """Infinite beyond the largest double: a level without positives has no finite bound."""
+    return math.exp(log_odds) if log_odds < 709.0 else math.inf
+
+
 def logit_table(
     model: GeneralizedLinearRegressionModel, train: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
@@ -149,9 +154,9 @@ def logit_table(
         (
             name,
             b,
-            math.exp(b),
-            math.exp(b - NORMAL_975 * se),
-            math.exp(b + NORMAL_975 * se),
+            _odds(b),
+            _odds(b - NORMAL_975 * se),
+            _odds(b + NORMAL_975 * se),
             normal_two_sided(b / se),
         )
         for name, b, se in zip(names, coefficients, errors, strict=True)
