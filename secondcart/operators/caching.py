@@ -1,4 +1,4 @@
-"""Tables kept for the length of a block."""
+"""Tables kept for the length of a block, and tables small enough to hold locally."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+MAX_SMALL_ROWS = 10_000
+
 
 @contextmanager
 def persisted(df: DataFrame) -> Iterator[DataFrame]:
@@ -17,3 +19,14 @@ def persisted(df: DataFrame) -> Iterator[DataFrame]:
         yield df
     finally:
         df.unpersist()
+
+
+def small_table(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+    """A report-sized table as local rows, so that joining it never shuffles the other side.
+
+    The size is checked, not assumed: more than ``max_rows`` rows are an error.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from secondcart.sources.writers import materialize
+
 HOT_SHARE = 1024
-MAX_SMALL_ROWS = 10_000
 SALTS = 64
 
 
@@ -26,7 +27,10 @@ def lookup_by_hot_key(
     values and the few matching right rows are repeated per salt, which spreads a hot key over
     that many tasks. Adaptive execution alone does not do this here: it splits a side only where
     both come straight from a shuffle, and ``right`` comes from an aggregation.
+
+    ``right`` is needed for the total, for the hot keys and for the join, so it is written once.
     """
+    right = materialize(right, "per-key")
     total = right.agg(F.sum(weight)).scalar()
     is_hot = F.col(weight) * hot_share > total
     hot = right.where(is_hot).select(key, F.lit(salts).alias("_salts"))
@@ -39,14 +43,3 @@ def lookup_by_hot_key(
         "_salt", F.when(F.col("_salts").isNotNull(), row_salt).otherwise(0)
     )
     return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt", "_salts")
-
-
-def small_table(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
-    """A report-sized table as local rows, so that joining it never shuffles the other side.
-
-    The size is checked, not assumed: more than ``max_rows`` rows are an error.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"expected at most {max_rows} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)

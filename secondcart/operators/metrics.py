@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from secondcart.functions.binning import label_of
 from secondcart.functions.hashing import hash32
-from secondcart.operators.joins import lookup_by_hot_key, small_table
+from secondcart.operators.caching import small_table
+from secondcart.operators.joins import lookup_by_hot_key
 from secondcart.operators.order_stats import (
     ROWS_PER_WINDOW,
     after_cutoff,
@@ -28,6 +29,7 @@ from secondcart.operators.order_stats import (
     running_totals,
 )
 from secondcart.operators.sampling import bootstrap_draws
+from secondcart.sources.writers import materialize
 
 
 def score_counts(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -308,8 +310,9 @@ def paired_bootstrap_diff(replicated: DataFrame, first: str, second: str) -> Dat
 def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:
     """Rank correlation per group, ties sharing their mean rank.
 
-    Works on distinct (x, y) pairs. A value of ``x`` that fills a third of the rows may still
-    have very many pairs, so its rank is attached with a join that spreads hot keys.
+    Works on distinct (x, y) pairs, written once because both rankings and the result read them.
+    A value of ``x`` that fills a third of the rows may still have very many pairs, so its rank is
+    attached with a join that spreads hot keys.
     """
     group = F.concat_ws("|", *[F.col(g).cast("string") for g in groups]) if groups else F.lit("")
     pairs = (
@@ -318,6 +321,7 @@ def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataF
         .groupBy("_g", *groups, "_x", "_y")
         .agg(F.count("*").alias("_w"))
     )
+    pairs = materialize(pairs, "pairs")
 
     def ranked(frame: DataFrame, value: str) -> DataFrame:
         counts = pairs.groupBy("_g", value).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from secondcart.operators.joins import small_table
+from secondcart.operators.caching import small_table
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from secondcart.functions.hashing import hash32, hash60
 from secondcart.operators import sampling
-from secondcart.operators.joins import lookup_by_hot_key, small_table
+from secondcart.operators.caching import small_table
+from secondcart.operators.joins import lookup_by_hot_key
 from secondcart.operators.order_stats import (
     average_ranks,
     bucket_edges,
