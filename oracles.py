@@ -34,7 +34,7 @@ DURABLE = """CASE category WHEN 'economy' THEN 0 WHEN 'small' THEN 0 WHEN 'promo
 CTES: dict[str, str] = {
     "ord": """
         SELECT k AS order_id, o_custkey AS customer_id,
-            CASE WHEN o_orderstatus = 'F' THEN 'delivered' ELSE 'other' END AS order_status,
+            o_orderstatus AS order_status,
             o_orderdate + to_hours(k % 24) AS order_purchase_timestamp,
             o_orderdate + to_hours(k % 24 + k % 3) AS order_approved_at,
             o_orderdate + to_hours(k % 24 + 24 + (k * 7) % 96) AS order_delivered_carrier_date,
@@ -48,7 +48,7 @@ CTES: dict[str, str] = {
         SELECT c_custkey AS customer_id, c_custkey AS customer_unique_id, n_name AS customer_state
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "delivered": """
-        SELECT * FROM ord LEFT JOIN cust USING (customer_id) WHERE order_status = 'delivered'""",
+        SELECT * FROM ord LEFT JOIN cust USING (customer_id) WHERE order_status = 'F'""",
     "first_o": """
         SELECT * FROM delivered
         QUALIFY row_number() OVER (PARTITION BY customer_unique_id
@@ -365,7 +365,7 @@ BODIES: dict[str, str] = {
         FROM delivered""",
     "delivered_orders": """
         SELECT order_id, customer_id, order_purchase_timestamp FROM ord
-        WHERE order_status = 'delivered'""",
+        WHERE order_status = 'F'""",
     "orders_with_customer": """
         SELECT order_id, order_status, customer_unique_id, customer_state
         FROM ord LEFT JOIN cust USING (customer_id)""",

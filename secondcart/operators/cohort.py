@@ -16,8 +16,11 @@ from secondcart.functions.dates import calendar_day_gap
 from secondcart.operators.joins import lookup_by_hot_key
 
 
-def delivered_orders(orders: DataFrame) -> DataFrame:
-    return orders.where(F.col("order_status") == "delivered")
+DELIVERED = "delivered"
+
+
+def delivered_orders(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
+    return orders.where(F.col("order_status") == status)
 
 
 def orders_with_customer(orders: DataFrame, customers: DataFrame) -> DataFrame:

@@ -239,12 +239,13 @@ def lift_top(
     tied_positives = tied.where(taken).groupBy("model").agg(F.sum("label").alias("pos_tied"))
     hits = F.col("pos_above") + F.coalesce(F.col("pos_tied"), F.lit(0))
     precision = hits / F.col("n_top")
+    prevalence = F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))
     return limits.join(tied_positives, "model", "left").select(
         "model",
         "n_top",
         precision.alias("precision_top"),
         F.try_divide(hits, F.col("n_pos")).alias("capture_top"),
-        F.try_divide(precision, F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("lift_top"),
+        F.try_divide(precision, prevalence).alias("lift_top"),
     )
 
 

@@ -53,7 +53,8 @@ def with_bucket(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame
     """``_bucket``: number of the bucket of a numeric column."""
     splits = [-math.inf, *edges, math.inf]
     bucketizer = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket")
-    return bucketizer.transform(df.withColumn("_value", F.col(column).cast("double"))).drop("_value")
+    numeric = df.withColumn("_value", F.col(column).cast("double"))
+    return bucketizer.transform(numeric).drop("_value")
 
 
 def running_totals_in_buckets(

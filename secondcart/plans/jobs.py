@@ -23,7 +23,12 @@ from secondcart.functions.lookups import (
 from secondcart.operators import cohort, describe, explain, features, inference, metrics, models
 from secondcart.operators.caching import persisted
 from secondcart.operators.quality import assert_golden, assert_not_null
-from secondcart.operators.sentiment import cross_fit, hashed_words, sentiment_table, with_review_text
+from secondcart.operators.sentiment import (
+    cross_fit,
+    hashed_words,
+    sentiment_table,
+    with_review_text,
+)
 from secondcart.plans.study import (
     ITEM_ORDER,
     Study,
@@ -42,9 +47,12 @@ def study_job(
     config: Config = Config(),
     durability: Mapping[str, int] = CATEGORY_DURABILITY,
     item_order: Sequence[str] = ITEM_ORDER,
+    delivered_status: str = cohort.DELIVERED,
 ) -> Study:
     """Cohort, descriptive tables, models, ablation, attributions; writes everything."""
-    study = Study(tables, config, durability, item_order)
+    study = Study(
+        tables, config, durability, item_order, delivered_status=delivered_status
+    )
     study.check()
     base = study.base
 

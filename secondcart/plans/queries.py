@@ -62,6 +62,7 @@ def new_study(spark: SparkSession, folder: str, config: Config = QUERY_CONFIG) -
         durability=warehouse.PART_TYPE_DURABILITY,
         item_order=WAREHOUSE_ITEM_ORDER,
         reviews=lambda: warehouse.document_reviews(spark, folder),
+        delivered_status=warehouse.DELIVERED_STATUS,
     )
 
 
@@ -97,7 +98,7 @@ def source_profile(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def delivered_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = study(spark, folder).tables["orders"]
-    return cohort.delivered_orders(orders).select(
+    return cohort.delivered_orders(orders, warehouse.DELIVERED_STATUS).select(
         "order_id", "customer_id", "order_purchase_timestamp"
     )
 

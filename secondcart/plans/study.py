@@ -58,19 +58,20 @@ class Study:
         durability: Mapping[str, int] = CATEGORY_DURABILITY,
         item_order: Sequence[str] = ITEM_ORDER,
         reviews: Callable[[], DataFrame] | None = None,
+        delivered_status: str = cohort.DELIVERED,
     ):
         self.tables = tables
         self.config = config
         self.durability = durability
         self.item_order = item_order
         self._reviews = reviews
+        self.delivered_status = delivered_status
 
     # --- lazy parts: plans over the source tables ---------------------------------------------
 
     def delivered(self) -> DataFrame:
-        return cohort.orders_with_customer(
-            cohort.delivered_orders(self.tables["orders"]), self.tables["customers"]
-        )
+        delivered = cohort.delivered_orders(self.tables["orders"], self.delivered_status)
+        return cohort.orders_with_customer(delivered, self.tables["customers"])
 
     def cohort(self) -> DataFrame:
         return cohort.purchase_cohort(self.delivered(), self.config.horizon_days)

@@ -24,6 +24,7 @@ def outputs(spark, folder, tmp_path_factory):
     jobs.study_job(
         tables, out, CONFIG, warehouse.PART_TYPE_DURABILITY,
         ("order_item_id", "product_id", "tie_supplier", "tie_price"),
+        delivered_status=warehouse.DELIVERED_STATUS,
     )
     return out
 
