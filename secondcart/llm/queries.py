@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from secondcart.llm import exact_dedup, fertility, html_text, mixing, records
+from secondcart.llm import exact_dedup, fertility, html_text, mixing, records, simhash
 from secondcart.sources.warehouse import read_warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read_warehouse(spark, folder, "documents"))
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(read_warehouse(spark, folder, "documents"))
+
+
 def op8_binary_records(spark: SparkSession, folder: str) -> DataFrame:
     out = records.new_folder(spark)
     records.write_records(
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         op5_poisson_mixing,
         op6_exact_dedup,
+        op7_simhash,
         op8_binary_records,
         op9_tokeniser_fertility,
         op10_line_block_text,

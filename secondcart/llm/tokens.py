@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -30,6 +31,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # One task is one thread; Spark runs the tasks side by side.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
