@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from secondcart.llm import exact_dedup, fertility, html_text, mixing, records, simhash
+from secondcart.llm import (
+    exact_dedup,
+    fertility,
+    hilbert_pack,
+    html_text,
+    mixing,
+    records,
+    simhash,
+)
 from secondcart.sources.warehouse import read_warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +29,11 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_warehouse(spark, folder, "documents")
+    return hilbert_pack.pack(docs, vocabulary("word_bpe_49k.json"), PACK_END_ID)
+
+
 def op5_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its copies: the columns of ``documents`` and the copy's number."""
     return mixing.mix(read_warehouse(spark, folder, "documents"))
@@ -57,6 +70,7 @@ def op10_line_block_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op4_hilbert_packing,
         op5_poisson_mixing,
         op6_exact_dedup,
         op7_simhash,
