@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondcart.llm.common import exact_columns
+from secondcart.llm.rows import ROW, identified, without
 
 SALTS = 32
 # Runs to be replaced by one blank; a single blank already is one and needs no work.
@@ -38,22 +39,24 @@ def winners(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, salts: int = SALTS, digest=sha256_of) -> DataFrame:
+def exact_groups(
+    docs: DataFrame, salts: int = SALTS, digest=sha256_of, id_column: str = "doc_id"
+) -> DataFrame:
     """The group of every row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after white-space runs became one blank. The row with
     the smallest ``doc_id`` of equal texts stays. Rows without ``doc_id`` join their group but
     stay only if no row of it has an id; of rows that share the smallest id all stay, since
-    nothing tells them apart (the pipeline stage numbers rows and keeps one). A NULL text equals
+    nothing tells them apart (:func:`drop_copies` numbers rows and keeps one). A NULL text equals
     an empty one. ``digest`` only speeds the comparison up: where two different texts share a
     digest, rows are matched by their texts.
     """
     text = normalised(F.col("text"))
-    rows = exact_columns(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("id"),
+    rows = exact_columns(docs, id_column, "text").select(
+        F.col(id_column).cast("long").alias("id"),
         text.alias("text"),
         digest(text).alias("digest"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"),
+        F.pmod(F.xxhash64(id_column), F.lit(salts)).alias("salt"),
     )
     return _members(rows, winners(rows, salts), digest is sha256_of)
 
@@ -78,3 +81,11 @@ def _members(rows: DataFrame, won: DataFrame, wide: bool) -> DataFrame:
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each text: the one with the smallest ``doc_id``, or the first
+    where ids are missing or repeated."""
+    rows = identified(docs)
+    groups = exact_groups(rows, id_column=ROW)
+    return without(rows, groups.where(~F.col("kept")).select("doc_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from secondcart.llm.common import exact_columns, joined, sums, text_slices, words
 from secondcart.llm.components import components
+from secondcart.llm.rows import ROW, identified, without
 from secondcart.operators.joins import lookup_by_hot_key
 from secondcart.sources.writers import materialize
 
@@ -392,3 +393,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return lookup_by_hot_key(marked, per_mark, "fp", "n").select(
         F.col("id").alias("doc_id"), hex_of(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the smallest ``doc_id``,
+    or the first where ids are missing or repeated."""
+    rows = identified(docs)
+    groups = near_groups(rows, ROW)
+    return without(rows, groups.where("doc_id != component_id").select("doc_id"))
