@@ -12,6 +12,7 @@ from secondcart.llm import (
     hilbert_pack,
     html_text,
     mixing,
+    privacy,
     records,
     simhash,
 )
@@ -29,6 +30,11 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_disclosing_terms(spark: SparkSession, folder: str) -> DataFrame:
+    found = privacy.find_personal_data(read_warehouse(spark, folder, "documents"))
+    return found.drop("found")
+
+
 def op4_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_warehouse(spark, folder, "documents")
     return hilbert_pack.pack(docs, vocabulary("word_bpe_49k.json"), PACK_END_ID)
@@ -70,6 +76,7 @@ def op10_line_block_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op3_disclosing_terms,
         op4_hilbert_packing,
         op5_poisson_mixing,
         op6_exact_dedup,
