@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from secondcart.llm import (
     exact_dedup,
     fertility,
+    fm_index,
     hilbert_pack,
     html_text,
     mixing,
     privacy,
     records,
     simhash,
+    url_filter,
 )
 from secondcart.sources.warehouse import read_warehouse
 
@@ -30,6 +32,16 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_host_segmentation(spark: SparkSession, folder: str) -> DataFrame:
+    rules = url_filter.rules_of(url_filter.DEFAULT_RULES)
+    return url_filter.judge_urls(read_warehouse(spark, folder, "pages"), rules)
+
+
+def op2_fm_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    done = fm_index.remove_repeats(read_warehouse(spark, folder, "documents"))
+    return done.drop("kept_text")
+
+
 def op3_disclosing_terms(spark: SparkSession, folder: str) -> DataFrame:
     found = privacy.find_personal_data(read_warehouse(spark, folder, "documents"))
     return found.drop("found")
@@ -76,6 +88,8 @@ def op10_line_block_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op1_host_segmentation,
+        op2_fm_substrings,
         op3_disclosing_terms,
         op4_hilbert_packing,
         op5_poisson_mixing,

@@ -12,17 +12,17 @@ BROADCAST_ROWS = 1_000_000
 ROW = "_row"
 
 
-def identified(docs: DataFrame) -> DataFrame:
+def identified(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with a first column ``_row``, a number that no other row has.
 
-    That is ``doc_id`` where every row has one of its own. Otherwise rows are numbered, and
+    That is ``key`` where every row has one of its own. Otherwise rows are numbered, and
     written so that the numbers stay. Columns of the same name become ``_row_1`` and so on for
     the time being; :func:`without` gives them back.
     """
     names = docs.columns
     plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    if "doc_id" in names:
-        own = plain[f"_{names.index('doc_id')}"].cast("long")
+    if key in names:
+        own = plain[f"_{names.index(key)}"].cast("long")
         seen = plain.agg(F.count("*").alias("rows"), F.count_distinct(own).alias("ids")).first()
         if seen["rows"] == seen["ids"]:
             return plain.select(own.alias(ROW), *plain.columns).toDF(ROW, *names)
