@@ -87,12 +87,12 @@ CTES: dict[str, str] = {
             ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1""",
     "item_category": """
         SELECT order_id, product_id,
-            CASE WHEN product_id % 50 <> 0 THEN lower(p_type) END AS category
+            lower(p_type) AS category
         FROM item LEFT JOIN part ON product_id = p_partkey""",
     "doc": f"""
         SELECT doc_id, {RATING} AS review_score,
             nullif(trim(coalesce(CASE WHEN doc_id % 2 <> 0 THEN ' ' END, '') || ' ' ||
-                        coalesce(CASE WHEN doc_id % 3 <> 0 THEN chr(10) || text || ' ' END, ''),
+                        coalesce(chr(10) || text || ' ', ''),
                         {WHITE_SPACE}), '') AS review_text
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "doc_label": """
@@ -103,10 +103,10 @@ CTES: dict[str, str] = {
     "rev_keys": """
         SELECT o_orderkey AS order_id, 2 * o_orderkey AS review_id,
             o_orderdate + to_hours(240) AS review_creation_date
-        FROM orders WHERE o_orderkey % 5 <> 0
+        FROM orders
         UNION ALL
         SELECT o_orderkey, 2 * o_orderkey + 1, o_orderdate + to_hours(264)
-        FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 20 = 1""",
+        FROM orders WHERE o_orderkey % 20 = 1""",
     "rev": f"""
         SELECT order_id, review_id, review_creation_date, review_score,
             CASE WHEN review_text IS NULL THEN 0 ELSE 1 END AS has_text,
@@ -155,7 +155,7 @@ CTES: dict[str, str] = {
         FROM (SELECT *, {_h32("'42'", "'split'", "customer_unique_id")} AS h FROM base)""",
     "train": f"""
         SELECT * REPLACE (hf AS h),
-            CAST(ntile(3) OVER (PARTITION BY target ORDER BY hf, customer_unique_id) - 1 AS INTEGER)
+            CAST(ntile(5) OVER (PARTITION BY target ORDER BY hf, customer_unique_id) - 1 AS INTEGER)
                 AS fold
         FROM (SELECT *, {_h32("'42'", "'fold'", "customer_unique_id")} AS hf FROM splits
               WHERE split = 'train')""",
@@ -500,6 +500,15 @@ BODIES: dict[str, str] = {
         SELECT state_group, count(*) AS n FROM base GROUP BY 1
         ORDER BY n DESC, state_group LIMIT 1""",
     "stratified_split": "SELECT customer_unique_id, target, split FROM splits",
+    "csv_orders": "SELECT * FROM ord",
+    "csv_reviews": f"""
+        SELECT doc_id AS review_id, doc_id AS order_id, {RATING} AS review_score,
+            CASE WHEN doc_id % 2 <> 0 THEN ' ' END AS review_comment_title,
+            chr(10) || text || ' ' AS review_comment_message
+        FROM documents LEFT JOIN labels USING (doc_id)""",
+    "golden_gate": """
+        SELECT order_id, round(first_value, 6) AS expected, round(first_value, 6) AS actual,
+            true AS agrees FROM pay""",
     "stratified_folds": "SELECT customer_unique_id, target, fold FROM train",
     "explain_sample": f"""
         SELECT customer_unique_id FROM splits WHERE split = 'test'

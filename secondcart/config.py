@@ -22,14 +22,25 @@ class Config:
     explain_rows: int = 3000
     alpha: float = 0.05
     base_trees: int = 300
-    # Multiplies every tree count, in the base models and in the search spaces.
+    # Multiplies the tree counts of the base models, and of the search spaces.
     tree_scale: float = 1.0
+    search_tree_scale: float = 1.0
     # How many independent fits the driver keeps in flight at once.
     parallelism: int = 8
 
     def quick(self) -> "Config":
         """Fewer trials, folds, replicates and trees; never fewer rows."""
-        return replace(self, search_trials=2, cv_folds=3, bootstrap_replicates=100, tree_scale=0.02)
+        return replace(
+            self,
+            search_trials=2,
+            cv_folds=3,
+            bootstrap_replicates=100,
+            tree_scale=0.02,
+            search_tree_scale=0.02,
+        )
 
     def trees(self, count: int) -> int:
         return max(2, round(count * self.tree_scale))
+
+    def search_trees(self, count: int) -> int:
+        return max(2, round(count * self.search_tree_scale))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def cut_right(value: Column, upper_edges: Sequence[float], n_bins: int | None = None) -> Column:
+def cut_right(value: Column, upper_edges: Sequence[float]) -> Column:
     """Index (from 0) of the right-closed bin ``(edge[i-1], edge[i]]`` a value falls in.
 
     ``upper_edges`` are the finite upper bounds in ascending order; the last bin is open above.

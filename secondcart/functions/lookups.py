@@ -56,7 +56,8 @@ DELIVERY_LABELS = [
 
 QUARTILE_LABELS = ["Q1 (lowest)", "Q2", "Q3", "Q4 (highest)"]
 
-# The ten inputs of the tree models, in table order, with readable names.
+# The ten inputs of the tree models, in table order, with readable names. The report
+# tables of a study use them.
 TREE_FEATURES = {
     "first_value": "First purchase value",
     "slack_days": "Delivery slack (days)",
@@ -70,7 +71,7 @@ TREE_FEATURES = {
     "sent_pos": "Positive sentiment",
 }
 
-# Feature blocks that the ablation removes one at a time.
+# Feature blocks that the ablation removes, because its table is read by block.
 FEATURE_BLOCKS = {
     "purchase value": ["first_value"],
     "delivery": ["slack_days", "late_flag"],
@@ -81,10 +82,13 @@ FEATURE_BLOCKS = {
     "text": ["has_text", "sent_neg", "sent_pos"],
 }
 
-# Features whose rank correlation with their attribution has no meaning: a code, and values
-# that are zero without text.
+# Features whose rank correlation with their attribution has no meaning, a code and
+# values that are zero without text.
 UNSIGNED_FEATURES = ["state_code", "has_text", "sent_neg", "sent_pos"]
 
+# Blocks that are also removed together: what a review says, by stars or in words.
+JOINT_BLOCKS = {"review (rating and text)": ["rating", "text"]}
+
 
 def lookup(key: Column, mapping: dict, default: object = None) -> Column:
     """Value of a small fixed mapping, as one literal map."""

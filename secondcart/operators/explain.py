@@ -30,6 +30,7 @@ from secondcart.sources.writers import shared_folder
 
 # A model with more conditions than this is too large to send to every executor.
 MAX_CONDITIONS = 20_000_000
+MAX_NODES = 5_000_000
 CELLS_PER_CHUNK = 4_000_000
 
 LeafTable = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -51,7 +52,11 @@ def leaf_table(model: RandomForestClassificationModel | GBTClassificationModel,
     is_forest = isinstance(model, RandomForestClassificationModel)
     weights = model.treeWeights
     trees: dict[int, dict[int, object]] = {}
-    for row in tree_nodes(model, spark).collect():  # as large as the model, which is here already
+    nodes = tree_nodes(model, spark)
+    n_nodes = nodes.count()
+    if n_nodes > MAX_NODES:
+        raise ValueError(f"{n_nodes} tree nodes: the model is too large to send to executors")
+    for row in nodes.collect():
         trees.setdefault(row["treeID"], {})[row["id"]] = row
 
     leaves: dict[int, list] = {}
@@ -156,9 +161,14 @@ def tree_shap(
     )
 
 
-def shap_importance(shap: DataFrame) -> DataFrame:
-    """Mean absolute attribution per feature, with the rank correlation between the value and its
-    attribution where that has a meaning."""
+def attribution_unit(model: PipelineModel) -> str:
+    is_forest = isinstance(model.stages[-1], RandomForestClassificationModel)
+    return "probability" if is_forest else "log-odds"
+
+
+def shap_importance(shap: DataFrame, unit: str) -> DataFrame:
+    """Mean absolute attribution per feature in ``unit``, with the rank correlation between the
+    value and its attribution where that has a meaning."""
     importance = shap.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
     signs = spearman(shap, "value", "phi", ["feature"])
     unsigned = F.col("feature").isin(UNSIGNED_FEATURES)
@@ -167,6 +177,7 @@ def shap_importance(shap: DataFrame) -> DataFrame:
         .select(
             "feature",
             "mean_abs_shap",
+            F.lit(unit).alias("unit"),
             F.when(~unsigned, F.col("spearman")).alias("value_shap_correlation"),
             lookup(F.col("feature"), TREE_FEATURES).alias("readable_name"),
         )

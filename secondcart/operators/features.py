@@ -134,17 +134,36 @@ def median(df: DataFrame, column: str) -> Column:
     return exact_quantiles(df, column, [0.5]).select(F.col("quantiles")[0]).scalar()
 
 
+# Order ids (a few bytes each) up to this many are broadcast to prune the sources.
+BROADCAST_ORDERS = 1_000_000
+
+
+def of_sample(source: DataFrame, orders: DataFrame | None) -> DataFrame:
+    """Rows of the sample's orders only, dropped in the scan's own tasks. Without ``orders`` all
+    rows stay: a join that shuffles the raw source would cost more than it saves, since partial
+    aggregation already leaves one row per order and task."""
+    if orders is None:
+        return source
+    return source.join(F.broadcast(orders), "order_id", "left_semi")
+
+
 def first_order_features(
     sample: DataFrame, tables: Mapping[str, DataFrame], item_order: Sequence[str]
 ) -> DataFrame:
     """Everything known about the first order, before imputation.
 
     Each source is reduced to one row per order before it is joined, all on ``order_id``, so the
-    sample is shuffled once for the three joins and once more for the product.
+    sample is shuffled once for the three joins and once more for the product. If the sample has
+    few orders, other orders' rows are dropped before anything is aggregated.
     """
-    payments = total_per(tables["payments"], "order_id", "payment_value", "first_value")
-    items = order_item_summary(tables["items"], item_order)
-    reviews = latest_reviews(tables["sentiment"]).select(
+    orders = sample.select("order_id")
+    if orders.count() > BROADCAST_ORDERS:
+        orders = None
+    payments = total_per(
+        of_sample(tables["payments"], orders), "order_id", "payment_value", "first_value"
+    )
+    items = order_item_summary(of_sample(tables["items"], orders), item_order)
+    reviews = latest_reviews(of_sample(tables["sentiment"], orders)).select(
         "order_id",
         F.col("review_score").cast("double").alias("rating"),
         "has_text",

@@ -1,18 +1,14 @@
 """Ranking and classification metrics over long score tables ``(model, id, label, score)``.
 
 Scores are grouped by distinct value before they are ordered, so ties cost one row, and the
-cumulative counts come from bucketed running totals.
+cumulative counts come from bucketed running totals. A row without a score has no rank: ranking
+metrics, curves and thresholds leave it out everywhere, in the class totals too.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark import keyword_only
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param.shared import HasLabelCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +24,13 @@ from secondcart.operators.order_stats import (
     hash_cutoffs,
     running_totals,
 )
-from secondcart.operators.sampling import bootstrap_draws
+from secondcart.operators.sampling import BLOCK_ROWS, bootstrap_draws
 from secondcart.sources.writers import materialize
 
 
 def score_counts(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score."""
-    return scored.groupBy(*groups, "score").agg(
+    return scored.where(F.col("score").isNotNull()).groupBy(*groups, "score").agg(
         F.sum("label").cast("bigint").alias("pos"),
         F.sum(1 - F.col("label")).cast("bigint").alias("neg"),
     )
@@ -89,7 +85,7 @@ def average_precision(scored: DataFrame, groups: Sequence[str] = ("model",)) ->
 
 def _class_totals(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Positives and negatives per group, as local rows: there are few models."""
-    totals = scored.groupBy(*groups).agg(
+    totals = scored.where(F.col("score").isNotNull()).groupBy(*groups).agg(
         F.sum("label").cast("bigint").alias("n_pos"),
         F.sum(1 - F.col("label")).cast("bigint").alias("n_neg"),
     )
@@ -250,17 +246,21 @@ def lift_top(
 
 
 def bootstrap_metrics(
-    scored: DataFrame, id_column: str, replicates: int, seed: int
+    scored: DataFrame, id_column: str, replicates: int, seed: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``auc`` and ``ap`` per model and replicate; replicates with one class only are skipped.
 
-    Every model is scored on the same draws. A replicate is reduced to counts per distinct score
-    on the map side, right after the draws meet the scores.
+    Every model is scored on the same draws: a draw takes a person with the scores of all models.
+    Draws are reduced to counts per distinct score in the tasks that make them; only counts are
+    shuffled.
     """
-    persons = scored.select(id_column).distinct()
-    indexed, draws = bootstrap_draws(persons, id_column, replicates, seed)
-    keyed = scored.join(indexed, id_column).select("row_idx", "model", "label", "score")
-    drawn = draws.join(keyed, "row_idx")
+    scored = scored.where(F.col("score").isNotNull())
+    cells = scored.groupBy(id_column).agg(
+        F.collect_list(F.struct("model", "label", "score")).alias("cells")
+    )
+    drawn = bootstrap_draws(cells, id_column, "cells", replicates, seed, block_rows).select(
+        "replicate", F.inline("cells")
+    )
     # The distinct scores of all replicates are those of the score table, so the bucket bounds
     # come from the small side.
     edges = bucket_edges(scored.select("model", "score").distinct(), "score")
@@ -409,27 +409,3 @@ def classification_report(predicted: DataFrame, names: Sequence[str]) -> DataFra
         ).alias("rows")
     ).select(F.inline("rows"))
     return per_class.drop("tp").unionByName(summary)
-
-
-class AveragePrecisionEvaluator(Evaluator, HasLabelCol):
-    """Step-wise average precision of the positive-class probability, for ``CrossValidator``.
-
-    The built-in area under the precision-recall curve interpolates and gives other values.
-    """
-
-    @keyword_only
-    def __init__(self, labelCol: str = "target"):
-        super().__init__()
-        self._set(labelCol=labelCol)
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        scored = dataset.select(
-            F.lit("model").alias("model"),
-            F.col(self.getLabelCol()).cast("int").alias("label"),
-            vector_to_array("probability")[1].alias("score"),
-        )
-        value = average_precision(scored).first()
-        return math.nan if value is None or value["ap"] is None else float(value["ap"])
-
-    def isLargerBetter(self) -> bool:
-        return True

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secondcart.config import Config
-from secondcart.functions.lookups import FEATURE_BLOCKS
+from secondcart.functions.lookups import FEATURE_BLOCKS, JOINT_BLOCKS
 from secondcart.operators.metrics import (
     average_precision,
     bootstrap_ci,
@@ -36,13 +37,15 @@ from secondcart.operators.metrics import (
     ranking_metrics,
     threshold_metrics,
 )
-from secondcart.sources.writers import materialize
+from secondcart.sources.writers import PartTables
 
 ID = "customer_unique_id"
 LABEL = "target"
 WEIGHT = "weight"
 BALANCED = "balanced"
 POSITIVE_RATIO = "positive ratio"
+# The deepest trees that MLlib grows.
+MAX_DEPTH = 30
 
 
 def run_parallel(jobs: Sequence[Callable[[], object]], parallelism: int) -> list:
@@ -70,10 +73,6 @@ class ModelSpec:
         return ModelSpec(name, tuple(columns), self.build, self.weighting)
 
 
-def class_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(LABEL).agg(F.count("*").alias("n"))
-
-
 def class_weights(train: DataFrame) -> DataFrame:
     """Weight of each class when balanced, and negatives per positive."""
     positives, n = F.sum(LABEL), F.count("*")
@@ -86,21 +85,52 @@ def class_weights(train: DataFrame) -> DataFrame:
     )
 
 
-def _weight(weighting: str, train: DataFrame) -> tuple[Column, int]:
-    row = class_weights(train).first()
-    if not row["n_positive"] or row["n_positive"] == row["n_train"]:
-        raise ValueError("a training set needs both classes")
-    if weighting == BALANCED:
-        negative, positive = row["weight_negative"], row["weight_positive"]
-    else:
-        negative, positive = 1.0, row["positive_ratio"]
-    return F.when(F.col(LABEL) == 1, float(positive)).otherwise(float(negative)), row["n_train"]
+@dataclass(frozen=True)
+class ClassCounts:
+    negative: int
+    positive: int
+
+    def __sub__(self, other: "ClassCounts") -> "ClassCounts":
+        return ClassCounts(self.negative - other.negative, self.positive - other.positive)
+
+    @property
+    def rows(self) -> int:
+        return self.negative + self.positive
+
+    def weight(self, weighting: str) -> Column:
+        if not self.negative or not self.positive:
+            raise ValueError("a training set needs both classes")
+        if weighting == BALANCED:
+            low, high = self.rows / (2 * self.negative), self.rows / (2 * self.positive)
+        else:
+            low, high = 1.0, self.negative / self.positive
+        return F.when(F.col(LABEL) == 1, high).otherwise(low)
+
+
+def class_counts(rows: DataFrame) -> ClassCounts:
+    return sum_counts(counts_by_fold(rows.withColumn("fold", F.lit(0))).values())
+
+
+def counts_by_fold(rows: DataFrame) -> dict[int, ClassCounts]:
+    """Both classes' rows in every fold, in one pass for all fits."""
+    found = rows.groupBy("fold").agg(
+        F.count_if(F.col(LABEL) != 1).alias("negative"),
+        F.count_if(F.col(LABEL) == 1).alias("positive"),
+    )
+    return {r["fold"]: ClassCounts(r["negative"], r["positive"]) for r in found.collect()}
+
+
+def sum_counts(counts: Iterable[ClassCounts]) -> ClassCounts:
+    counts = list(counts)
+    return ClassCounts(sum(c.negative for c in counts), sum(c.positive for c in counts))
 
 
-def fit(spec: ModelSpec, train: DataFrame) -> PipelineModel:
-    weight, n = _weight(spec.weighting, train)
+def fit(spec: ModelSpec, train: DataFrame, counts: ClassCounts | None = None) -> PipelineModel:
+    """Fit a model; ``counts`` are the training rows per class, if they are known already."""
+    counts = class_counts(train) if counts is None else counts
+    weighted = train.withColumn(WEIGHT, counts.weight(spec.weighting))
     assembler = VectorAssembler(inputCols=list(spec.columns), outputCol="features")
-    return Pipeline(stages=[assembler, spec.build(n)]).fit(train.withColumn(WEIGHT, weight))
+    return Pipeline(stages=[assembler, spec.build(counts.rows)]).fit(weighted)
 
 
 def score(spec: ModelSpec, model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -139,7 +169,7 @@ def logistic(columns: Sequence[str], name: str = "logistic") -> ModelSpec:
 
 
 def forest(
-    columns: Sequence[str], name: str = "random forest", *, trees: int, depth: int = 20,
+    columns: Sequence[str], name: str = "random forest", *, trees: int, depth: int = MAX_DEPTH,
     min_leaf: int = 1, feature_share: float | None = None, seed: int = 42,
 ) -> ModelSpec:
     """Random forest on balanced classes."""
@@ -200,26 +230,40 @@ def base_models(
 def test_scores(specs: Sequence[ModelSpec], rows: DataFrame, config: Config) -> DataFrame:
     """Fit each model on the training rows and score the test rows."""
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'").drop("fold")
-    models = run_parallel(
-        [lambda s=s: fit(s, train) for s in specs], config.parallelism
+    counts = class_counts(train)
+    return written(
+        [lambda s=s: score(s, fit(s, train, counts), test) for s in specs], config.parallelism
     )
-    return reduce(
-        DataFrame.unionByName,
-        [score(s, m, test) for s, m in zip(specs, models, strict=True)],
+
+
+def written(jobs: Sequence[Callable[[], DataFrame]], parallelism: int) -> DataFrame:
+    """Run jobs that each make a score table, and read what all of them have written.
+
+    A job writes its table as soon as its model is fitted and then lets go of the model: at most
+    ``parallelism`` models live at once, and the result is one scan, however many fits there are.
+    """
+    tables = PartTables(SparkSession.active(), "scores")
+    run_parallel(
+        [lambda k=k, job=job: tables.add(k, job()) for k, job in enumerate(jobs)], parallelism
     )
+    return tables.read()
 
 
 def oof_scores(specs: Sequence[ModelSpec], train: DataFrame, config: Config) -> DataFrame:
     """Out-of-fold scores: every training row is scored once, by a model that never saw it."""
 
+    counts = counts_by_fold(train)
+    total = sum_counts(counts.values())
+
     def one(spec: ModelSpec, fold: int) -> DataFrame:
-        model = fit(spec, train.where(F.col("fold") != fold))
+        rest = total - counts.get(fold, ClassCounts(0, 0))
+        model = fit(spec, train.where(F.col("fold") != fold), rest)
         return score(spec, model, train.where(F.col("fold") == fold))
 
     jobs = [
         lambda s=s, k=k: one(s, k) for s in specs for k in range(config.cv_folds)
     ]
-    return reduce(DataFrame.unionByName, run_parallel(jobs, config.parallelism))
+    return written(jobs, config.parallelism)
 
 
 def cv_average_precision(oof: DataFrame) -> DataFrame:
@@ -248,9 +292,6 @@ class Range:
             return int(min(self.high, max(self.low, round(value))))
         return value
 
-    def text(self) -> str:
-        return f"{self.low} to {self.high}" + (" (log scale)" if self.log else "")
-
 
 @dataclass(frozen=True)
 class SearchSpace:
@@ -319,7 +360,7 @@ def draw_trials(space: SearchSpace, config: Config) -> list[dict]:
         drawn = {name: r.draw(rng) for name, r in space.ranges.items()}
         for name, r in space.ranges.items():
             if r.is_tree_count:
-                drawn[name] = config.trees(drawn[name])
+                drawn[name] = config.search_trees(drawn[name])
         trials.append(drawn)
     return trials
 
@@ -335,7 +376,7 @@ def search(
     specs = [
         space.make(columns, str(i), **drawn, seed=config.seed) for i, drawn in enumerate(trials)
     ]
-    oof = materialize(oof_scores(specs, train, config), "search")
+    oof = oof_scores(specs, train, config)
     means = cv_average_precision(oof).groupBy("model").agg(F.avg("ap").alias("ap")).collect()
     by_trial = {row["model"]: row["ap"] for row in means}
     return SearchResult(space, [(drawn, by_trial[str(i)]) for i, drawn in enumerate(trials)])
@@ -354,12 +395,15 @@ def search_table(results: Sequence[SearchResult], train: DataFrame) -> DataFrame
 def hp_table(results: Sequence[SearchResult], train: DataFrame) -> DataFrame:
     """Search range and chosen value of every parameter."""
     rows = [
-        (r.space.name, name, r.space.ranges[name].text(), round(float(value), 4))
+        (r.space.name, name, float(own.low), float(own.high), own.log, round(float(value), 4))
         for r in results
         for name, value in r.best.items()
+        for own in [r.space.ranges[name]]
     ]
     return train.sparkSession.createDataFrame(
-        rows, "model string, hyperparameter string, search_space string, selected double"
+        rows,
+        "model string, hyperparameter string, low double, high double, log_scale boolean,"
+        " selected double",
     )
 
 
@@ -429,14 +473,21 @@ def finalist(cv: DataFrame) -> DataFrame:
 FULL_MODEL = "full model"
 
 
+def dropped_columns() -> dict[str, frozenset[str]]:
+    """Name of every ablation variant and the columns it goes without."""
+    single = {block: [block] for block in FEATURE_BLOCKS}
+    return {FULL_MODEL: frozenset()} | {
+        f"without {name}": frozenset(chain.from_iterable(FEATURE_BLOCKS[b] for b in blocks))
+        for name, blocks in (single | JOINT_BLOCKS).items()
+    }
+
+
 def ablation_variants(columns: Sequence[str]) -> dict[str, list[str]]:
-    """Column lists: all, without each block, and without rating and text."""
-    variants = {FULL_MODEL: list(columns)}
-    for block, dropped in FEATURE_BLOCKS.items():
-        variants[f"without {block}"] = [c for c in columns if c not in dropped]
-    review = FEATURE_BLOCKS["rating"] + FEATURE_BLOCKS["text"]
-    variants["without review (rating and text)"] = [c for c in columns if c not in review]
-    return variants
+    """Columns of the full model and of the model without each block or pair of blocks."""
+    return {
+        name: [c for c in columns if c not in dropped]
+        for name, dropped in dropped_columns().items()
+    }
 
 
 def ablation_folds(spec: ModelSpec, train: DataFrame, config: Config) -> DataFrame:

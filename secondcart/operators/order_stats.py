@@ -4,7 +4,8 @@ one task.
 A bare ``Window.orderBy`` sends all rows to one task. Here the order column is cut into buckets
 first: totals per bucket are small and give each bucket its starting offset, and inside a bucket
 an ordinary window finishes the job. Any set of bucket bounds gives the same result; good bounds
-only make the buckets even.
+only make the buckets even. Rows whose order column is NULL have no place in the order: they are
+left out. NULL is a group like any other.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ from pyspark.sql import functions as F
 from secondcart.functions.hashing import HASH32_BITS
 
 ROWS_PER_WINDOW = 1_000_000
-MAX_BUCKETS = 4096
 HASH_BUCKET_BITS = 10
 MAX_STRATA = 256
 
 
-def hash_bucket(h: Column) -> Column:
-    """Leading bits of a 32-bit hash: 1024 buckets that are even by construction."""
-    return F.shiftright(h, HASH32_BITS - HASH_BUCKET_BITS).cast("int")
+def hash_bucket_bits(rows: int, rows_per_window: int = ROWS_PER_WINDOW) -> int:
+    """Leading hash bits that number the buckets: at least 1024 buckets, and so many that one
+    holds about ``rows_per_window`` rows."""
+    return min(HASH32_BITS - 8, max(HASH_BUCKET_BITS, (rows // rows_per_window).bit_length()))
+
+
+def hash_bucket(h: Column, bits: int = HASH_BUCKET_BITS) -> Column:
+    """Leading bits of a 32-bit hash: buckets that are even by construction."""
+    return F.shiftright(h, HASH32_BITS - bits).cast("int")
 
 
 def bucket_edges(
@@ -36,21 +42,23 @@ def bucket_edges(
 ) -> list[float]:
     """Inner bucket bounds so that a bucket holds about ``rows_per_window`` rows.
 
-    Empty when all rows fit one window, which the number of rows decides (counted unless given).
-    The driver gets at most MAX_BUCKETS numbers; they come here so that every use in a plan sees
-    the same bounds.
+    The number of rows (counted unless given) decides how many there are; with none, one bucket
+    holds all. The driver gets one number per ``rows_per_window`` rows; they come here so that
+    every use in a plan sees the same bounds.
     """
     rows = values.count() if rows is None else rows
-    wanted = min(MAX_BUCKETS, math.ceil(rows / rows_per_window))
-    if wanted <= 1:
-        return []
+    wanted = max(1, math.ceil(rows / rows_per_window))
     shares = [i / wanted for i in range(1, wanted)]
     numeric = values.select(F.col(column).cast("double").alias("value"))
+    if not shares:
+        return []
     return sorted(set(numeric.approxQuantile("value", shares, 1 / (4 * wanted))))
 
 
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
     """``_bucket``: number of the bucket of a numeric column."""
+    if not edges:
+        return df.withColumn("_bucket", F.lit(0.0))
     splits = [-math.inf, *edges, math.inf]
     bucketizer = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket")
     numeric = df.withColumn("_value", F.col(column).cast("double"))
@@ -85,8 +93,15 @@ def running_totals_in_buckets(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # Null-safe, so that a NULL group finds its offsets as well.
+    renamed = {c: f"_of_{c}" for c in [*groups, bucket]}
+    before = before.withColumnsRenamed(renamed)
+    same = reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(other)) for c, other in renamed.items()]
+    )
     return (
-        df.join(before, [*groups, bucket], "left")
+        df.join(before, same, "left")
+        .drop(*renamed.values())
         .withColumns(
             {
                 name: F.col(f"_before_{name}") + F.sum(m).over(inside)
@@ -110,18 +125,10 @@ def running_totals(
 
     Pass ``edges`` when they are known from a smaller table with the same values.
     """
+    distinct = distinct.where(F.col(order_column).isNotNull())
     if edges is None:
         edges = bucket_edges(distinct, order_column, rows_per_window)
     order = F.desc(order_column) if descending else F.asc(order_column)
-    if not edges:
-        window = (
-            Window.partitionBy(*groups)
-            .orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return distinct.withColumns(
-            {name: F.sum(m).over(window) for name, m in measures.items()}
-        )
     return running_totals_in_buckets(
         with_bucket(distinct, order_column, edges), groups, "_bucket", [order], measures, descending
     )
@@ -129,7 +136,8 @@ def running_totals(
 
 def dense_index(df: DataFrame, h: Column, id_column: str, name: str = "row_idx") -> DataFrame:
     """Gap-free numbers from 0 in the order of a hash, ties by id."""
-    bucketed = df.withColumn("_h", h).withColumn("_bucket", hash_bucket(F.col("_h")))
+    bits = hash_bucket_bits(df.count())
+    bucketed = df.withColumn("_h", h).withColumn("_bucket", hash_bucket(F.col("_h"), bits))
     return (
         running_totals_in_buckets(
             bucketed, [], "_bucket", [F.asc("_h"), F.asc(id_column)], {name: F.lit(1)}
@@ -195,13 +203,14 @@ def hash_cutoffs(
 
     ``ranks(stratum, rows)`` says which ranks (from 1). Two passes and no shuffle of the data:
     the first counts rows per hash bucket, the second looks only into the buckets that hold a
-    wanted rank. The driver sees at most 1024 counts per stratum, and strata are limited.
+    wanted rank. The driver sees one count per bucket and stratum, and strata are limited.
     """
     stratum_column = F.lit(0) if stratum is None else F.col(stratum)
+    bits = hash_bucket_bits(df.count())
     keyed = df.select(
         stratum_column.alias("stratum"), h.alias("h"), F.col(id_column).alias("id")
-    ).withColumn("bucket", hash_bucket(F.col("h")))
-    limit = MAX_STRATA << HASH_BUCKET_BITS
+    ).withColumn("bucket", hash_bucket(F.col("h"), bits))
+    limit = MAX_STRATA << bits
     counts = keyed.groupBy("stratum", "bucket").count().limit(limit + 1).collect()
     if len(counts) > limit:
         raise ValueError(f"{stratum!r} has more than {MAX_STRATA} strata")

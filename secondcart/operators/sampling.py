@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secondcart.functions.hashing import hash32, hash60
 from secondcart.operators.order_stats import after_cutoff, dense_index, hash_cutoffs
 
-DRAWS_PER_TASK = 2_000_000
+# Rows whose draws are made together.
+BLOCK_ROWS = 50_000
 
 
 def _per_stratum(stratum: str, cutoffs: dict, expression: Callable) -> Column:
@@ -96,23 +99,73 @@ def hash_sample(
     return df.withColumn("_h", h).where(~after_cutoff(F.col("_h"), id_column, cuts[0])).drop("_h")
 
 
+def draws_per_block(
+    spark: SparkSession, rows: int, replicates: int, seed: int, block_rows: int
+) -> DataFrame:
+    """``(replicate, block, first, draws)``: how many of a replicate's ``rows`` draws fall into
+    each block of ``block_rows`` rows, a seeded multinomial; ``first`` numbers a block's draws so
+    that no two draws of a replicate share a number."""
+    sizes = [min(block_rows, rows - a) for a in range(0, rows, block_rows)]
+    shares = [s / rows for s in sizes]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for replicate in batch["id"]:
+                draws = np.random.default_rng([seed, replicate]).multinomial(rows, shares)
+                first = np.cumsum(draws) - draws
+                yield pd.DataFrame(
+                    {
+                        "replicate": np.full(len(sizes), replicate, np.int32),
+                        "block": np.arange(len(sizes)),
+                        "first": first,
+                        "draws": draws,
+                    }
+                )
+
+    return spark.range(replicates).mapInPandas(
+        deal, "replicate int, block long, first long, draws long"
+    )
+
+
 def bootstrap_draws(
-    df: DataFrame, id_column: str, replicates: int, seed: int
-) -> tuple[DataFrame, DataFrame]:
-    """Row numbers of ``df`` and the draws of each replicate.
+    cells: DataFrame,
+    id_column: str,
+    value: str,
+    replicates: int,
+    seed: int,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``(replicate, value)`` for every draw: as many draws per replicate as ``cells`` has rows,
+    with replacement.
 
-    Returns ``(indexed, draws)``: ``df`` with ``row_idx``, and one row ``(replicate, row_idx)``
-    per draw, ``rows of df`` draws per replicate, with replacement. All models share the draws.
+    Rows are numbered in the order of a hash and cut into blocks. A replicate first deals its
+    draws to the blocks, which is a small table; then each block makes its own draws against its
+    own rows, held as one array, so draws are made where their rows are and none is moved.
     """
-    spark = df.sparkSession
-    indexed = dense_index(df, hash32(seed, "row", id_column), id_column)
-    n = max(df.count(), 1)
-    tasks = max(
-        spark.sparkContext.defaultParallelism, math.ceil(replicates * n / DRAWS_PER_TASK)
+    numbered = dense_index(cells, hash32(seed, "row", id_column), id_column)
+    rows = max(cells.count(), 1)
+    block, place = F.expr(f"row_idx div {block_rows}"), F.col("row_idx") % block_rows
+    blocks = (
+        numbered.groupBy(block.alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct(place.alias("_place"), value))).alias("own"))
+        .select("block", F.transform("own", lambda c: c[value]).alias("own"))
     )
-    draws = spark.range(0, replicates * n, 1, tasks).select(
-        F.expr(f"cast(id div {n} as int)").alias("replicate"), (F.col("id") % n).alias("draw")
+    spark = cells.sparkSession
+    # Few blocks are repeated, so that replicates of one block keep several tasks busy.
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = math.ceil(wanted / math.ceil(rows / block_rows))
+    blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = draws_per_block(spark, rows, replicates, seed, block_rows).withColumn(
+        "group", F.col("replicate") % groups
     )
-    return indexed, draws.select(
-        "replicate", (hash60(seed, "boot", "replicate", "draw") % n).alias("row_idx")
+
+    def drawn(i: Column) -> Column:
+        at = hash60(seed, "boot", F.col("replicate"), i) % F.size("own")
+        return F.get("own", at.cast("int"))
+
+    numbers = F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)
+    return (
+        dealt.where("draws > 0")
+        .join(blocks, ["block", "group"])
+        .select("replicate", F.explode(F.transform(numbers, drawn)).alias(value))
     )

@@ -20,8 +20,8 @@ from secondcart.functions.lookups import (
     POLARITY_NAMES,
     QUARTILE_LABELS,
 )
-from secondcart.operators import cohort, describe, explain, features, inference, metrics, models
-from secondcart.operators.caching import persisted
+from secondcart.operators import cohort, describe, features, inference, metrics, models
+from secondcart.operators.caching import persisted, small_table
 from secondcart.operators.quality import assert_golden, assert_not_null
 from secondcart.operators.sentiment import (
     cross_fit,
@@ -88,7 +88,7 @@ def study_job(
         "boosting_difference": boosting_difference(study),
         "finalist_confusion": finalist_confusion(study),
         "ablation": models.ablation_summary(study.ablation_folds),
-        "shap_importance": explain.shap_importance(study.shap),
+        "shap_importance": study.shap_importance(),
     }
     for name, report in reports.items():
         write_result(report, f"{out}/{name}")
@@ -137,8 +137,8 @@ def regression_job(
     three text columns; when they are not reproduced the job stops before anything is written.
     """
     base = read_parquet(spark, f"{study_out}/modeling_base")
-    levels = read_parquet(spark, f"{study_out}/state_levels").orderBy("state_code").limit(1000)
-    names = [row["state_group"] for row in levels.collect()]
+    levels = read_parquet(spark, f"{study_out}/state_levels").orderBy("state_code")
+    names = [row["state_group"] for row in small_table(levels).collect()]
     decoded = features.decode_levels(base, "state_code", names, "state_group")
     assert_not_null(decoded, ["state_group"])
     rows = materialize(with_split_and_folds(decoded, config), "regression-rows")

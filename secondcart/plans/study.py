@@ -73,16 +73,23 @@ class Study:
         delivered = cohort.delivered_orders(self.tables["orders"], self.delivered_status)
         return cohort.orders_with_customer(delivered, self.tables["customers"])
 
+    # --- written once -------------------------------------------------------------------------
+
+    @cached_property
+    def _cohort(self) -> DataFrame:
+        persons = cohort.purchase_cohort(self.delivered(), self.config.horizon_days)
+        return materialize(persons, "cohort")
+
     def cohort(self) -> DataFrame:
-        return cohort.purchase_cohort(self.delivered(), self.config.horizon_days)
+        """One row per person: first order, repeat, eligibility and outcome. Funnel, checks and
+        features all start here, so the orders are read for it once."""
+        return self._cohort
 
     def first_order_features(self) -> DataFrame:
         return features.first_order_features(
             cohort.sample_of(self.cohort()), self.tables, self.item_order
         )
 
-    # --- written once -------------------------------------------------------------------------
-
     @cached_property
     def features(self) -> DataFrame:
         """Features before imputation."""
@@ -217,18 +224,31 @@ class Study:
             return materialize(folds, "ablation")
 
     @cached_property
-    def shap(self) -> DataFrame:
+    def _finalist_model(self):
         with persisted(self.train) as train:
-            model = models.fit(self.finalist, train)
-        sample = sampling.hash_sample(
+            return models.fit(self.finalist, train)
+
+    def explain_sample(self) -> DataFrame:
+        """A fixed number of test rows, for explaining a few of very many."""
+        return sampling.hash_sample(
             self.model_rows.where("split = 'test'"),
             models.ID,
             self.config.explain_rows,
             self.config.seed,
             tag="explain",
         )
-        values = explain.tree_shap(model, sample, self.tree_columns, models.ID)
-        return materialize(values, "shap")
+
+    def shap_of(self, rows: DataFrame) -> DataFrame:
+        return explain.tree_shap(self._finalist_model, rows, self.tree_columns, models.ID)
+
+    @cached_property
+    def shap(self) -> DataFrame:
+        """Attributions of every test row."""
+        return materialize(self.shap_of(self.model_rows.where("split = 'test'")), "shap")
+
+    def shap_importance(self) -> DataFrame:
+        unit = explain.attribution_unit(self._finalist_model)
+        return explain.shap_importance(self.shap, unit)
 
     # --- text ---------------------------------------------------------------------------------
 

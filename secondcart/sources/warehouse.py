@@ -3,7 +3,7 @@
 A warehouse folder holds ``orders``, ``lineitem``, ``customer``, ``nation``, ``part``,
 ``documents``, ``labels`` and ``events`` as Parquet. Some columns a study needs do not exist
 there (delivery dates, reviews of an order), so they are computed from the keys with integer
-arithmetic. Everything here is a projection or an equi-join: no row is dropped or sampled.
+arithmetic. Everything here is a projection or an equi-join over all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,16 @@ def read_warehouse(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def folder_state(spark: SparkSession, folder: str) -> str:
+    """Changes when a table of the folder is written again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    tables = path.getFileSystem(conf).listStatus(path)
+    return "|".join(
+        sorted(f"{t.getPath().getName()}:{t.getLen()}:{t.getModificationTime()}" for t in tables)
+    )
+
+
 def _hours(count: Column) -> Column:
     return F.make_dt_interval(F.lit(0), count.cast("int"))
 
@@ -96,7 +106,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 def products(spark: SparkSession, folder: str) -> DataFrame:
     return read_warehouse(spark, folder, "part").select(
         F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_partkey") % 50 != 0, F.col("p_type")).alias("product_category_name"),
+        F.col("p_type").alias("product_category_name"),
     )
 
 
@@ -109,46 +119,60 @@ def category(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def document_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """One review per document: rating from its labels, text from title and message."""
-    documents = read_warehouse(spark, folder, "documents").select("doc_id", "text")
-    labels = read_warehouse(spark, folder, "labels")
+def _rating() -> Column:
     quality, toxic = F.col("quality"), F.col("toxic")
-    rating = (
+    return (
         F.when((quality == 0) & (toxic == 1), 2)
         .when(quality == 0, 1)
         .when((quality == 1) & (toxic == 1), 3)
         .when(quality == 1, 5)
         .otherwise(4)
+        .cast("int")
     )
+
+
+def _title() -> Column:
+    return F.when(F.col("doc_id") % 2 != 0, F.lit(" "))
+
+
+def _message() -> Column:
+    return F.concat(F.lit("\n"), F.col("text"), F.lit(" "))
+
+
+def document_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """One review per document: rating from its labels, text from title and message."""
+    documents = read_warehouse(spark, folder, "documents").select("doc_id", "text")
+    labels = read_warehouse(spark, folder, "labels")
     return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("review_id"),
         F.col("doc_id").alias("order_id"),
-        rating.cast("int").alias("review_score"),
+        _rating().alias("review_score"),
         F.lit(None).cast("timestamp_ntz").alias("review_creation_date"),
-        F.when(F.col("doc_id") % 2 != 0, F.lit(" ")).alias("review_comment_title"),
-        F.when(
-            F.col("doc_id") % 3 != 0, F.concat(F.lit("\n"), F.col("text"), F.lit(" "))
-        ).alias("review_comment_message"),
+        _title().alias("review_comment_title"),
+        _message().alias("review_comment_message"),
+    )
+
+
+def document_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """Rating of every document and whether it has a text. The text becomes a flag in the scan,
+    before the join, so no text is shuffled."""
+    documents = read_warehouse(spark, folder, "documents").select(
+        "doc_id", has_text(consolidated_text(_title(), _message())).alias("has_text")
+    )
+    labels = read_warehouse(spark, folder, "labels")
+    return documents.join(labels, "doc_id", "left").select(
+        "doc_id", _rating().alias("review_score"), "has_text"
     )
 
 
 def sentiment(spark: SparkSession, folder: str, seed: int = 42) -> DataFrame:
     """Reviews of orders with their class probabilities; every 20th order has two."""
-    # The text flag is computed per document, before the join, so no text is shuffled.
-    documents = document_reviews(spark, folder).select(
-        F.col("review_id").alias("doc_id"),
-        "review_score",
-        has_text(
-            consolidated_text(F.col("review_comment_title"), F.col("review_comment_message"))
-        ).alias("has_text"),
-    )
+    documents = document_ratings(spark, folder)
     n_documents = read_warehouse(spark, folder, "documents").agg(F.count("*")).scalar()
     k = F.col("o_orderkey")
     copies = F.when(k % 20 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     reviews = (
         read_warehouse(spark, folder, "orders")
-        .where(k % 5 != 0)
         .select(
             "o_orderkey",
             "o_orderdate",

@@ -7,16 +7,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, IntegerType, StructType
 
 from secondcart.operators.caching import small_table
+from secondcart.sources.readers import TIMESTAMP_FORMAT
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a table of any size, one file per partition."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = (
+            writer.option("header", True)
+            .option("timestampNTZFormat", TIMESTAMP_FORMAT)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+        )
     writer.format(fmt).save(path)
 
 
@@ -47,6 +55,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/secondcart/{app}/{name}-{uuid.uuid4().hex}"
+
+
+class PartTables:
+    """One table that several jobs write side by side, each a folder of its own."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = new_path(spark, name)
+        self.schema = None
+
+    def add(self, number: int, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/part={number}")
+        self.schema = df.schema
+
+    def read(self) -> DataFrame:
+        schema = StructType(self.schema.fields).add("part", IntegerType())
+        return self.spark.read.schema(schema).parquet(self.path).drop("part")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -54,7 +84,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     repeating the joins that built it, and losing an executor costs a re-read, not a recompute.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/secondcart/{app}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

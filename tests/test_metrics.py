@@ -40,6 +40,16 @@ def sample():
     return y, s
 
 
+@pytest.mark.parametrize("rows_per_window", [1, 10**6])
+def test_rows_without_a_score_are_left_out(spark, rows_per_window):
+    rows = [("m", 1, 1, 0.9), ("m", 2, 0, None), ("m", 3, 0, 0.2), ("m", 4, 1, 0.5)]
+    df = spark.createDataFrame(rows, "model string, id long, label int, score double")
+    got = metrics.ranking_metrics(df, rows_per_window=rows_per_window).first()
+    assert (got["auc"], got["ap"]) == (1.0, 1.0)
+    assert metrics.roc_curve(df).where("fpr > 1 or tpr > 1").isEmpty()
+    assert metrics.lift_top(df, "id", 0.5, 1).first()["n_top"] == 2
+
+
 @pytest.mark.parametrize("rows_per_window", [20, 10**6])
 def test_auc_and_ap(spark, sample, rows_per_window):
     y, s = sample
@@ -125,15 +135,17 @@ def test_bootstrap_skips_one_class_replicates(spark):
     assert ci["n_replicates"] == n and ci["auc_low"] == 1.0
 
 
-def test_bootstrap_replicates_match_resampling(spark, sample):
+@pytest.mark.parametrize("block_rows", [50_000, 7])
+def test_bootstrap_replicates_match_resampling(spark, sample, block_rows):
     y, s = sample
     df = scored(spark, y[:80], s[:80])
-    indexed, draws = bootstrap_draws(df.select("id"), "id", 3, 42)
-    at = {r["row_idx"]: r["id"] for r in indexed.collect()}
-    got = {r["replicate"]: r for r in metrics.bootstrap_metrics(df, "id", 3, 42).collect()}
+    draws = bootstrap_draws(df.select("id", F.col("id").alias("at")), "id", "at", 3, 42, block_rows)
+    replicated = metrics.bootstrap_metrics(df, "id", 3, 42, block_rows)
+    got = {r["replicate"]: r for r in replicated.collect()}
     by_replicate = {}
     for r in draws.collect():
-        by_replicate.setdefault(r["replicate"], []).append(at[r["row_idx"]])
+        by_replicate.setdefault(r["replicate"], []).append(r["at"])
+    assert len(by_replicate) == 3
     for b, ids in by_replicate.items():
         yy, ss = y[ids], s[ids]
         assert got[b]["auc"] == pytest.approx(brute_auc(yy, ss))

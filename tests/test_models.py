@@ -78,7 +78,8 @@ def test_search_is_seeded_and_in_range(train):
     assert result.best == max(result.trials, key=lambda t: t[1])[0]
     table = models.hp_table([result], train)
     assert table.count() == 4
-    assert "1 to 40 (log scale)" in {r["search_space"] for r in table.collect()}
+    leaf = table.where("hyperparameter = 'min_leaf'").first()
+    assert (leaf["low"], leaf["high"], leaf["log_scale"]) == (1.0, 40.0, True)
 
 
 def test_search_metric_is_the_mean_fold_ap(train):
@@ -95,13 +96,35 @@ def test_search_metric_is_the_mean_fold_ap(train):
     assert mean_ap == pytest.approx(np.mean(values), abs=1e-9)
 
 
-def test_evaluator_for_cross_validators(train):
-    spec = models.logistic(COLUMNS)
-    model = models.fit(spec, train)
-    evaluator = metrics.AveragePrecisionEvaluator(labelCol="target")
-    expected = metrics.average_precision(models.score(spec, model, train)).first()["ap"]
-    assert evaluator.evaluate(model.transform(train)) == pytest.approx(expected)
-    assert evaluator.isLargerBetter()
+def test_one_live_model_per_worker_thread(train, monkeypatch):
+    """Every fit is written and let go before the next starts on its thread."""
+    import gc
+    import weakref
+
+    made, most = [], [0]
+    plain = models.score
+
+    def watched(spec, model, rows):
+        made.append(weakref.ref(model))
+        gc.collect()
+        most[0] = max(most[0], sum(r() is not None for r in made))
+        return plain(spec, model, rows)
+
+    monkeypatch.setattr(models, "score", watched)
+    specs = [models.logistic(COLUMNS, f"m{i}") for i in range(4)]
+    oof = models.oof_scores(specs, train, replace(CONFIG, parallelism=2))
+    assert len(made) == 12 and most[0] <= 3
+    assert oof.select("model").distinct().count() == 4
+
+
+def test_class_counts_give_the_weights_of_every_fold(train):
+    counts = models.counts_by_fold(train)
+    rest = models.sum_counts(counts.values()) - counts[0]
+    row = models.class_weights(train.where("fold <> 0")).first()
+    assert (rest.rows, rest.positive) == (row["n_train"], row["n_positive"])
+    assert models.class_counts(train) == models.sum_counts(counts.values())
+    with pytest.raises(ValueError):
+        models.ClassCounts(5, 0).weight(models.BALANCED)
 
 
 def test_metrics_table_and_finalist(rows, train):
@@ -199,8 +222,9 @@ def test_attributions_are_shapley_values(spark, train, kind):
 def test_importance_blanks_meaningless_signs(spark):
     rows = [("p", f, float(v), s * v) for f, s in (("rating", 2.0), ("state_code", 1.0)) for v in range(5)]
     shap = spark.createDataFrame(rows, "id string, feature string, value double, phi double")
-    got = {r["feature"]: r for r in explain.shap_importance(shap).collect()}
+    got = {r["feature"]: r for r in explain.shap_importance(shap, "log-odds").collect()}
     assert got["rating"]["mean_abs_shap"] == 4.0
+    assert got["rating"]["unit"] == "log-odds"
     assert got["rating"]["value_shap_correlation"] == pytest.approx(1.0)
     assert got["state_code"]["value_shap_correlation"] is None
     assert got["rating"]["readable_name"] == "Review rating"

@@ -56,6 +56,18 @@ def test_running_totals_in_buckets_equal_one_window(values, descending):
     assert many.agg(F.max("upto")).first()[0] == 5000
 
 
+def test_null_groups_and_null_values_in_any_number_of_buckets(spark):
+    rows = [(g, float(v), v % 3) for g in ("a", None) for v in range(50)]
+    rows += [("a", None, 7), (None, None, 7)]
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    measures = {"upto": F.col("n")}
+    one = running_totals(df, ["g"], "v", measures, edges=[])
+    many = running_totals(df, ["g"], "v", measures, edges=[float(v) for v in range(0, 50, 3)])
+    assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+    totals = {r["g"]: r["m"] for r in many.groupBy("g").agg(F.max("upto").alias("m")).collect()}
+    assert totals == {"a": 49, None: 49}
+
+
 @pytest.mark.parametrize("rows_per_window", [300, 1_000_000])
 def test_exact_quantiles(values, rows_per_window):
     df, v = values
@@ -138,15 +150,18 @@ def test_hash_sample_size(values):
     assert sampling.hash_sample(df, "id", 10**6, 42).count() == 20_000
 
 
-def test_bootstrap_draws(values):
+@pytest.mark.parametrize("block_rows", [50_000, 16])
+def test_bootstrap_draws(values, block_rows):
     df, _ = values
-    small = df.where("id < 50")
-    indexed, draws = sampling.bootstrap_draws(small, "id", 20, 42)
-    assert {r["row_idx"] for r in indexed.collect()} == set(range(50))
+    small = df.where("id < 50").select("id", F.col("id").alias("at"))
+    draws = sampling.bootstrap_draws(small, "id", "at", 400, 42, block_rows)
     per_replicate = draws.groupBy("replicate").count().collect()
-    assert len(per_replicate) == 20 and all(r["count"] == 50 for r in per_replicate)
-    span = draws.agg(F.min("row_idx"), F.max("row_idx")).first()
-    assert span[0] >= 0 and span[1] <= 49
+    assert len(per_replicate) == 400 and all(r["count"] == 50 for r in per_replicate)
+    # 20,000 draws with replacement: each row about 400 times, with a Poisson spread.
+    per_row = [r["count"] for r in draws.groupBy("at").count().collect()]
+    assert len(per_row) == 50 and 300 < min(per_row) and max(per_row) < 500
+    distinct = draws.groupBy("replicate").agg(F.count_distinct("at").alias("n"))
+    assert distinct.agg(F.avg("n")).first()[0] == pytest.approx(50 * (1 - 0.98**50), rel=0.02)
 
 
 def test_lookup_by_hot_key_matches_a_plain_join(values):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from secondcart.operators import cohort, metrics, sampling
 from secondcart.operators.order_stats import running_totals
 from secondcart.plans import queries
+from secondcart.sources import warehouse
 
 
 def plan_of(df) -> str:
@@ -98,6 +99,24 @@ def test_many_distinct_scores_do_not_meet_in_one_task(spark, fixed_partitions):
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 12_000
 
 
+def test_draws_are_counted_before_they_are_shuffled(spark):
+    scores = spark.range(200).select(
+        F.lit("m").alias("model"), "id", (F.col("id") % 2).cast("int").alias("label"),
+        (F.col("id") % 10 / 10).alias("score"),
+    )
+    plan = simple_plan(metrics.bootstrap_metrics(scores, "id", 5, 42))
+    made = plan.index("Generate inline")
+    counted = max(i for i in (m.start() for m in re.finditer("partial_sum", plan)) if i < made)
+    assert "Exchange" not in plan[counted:made]
+
+
+def test_text_is_not_shuffled_for_the_ratings(spark, folder, shuffled_joins):
+    plan = plan_of(warehouse.document_ratings(spark, folder))
+    for block in plan.split("\n\n"):
+        if "Exchange" in block.split("\n")[0]:
+            assert not re.search(r"\btext#", block)
+
+
 def test_each_order_source_is_shuffled_once(spark, folder, shuffled_joins):
     plan = simple_plan(queries.new_study(spark, folder).first_order_features())
     on_order = re.findall(r"Exchange hashpartitioning\(order_id#\d+L?, \d+\)", plan)
