@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 # Characters that separate words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-SLICE_BYTES = 8 << 20
+# Text that a Python worker handles at a time; what it builds on the way is some thirty times that.
+SLICE_BYTES = 2 << 20
 
 
 def exact_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -47,6 +48,8 @@ def text_slices(
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    # Workers live on between tasks, and what Arrow's pool keeps would add up beside the heap.
+    pa.default_memory_pool().release_unused()
 
 
 def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ ALL_PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*\Z")
 # The vocabulary file's split rule, for plain characters in lower case; a blank ends a word.
 PIECE = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 SPECIAL = "<|"
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 200_000
 PIECES_PER_LINE = 200
 
 
