@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -21,6 +22,12 @@ def persisted(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+def few_partitions(df: DataFrame, rows_per_partition: int = 20_000) -> DataFrame:
+    """Merge the partitions of a table that has few rows. An iterative fit starts several jobs per
+    tree; on a small table their tasks would cost more than their work."""
+    return df.coalesce(max(1, math.ceil(df.count() / rows_per_partition)))
+
+
 def small_table(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     """A report-sized table as local rows, so that joining it never shuffles the other side.
 

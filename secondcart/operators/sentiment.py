@@ -69,7 +69,10 @@ def bag_of_words_scorer(train: DataFrame, rows: DataFrame) -> DataFrame:
 
 def batch_scorer(make_predict: Callable[[], Callable], batch_size: int = 64) -> Scorer:
     """Scorer around an external, already trained model. ``make_predict`` is called once per
-    Python worker and returns a function from an array of texts to class probabilities."""
+    Python worker and returns a function from an array of texts to class probabilities.
+
+    Nothing is trained here, so the training fold is not used: the scores are those of a model
+    that never saw the texts only if that model was trained on other texts."""
     predict = predict_batch_udf(
         make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size
     )

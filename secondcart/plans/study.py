@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from secondcart.config import Config
 from secondcart.functions.lookups import CATEGORY_DURABILITY, TREE_FEATURES
 from secondcart.operators import cohort, explain, features, inference, models, sampling, sentiment
-from secondcart.operators.caching import persisted
+from secondcart.operators.caching import few_partitions, persisted
 from secondcart.operators.describe import two_proportion_tests
 from secondcart.operators.quality import assert_not_null, assert_same_count, assert_unique
 from secondcart.sources.writers import materialize
@@ -173,13 +173,13 @@ class Study:
     @cached_property
     def base_scores(self) -> DataFrame:
         specs = models.base_models(self.tree_columns, self.linear_columns, self.config)
-        with persisted(self.model_rows) as rows:
+        with persisted(few_partitions(self.model_rows)) as rows:
             scores = models.test_scores(specs, rows, self.config)
             return materialize(scores, "base-scores")
 
     @cached_property
     def searches(self) -> list[models.SearchResult]:
-        with persisted(self.train) as train:
+        with persisted(few_partitions(self.train)) as train:
             jobs = [
                 lambda space=space: models.search(space, train, self.tree_columns, self.config)
                 for space in models.SEARCH_SPACES
@@ -194,14 +194,14 @@ class Study:
     @cached_property
     def final_scores(self) -> DataFrame:
         """Test scores of the logistic and the tuned models."""
-        with persisted(self.model_rows) as rows:
+        with persisted(few_partitions(self.model_rows)) as rows:
             return materialize(
                 models.test_scores(self.final_specs, rows, self.config), "test-scores"
             )
 
     @cached_property
     def final_oof(self) -> DataFrame:
-        with persisted(self.train) as train:
+        with persisted(few_partitions(self.train)) as train:
             return materialize(
                 models.oof_scores(self.final_specs, train, self.config), "oof-scores"
             )
@@ -219,13 +219,13 @@ class Study:
 
     @cached_property
     def ablation_folds(self) -> DataFrame:
-        with persisted(self.train) as train:
+        with persisted(few_partitions(self.train)) as train:
             folds = models.ablation_folds(self.finalist, train, self.config)
             return materialize(folds, "ablation")
 
     @cached_property
     def _finalist_model(self):
-        with persisted(self.train) as train:
+        with persisted(few_partitions(self.train)) as train:
             return models.fit(self.finalist, train)
 
     def explain_sample(self) -> DataFrame:
