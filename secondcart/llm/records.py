@@ -119,6 +119,9 @@ def _write_shard(batches, folder: str, vocabulary: str, end_id: int) -> Iterator
     records.close()
     index.close()
     for temporary, final in paths.values():
+        # An earlier attempt may have got here; not every store renames over a file.
+        if store.get_file_info(final).type != arrow_fs.FileType.NotFound:
+            store.delete_file(final)
         store.move(temporary, final)
     yield pa.RecordBatch.from_pydict(
         {
