@@ -10,6 +10,7 @@ from secondcart.config import Config
 from secondcart.functions.lookups import TREE_FEATURES
 from secondcart.operators.quality import QualityError
 from secondcart.plans import jobs
+from secondcart.plans.study import Study
 from secondcart.sources import warehouse
 
 from dataclasses import replace
@@ -80,5 +81,26 @@ def test_sentiment_from_the_command_line(spark, folder, tmp_path):
     reviews.write.parquet(str(tmp_path / "reviews"))
     main(["sentiment", "--reviews", str(tmp_path / "reviews"), "--out", str(tmp_path / "out"), "--quick"])
     table = spark.read.parquet(str(tmp_path / "out" / "sentiment"))
-    assert table.count() == 1000 and table.where("prob_pos is not null").count() == 666
+    assert table.count() == 1000 and table.where("prob_pos is not null").count() == 1000
     assert read_report(spark, str(tmp_path / "out"), "sentiment_report").count() == 6
+
+
+def test_sentiment_feeds_the_study(spark, folder, tmp_path):
+    """The probabilities that the sentiment job writes are those of the customer table."""
+    jobs.sentiment_job(warehouse.document_reviews(spark, folder), str(tmp_path), CONFIG)
+    written = spark.read.parquet(str(tmp_path / "sentiment"))
+    tables = warehouse.logical_tables(spark, folder) | {"sentiment": written}
+    study = Study(
+        tables, CONFIG, warehouse.PART_TYPE_DURABILITY,
+        ("order_item_id", "product_id", "tie_supplier", "tie_price"),
+        delivered_status=warehouse.DELIVERED_STATUS,
+    )
+    found = study.features.join(written, "order_id").select(
+        "sent_pos", "prob_pos", "sent_neg", "prob_neg", "rating", "review_score"
+    )
+    rows = found.collect()
+    assert len(rows) > 20
+    for r in rows:
+        assert (r.sent_pos, r.sent_neg, r.rating) == (r.prob_pos, r.prob_neg, r.review_score)
+    used = study.modeling_base().where("sent_pos > 0").count()
+    assert used == study.features.where("sent_pos > 0").count() == len(rows)
