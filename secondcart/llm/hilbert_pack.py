@@ -106,7 +106,7 @@ def _tokens(batches, vocabulary: str, end_id: int, seed: int) -> Iterator[pa.Rec
         )
 
 
-def _pieces(batches, starts: dict[int, int], width: int, length: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches, starts: list[int], width: int, length: int) -> Iterator[pa.RecordBatch]:
     kind = f"<u{width}"
     at: dict[int, int] = {}
     for batch in batches:
@@ -142,6 +142,26 @@ PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long,"
     " offset long"
 )
+# Steps of the curve for each stretch.
+STEPS_PER_PARTITION = 16
+
+
+def even_stretches(sizes: list[int], n: int) -> tuple[list[int], list[int]]:
+    """Join neighbouring steps into at most ``n`` stretches of about equal size: where each
+    stretch starts, and the stretch of each step."""
+    total = sum(sizes)
+    starts: list[int] = []
+    of, at, last = [], 0, -1
+    for size in sizes:
+        share = min(n - 1, (2 * at + size) * n // (2 * total)) if total else 0
+        if share != last:
+            starts.append(at)
+            last = share
+        of.append(len(starts) - 1)
+        at += size
+    return starts, of
+
+
 def pack(
     docs: DataFrame,
     vocabulary: str,
@@ -153,9 +173,10 @@ def pack(
 
     Every document becomes its token ids and ``end_id``. Its hashed token counts are projected to
     ``DIMENSIONS`` coordinates, whose place on a Hilbert curve is its sort key: documents with
-    similar words lie near each other and share sequences. The curve is cut into as many
-    stretches as there are shuffle partitions, with equally many documents each; a stretch's
-    tokens begin where those of the stretches before it end. So only the last sequence of all has
+    similar words lie near each other and share sequences. The curve is cut into small steps with
+    equally many documents each, and neighbouring steps form as many stretches as there are
+    shuffle partitions, with equally many tokens; a stretch's tokens begin where those of the
+    stretches before it end. Limits and sizes of steps are all that the driver gets to know. So only the last sequence of all has
     padding, and each task packs its stretch alone. Token ids are written once to the shared
     folder and cross the network once.
 
@@ -179,21 +200,21 @@ def pack(
     spread = F.shiftrightunsigned(F.xxhash64("row"), 64 - SPREAD_BITS)
     keyed = encoded.withColumn("key", F.shiftleft("curve", SPREAD_BITS).bitwiseOR(spread))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / n for k in range(1, n)]
-    found = keyed.agg(F.percentile_approx("key", shares, max(10_000, 20 * n))) if shares else None
-    limits = sorted(set((found and found.first()[0]) or []))
+    fine = n * STEPS_PER_PARTITION
+    shares = [k / fine for k in range(1, fine)]
+    found = keyed.agg(F.percentile_approx("key", shares, max(10_000, 20 * fine))).first()[0]
+    # One step alone gets a limit above every key.
+    limits = sorted(set(found or [])) or [1 << 62]
     splits = [-float("inf"), *map(float, limits), float("inf")]
-    stretch = Bucketizer(splits=splits, inputCol="key", outputCol="place")
-    placed = stretch.transform(keyed).withColumn("stretch", F.col("place").cast("int"))
-    totals = dict(placed.groupBy("stretch").agg(F.sum("n")).collect())
-    starts, position = {}, 0
-    for k in range(len(limits) + 1):
-        starts[k] = position
-        position += totals.get(k, 0)
+    step = Bucketizer(splits=splits, inputCol="key", outputCol="place")
+    placed = step.transform(keyed).withColumn("step", F.col("place").cast("int"))
+    totals = dict(placed.groupBy("step").agg(F.sum("n")).collect())
+    starts, stretch_of = even_stretches([totals.get(k, 0) for k in range(len(splits) - 1)], n)
     width = np.dtype(word_tokenizer(vocabulary).dtype).itemsize
     return (
-        placed.select("stretch", "key", "row", "doc_id", "ids")
-        .repartitionById(len(limits) + 1, F.col("stretch"))
+        placed.withColumn("stretch", F.get(F.lit(stretch_of), F.col("step")))
+        .select("stretch", "key", "row", "doc_id", "ids")
+        .repartitionById(len(starts), F.col("stretch"))
         .sortWithinPartitions("stretch", "key", "row")
         .mapInArrow(lambda batches: _pieces(batches, starts, width, length), PIECES)
     )
