@@ -32,6 +32,8 @@ BLOCK = frozenset(
     " title tr ul".split()
 )
 # Words in a class, an id or a role that mark such elements; compared with whole words only.
+# Inside an article a longer name also counts if all its other words are in NAME_WORDS, so that
+# `share-buttons` does and `related-work` does not.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment"
     " comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login"
@@ -39,12 +41,29 @@ ASIDE_WORDS = frozenset(
     " popup promo promoted promotion related respond search share sharing sidebar signup social"
     " sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+NAME_WORDS = frozenset(
+    "area article articles bar block box button buttons container content email form google icon"
+    " icons inline inner item items link links list main media module news page post posts section"
+    " site slot thread top bottom left right unit wrap wrapper".split()
+)
+# Words that say what an element is next to or has, not what it is.
+NOT_NAMES = frozenset("and has no of or the to with without".split())
+# Elements that an article is made of. Their ids and labels are mostly made from their titles.
+PARTS = frozenset(
+    "h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figure figcaption table section li dt dd".split()
+)
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figure figcaption".split())
+# Ids of sections that hold comments all the same.
+COMMENT_IDS = frozenset(
+    ["comments", "comment section", "comments section", "comment list", "respond", "disqus thread"]
+)
 IMPLIED_END = {"p": frozenset(["p"]), "li": frozenset(["li"]), "tr": frozenset(["tr", "td", "th"])}
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 REST = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
 MARKS = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\shidden(?=[\s=>])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORD = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"([a-z])([A-Z])")
 
 WINDOW = 3
 # Without an article element: characters in a window that count as a surge, and the part of the
@@ -67,15 +86,39 @@ class Line:
         return " ".join(html_entities.unescape("".join(self.pieces)).split())
 
 
-def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
+def _marks_aside(kind: str, value: str, name: str, part: bool, in_main: bool) -> bool:
+    """Whether a class, id, role or label says that an element is not text of the page."""
+    # camelCase and underscores count as word borders, as hyphens do
+    value = value if kind == "class" else CAMEL.sub(r"\1 \2", value)
+    if part and kind == "aria-label":
+        return False
+    if part and kind == "id":
+        return name not in TITLES and " ".join(WORD.findall(value.lower())) in COMMENT_IDS
+    for token in value.split() if kind == "class" else [value]:
+        found = WORD.findall(CAMEL.sub(r"\1 \2", token).lower())
+        telling = ASIDE_WORDS.intersection(found)
+        if in_main:
+            # as with the element itself, a header there belongs to the article
+            telling -= {"header"}
+        if not telling or not NOT_NAMES.isdisjoint(found):
+            continue
+        if not (part or in_main) or all(w in telling or w in NAME_WORDS for w in found):
+            return True
+    return False
+
+
+def _is_aside(name: str, attributes: str, in_article: bool, in_main: bool) -> bool:
     if name in ASIDE or (name == "header" and not in_article):
         return True
     if "=" in attributes or "hidden" in attributes:
         if name not in ("html", "body", "article", "main"):
-            for _, value in MARKS.findall(attributes):
-                # camelCase and underscores count as word borders, as hyphens do
-                parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-                if not ASIDE_WORDS.isdisjoint(WORD.findall(parts)):
+            marks = MARKS.findall(attributes)
+            # docutils writes sections as div
+            part = name in PARTS or any(
+                k.lower() == "class" and "section" in v.strip("\"'").split() for k, v in marks
+            )
+            for kind, value in marks:
+                if _marks_aside(kind.lower(), value.strip("\"'"), name, part, in_main):
                     return True
             return bool(HIDDEN.search(f" {attributes}"))
     return False
@@ -159,7 +202,7 @@ def lines_of(page: str) -> list[Line]:
             stack.append(
                 (
                     name,
-                    above[1] or _is_aside(name, attributes, above[3]),
+                    above[1] or _is_aside(name, attributes, above[3], above[2]),
                     above[2] or name in MAIN or 'role="main"' in attributes,
                     above[3] or name == "article",
                 )
