@@ -66,10 +66,8 @@ WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"([a-z])([A-Z])")
 
 WINDOW = 3
-# Without an article element: characters in a window that count as a surge, and the part of the
-# largest region's length that another region needs.
+# Without an article element: characters in a window that count as a surge.
 SURGE = 80
-REGION_SHARE = 0.2
 LINK_SHARE = 0.5
 
 
@@ -219,11 +217,10 @@ def lines_of(page: str) -> list[Line]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Text between the surge and the dive of the page's line lengths.
 
-    Lines that lie in menus, adverts, forms and so on have length 0, as have lines outside the
-    article where the page marks one, and link lists elsewhere. Sums over ``window`` lines rise
-    from the threshold where a region of text begins and fall below it where it ends. Inside a
-    marked article any text is a surge and all regions stay; elsewhere a region also needs a part
-    of the largest region's length.
+    Lines that lie in menus, adverts, forms and so on are taken out, as are lines outside the
+    article where the page marks one, and link lists elsewhere. What is left of a marked article
+    is text. Elsewhere sums over ``window`` of the lines left rise to the threshold where the text
+    begins and fall below it for good where it ends; all lines between the two stay.
     """
     if not page:
         return ""
@@ -238,35 +235,22 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             return 0
         return len(text)
 
-    sizes = [length(x, t) for x, t in zip(lines, texts, strict=True)]
-    threshold = 1 if marked else min(surge, max(1, sum(sizes)))
+    kept = [(t, n) for x, t in zip(lines, texts, strict=True) if (n := length(x, t))]
+    if marked or not kept:
+        return " ".join(t for t, _ in kept)
+    sizes = [n for _, n in kept]
+    threshold = min(surge, sum(sizes))
     padded = [0] * (window - 1) + sizes + [0] * (window - 1)
-    total = sum(padded[:window])
-    regions: list[list[int]] = []
-    inside = False
+    # the window at i holds the lines from i - window + 1 to i
+    total = sum(padded[: window - 1])
+    surges = []
     for i in range(len(padded) - window + 1):
-        if i:
-            total += padded[i + window - 1] - padded[i - 1]
+        total += padded[i + window - 1]
         if total >= threshold:
-            first, last = max(0, i - window + 1), min(i, len(sizes) - 1)
-            if inside and first <= regions[-1][1] + 1:
-                regions[-1][1] = last
-            else:
-                regions.append([first, last])
-            inside = True
-        else:
-            inside = False
-    weights = [sum(sizes[a : b + 1]) for a, b in regions]
-    least = 0 if marked else REGION_SHARE * max(weights, default=0)
-    kept, done = [], 0
-    for (a, b), weight in zip(regions, weights, strict=True):
-        if weight >= least:
-            a = max(a, done)
-            kept.extend(
-                t for t, n in zip(texts[a : b + 1], sizes[a : b + 1], strict=True) if n
-            )
-            done = b + 1
-    return " ".join(kept)
+            surges.append(i)
+        total -= padded[i]
+    first, last = max(0, surges[0] - window + 1), surges[-1]
+    return " ".join(t for t, _ in kept[first : last + 1])
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:

@@ -41,3 +41,28 @@ def test_known_names_are_not_text():
     ]
     page = f"<article><p>One</p>{''.join(junk)}<p>two</p></article>"
     assert html_text.main_text(page) == "One two"
+
+
+def test_without_an_article_an_advert_does_not_end_the_text():
+    prose = [f"Paragraph {k} " + "x" * 386 for k in range(10)]
+    closing = [f"Closing {k} " + "y" * 290 for k in range(2)]
+    body = "".join(f"<p>{p}</p>" for p in prose)
+    for junk in (
+        '<div class="ad"><p>Buy</p><p>now</p><p>here</p></div>',
+        "<form><p>Name</p><p>Mail</p><p>Send</p></form>",
+        "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(5)),
+    ):
+        end = "".join(f"<p>{p}</p>" for p in closing)
+        page = f"<body><h1>A title</h1>{junk}{body}{junk}{end}</body>"
+        assert html_text.main_text(page) == " ".join(["A title", *prose, *closing])
+
+
+def test_without_an_article_short_lines_between_paragraphs_stay():
+    items = [f"short entry number {k % 10}" for k in range(12)]
+    lines = "".join(f"<li>{x}</li>" for x in items)
+    page = f"<body><p>{'a' * 500}</p><ul>{lines}</ul><p>{'b' * 500}</p></body>"
+    assert html_text.main_text(page) == " ".join(["a" * 500, *items, "b" * 500])
+    tiny = "".join(f"<p>entry {k}</p>" for k in range(6))
+    page = f"<body>{tiny}<p>{'a' * 500}</p><p>{'b' * 500}</p>{tiny}</body>"
+    ends = "entry 4 entry 5", "entry 0 entry 1"
+    assert html_text.main_text(page) == f"{ends[0]} {'a' * 500} {'b' * 500} {ends[1]}"
