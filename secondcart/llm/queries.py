@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from secondcart.llm import (
+    column_bwt,
     exact_dedup,
     fertility,
     fm_index,
@@ -14,7 +15,9 @@ from secondcart.llm import (
     html_text,
     mixing,
     privacy,
+    ptolemy,
     records,
+    resample,
     simhash,
     url_filter,
 )
@@ -85,6 +88,21 @@ def op10_line_block_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main_text(read_warehouse(spark, folder, "pages"))
 
 
+def op11_overlapped_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_warehouse(spark, folder, "documents")
+    return resample.importance_ranks(docs, read_warehouse(spark, folder, "benchmark"))
+
+
+def op12_column_bwt(spark: SparkSession, folder: str) -> DataFrame:
+    done = column_bwt.remove_repeated_bytes(read_warehouse(spark, folder, "documents"))
+    return done.drop("kept")
+
+
+def op13_ptolemaic_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    done = ptolemy.cluster_vectors(read_warehouse(spark, folder, "embeddings"))
+    return done.drop("centroid")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -98,6 +116,9 @@ QUERIES: dict[str, Query] = {
         op8_binary_records,
         op9_tokeniser_fertility,
         op10_line_block_text,
+        op11_overlapped_ngrams,
+        op12_column_bwt,
+        op13_ptolemaic_pivots,
     )
 }
 
@@ -110,4 +131,5 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = min(doc_id) OVER same AS kept, sha256({NORMALISED}) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY {NORMALISED})
 """,
+    "op13_ptolemaic_pivots": ptolemy.oracle(),
 }
