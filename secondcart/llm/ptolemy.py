@@ -239,7 +239,7 @@ def cluster_vectors(
     The driver holds the centres and pivots; vectors and their pivot distances stay in the table.
     """
     points = materialize(kept_points(vectors, dimension, scale), "points")
-    size = F.greatest(F.array_max("point"), -(F.array_min("point") + 1))
+    size = F.greatest(*(F.abs(f("point").cast("double")) for f in (F.array_max, F.array_min)))
     if (points.agg(F.max(size)).first()[0] or 0) > LARGEST:
         raise ValueError(f"a component is beyond {LARGEST} after scaling")
     spark = points.sparkSession
