@@ -193,18 +193,52 @@ CTES: dict[str, str] = {
             count(*) FILTER (label = 1 AND score >= threshold) AS tp
         FROM scores JOIN (SELECT model, threshold FROM limits) USING (model)
         WHERE split = 'test' GROUP BY ALL""",
-    "test_idx": f"""
-        SELECT customer_unique_id, row_number() OVER (ORDER BY h, customer_unique_id) - 1 AS row_idx
-        FROM (SELECT customer_unique_id, {_h32("'42'", "'row'", "customer_unique_id")} AS h
-              FROM splits WHERE split = 'test')""",
+    "cells": f"""
+        SELECT *, row_number() OVER (ORDER BY {_h32("'42'", "'row'", "first")}, first) - 1 AS place
+        FROM (SELECT label, strong, weak, count(*) AS persons, min(customer_unique_id) AS first
+              FROM (SELECT a.customer_unique_id, a.label, a.score AS strong, b.score AS weak
+                    FROM scores a JOIN scores b USING (customer_unique_id)
+                    WHERE a.split = 'test' AND a.model = 'strong' AND b.model = 'weak')
+              GROUP BY ALL)""",
+    "tree": """
+        SELECT level, (1 << level) + (place >> (depth - level)) AS node, sum(persons) AS weight
+        FROM cells, (SELECT CAST(ceil(log2(count(*))) AS INTEGER) AS depth FROM cells),
+            range(0, depth + 1) l(level)
+        GROUP BY ALL""",
     "draws": f"""
-        SELECT b AS replicate,
-            {_h60("'42'", "'boot'", "b", "i")} % (SELECT count(*) FROM test_idx) AS row_idx
-        FROM range(0, 1000) r(b), range(0, (SELECT count(*) FROM test_idx)) d(i)""",
+        SELECT replicate, node - (1 << level) AS place, draws FROM (
+            WITH RECURSIVE split AS (
+                SELECT 0 AS level, b AS replicate, CAST(1 AS BIGINT) AS node,
+                    (SELECT CAST(sum(persons) AS BIGINT) FROM cells) AS draws
+                FROM range(0, 1000) r(b)
+                UNION ALL
+                SELECT level + 1, replicate, 2 * node + side, CASE side WHEN 0 THEN k ELSE draws - k END
+                FROM (
+                    SELECT level, replicate, node, draws,
+                        CASE WHEN p >= 1 THEN draws ELSE list_reduce(
+                            list_transform(range(0, draws), lambda i: exp(
+                                lgamma(draws + 1) - lgamma(greatest(i, 0) + 1) - lgamma(draws - i + 1)
+                                + i * ln(p) + (draws - i) * ln(1 - p))),
+                            lambda acc, x: {{'f': acc.f + x, 'k': acc.k + CAST(acc.f + x <= u AS BIGINT)}},
+                            {{'f': CAST(0 AS DOUBLE), 'k': CAST(0 AS BIGINT)}}).k END AS k
+                    FROM (
+                        SELECT s.*, l.weight / own.weight AS p,
+                            CAST(('0x' || substr(md5('42|split|' || replicate || '|0|' || (s.node >> 1)),
+                                CAST(1 + 15 * (s.node & 1) AS INTEGER), 15)) AS BIGINT)
+                                / CAST(1152921504606846976 AS DOUBLE) AS u
+                        FROM split s JOIN tree own ON own.node = s.node
+                        JOIN tree l ON l.node = 2 * s.node)
+                ), range(0, 2) c(side)
+                WHERE CASE side WHEN 0 THEN k ELSE draws - k END > 0
+            )
+            SELECT * FROM split WHERE level = (SELECT max(level) FROM tree))""",
     "boot_cum": """
         SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM (
-            SELECT replicate, model, score, sum(label) AS pos, sum(1 - label) AS neg
-            FROM draws JOIN test_idx USING (row_idx) JOIN scores USING (customer_unique_id)
+            SELECT replicate, model, score, sum(draws * label) AS pos, sum(draws * (1 - label)) AS neg
+            FROM (SELECT replicate, draws, label, 'strong' AS model, strong AS score
+                  FROM draws JOIN cells USING (place)
+                  UNION ALL
+                  SELECT replicate, draws, label, 'weak', weak FROM draws JOIN cells USING (place))
             GROUP BY ALL)
         WINDOW w AS (PARTITION BY replicate, model ORDER BY score DESC)""",
     "boot": """

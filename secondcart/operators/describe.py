@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from secondcart.functions.binning import cut_right
 from secondcart.functions.distributions import normal_two_sided_p
-from secondcart.operators.order_stats import exact_quantiles
+from secondcart.operators.order_stats import exact_quantiles_of
 
 # The reference value of the difference interval is this constant, not the exact quantile.
 Z_95 = 1.96
@@ -70,11 +70,15 @@ def rate_by_bin(
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Inner and outer edges of equal-count bins, duplicates dropped. A handful of numbers."""
-    shares = [i / bins for i in range(bins + 1)]
-    row = exact_quantiles(df, column, shares).first()
-    if row is None or row["quantiles"][0] is None:
-        return []
-    return sorted(set(row["quantiles"]))
+    return _edges_of(exact_quantiles_of(df, {column: _bin_shares(bins)})[column])
+
+
+def _bin_shares(bins: int) -> list[float]:
+    return [i / bins for i in range(bins + 1)]
+
+
+def _edges_of(quantiles: Sequence[float | None]) -> list[float]:
+    return [] if quantiles[0] is None else sorted(set(quantiles))
 
 
 def quantile_cut(df: DataFrame, column: str, bins: int) -> tuple[Column, int]:
@@ -99,11 +103,16 @@ def screen_candidates(
 ) -> DataFrame:
     """Spread of the target rate over the quartiles of each candidate, missing values at the
     median; a candidate is kept when the spread is above ``min_range``."""
+    middles = exact_quantiles_of(df, {name: [0.5] for name in columns})
+    values = {
+        name: F.coalesce(F.col(name).cast("double"), F.lit(middles[name][0]).cast("double"))
+        for name in columns
+    }
+    filled = df.select(target, *[v.alias(name) for name, v in values.items()])
+    quartiles = exact_quantiles_of(filled, {name: _bin_shares(4) for name in columns})
     screened = []
     for name in columns:
-        middle = exact_quantiles(df, name, [0.5]).first()["quantiles"][0]
-        filled = df.select(F.coalesce(F.col(name), F.lit(middle)).alias("value"), target)
-        index, _ = quantile_cut(filled, "value", 4)
+        index = cut_right(F.col(name), _edges_of(quartiles[name])[1:-1])
         rates = filled.groupBy(index.alias("bin")).agg(F.avg(target).alias("rate"))
         screened.append(
             rates.agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from secondcart.functions.binning import label_of
 from secondcart.functions.dates import elapsed_days_floor
 from secondcart.functions.lookups import CATEGORY_DURABILITY, TREE_FEATURES, lookup
-from secondcart.operators.order_stats import exact_quantiles
+from secondcart.operators.order_stats import exact_quantiles_of
 
 OTHER_STATES = "OTHER"
 
@@ -130,8 +130,8 @@ def alpha_code(df: DataFrame, column: str, max_levels: int = 1000) -> Column:
 
 
 def median(df: DataFrame, column: str) -> Column:
-    """Exact median as a scalar subquery."""
-    return exact_quantiles(df, column, [0.5]).select(F.col("quantiles")[0]).scalar()
+    """Exact median, as a literal."""
+    return F.lit(exact_quantiles_of(df, {column: [0.5]})[column][0]).cast("double")
 
 
 # Order ids (a few bytes each) up to this many are broadcast to prune the sources.

@@ -24,7 +24,7 @@ from secondcart.operators.order_stats import (
     hash_cutoffs,
     running_totals,
 )
-from secondcart.operators.sampling import BLOCK_ROWS, bootstrap_draws
+from secondcart.operators.sampling import BLOCK_CELLS, bootstrap_counts
 from secondcart.sources.writers import materialize
 
 
@@ -246,27 +246,37 @@ def lift_top(
 
 
 def bootstrap_metrics(
-    scored: DataFrame, id_column: str, replicates: int, seed: int, block_rows: int = BLOCK_ROWS
+    scored: DataFrame, id_column: str, replicates: int, seed: int, block_cells: int = BLOCK_CELLS
 ) -> DataFrame:
     """``auc`` and ``ap`` per model and replicate; replicates with one class only are skipped.
 
     Every model is scored on the same draws: a draw takes a person with the scores of all models.
-    Draws are reduced to counts per distinct score in the tasks that make them; only counts are
-    shuffled.
+    Persons with the same label and scores are one cell, and a replicate is a number of draws per
+    cell; only these are shuffled.
     """
     scored = scored.where(F.col("score").isNotNull())
-    cells = scored.groupBy(id_column).agg(
-        F.collect_list(F.struct("model", "label", "score")).alias("cells")
+    cells = (
+        scored.groupBy(id_column)
+        .agg(F.array_sort(F.collect_list(F.struct("model", "label", "score"))).alias("cells"))
+        .groupBy("cells")
+        .agg(F.count("*").alias("persons"), F.min(id_column).alias("first"))
     )
-    drawn = bootstrap_draws(cells, id_column, "cells", replicates, seed, block_rows).select(
-        "replicate", F.inline("cells")
+    drawn = bootstrap_counts(
+        cells, "first", "persons", "cells", replicates, seed, block_cells
+    ).select("replicate", "draws", F.inline("cells"))
+    counts = drawn.groupBy("model", "replicate", "score").agg(
+        F.sum(F.col("draws") * F.col("label")).alias("pos"),
+        F.sum(F.col("draws") * (1 - F.col("label"))).alias("neg"),
     )
     # The distinct scores of all replicates are those of the score table, so the bucket bounds
     # come from the small side.
     edges = bucket_edges(scored.select("model", "score").distinct(), "score")
+    cumulated = running_totals(
+        counts, ("model", "replicate"), "score", {"tp": F.col("pos"), "fp": F.col("neg")},
+        descending=True, edges=edges,
+    )
     return (
-        cum_counts(drawn, ("model", "replicate"), edges=edges)
-        .groupBy("model", "replicate")
+        cumulated.groupBy("model", "replicate")
         .agg(
             _auc().alias("auc"),
             _average_precision().alias("ap"),

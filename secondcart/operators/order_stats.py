@@ -5,24 +5,30 @@ A bare ``Window.orderBy`` sends all rows to one task. Here the order column is c
 first: totals per bucket are small and give each bucket its starting offset, and inside a bucket
 an ordinary window finishes the job. Any set of bucket bounds gives the same result; good bounds
 only make the buckets even. Rows whose order column is NULL have no place in the order: they are
-left out. NULL is a group like any other.
+left out. NULL is a group like any other. Quantiles need no order at all: they come from counts of
+leading bits.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+import struct
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from secondcart.functions.hashing import HASH32_BITS
+from secondcart.sources.writers import materialize
 
 ROWS_PER_WINDOW = 1_000_000
 HASH_BUCKET_BITS = 10
+# Counts that one pass of a selection brings together.
+COUNTS_PER_PASS = 1 << 16
 MAX_STRATA = 256
 
 
@@ -147,32 +153,151 @@ def dense_index(df: DataFrame, h: Column, id_column: str, name: str = "row_idx")
     )
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, shares: Sequence[float], rows_per_window: int = ROWS_PER_WINDOW
+def order_code(x: Column) -> Column:
+    """A 64-bit integer that orders like a double: its bits, negated for negative numbers.
+
+    The bits are made by arithmetic that is exact: scaling by powers of two. NaN comes last, as it
+    does in Spark's own order, and both zeros are one.
+    """
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("double")
+
+    def scaled(e: Column) -> Column:
+        return F.when(e >= 0, size / F.pow(F.lit(2.0), e)).otherwise(size * F.pow(F.lit(2.0), -e))
+
+    # The logarithm is rounded, so the exponent may be off by one.
+    exponent = (
+        F.when(scaled(guess) >= 2, guess + 1).when(scaled(guess) < 1, guess - 1).otherwise(guess)
+    )
+    half = F.lit(2.0**537)
+    bits = (
+        F.when(F.isnan(x), F.lit((2047 << 52) + 1))
+        .when(size == math.inf, F.lit(2047 << 52))
+        .when(size < 2.0**-1022, (size * half * half).cast("long"))
+        .otherwise((exponent + 1023).cast("long") * (1 << 52)
+                   + ((scaled(exponent) - 1) * (1 << 52)).cast("long"))
+    )
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def code_value(code: int) -> float:
+    """The double of an :func:`order_code`."""
+    value = struct.unpack("<d", struct.pack("<q", abs(code)))[0]
+    return -value if code < 0 else value
+
+
+def digit_counts(
+    codes: DataFrame, ranges: Sequence[tuple[int, int, int]], shift: int
 ) -> DataFrame:
-    """Quantiles with linear interpolation, as one row with an array column ``quantiles``.
+    """``column, digit, n``: rows in each of ``ranges`` of codes by their next digit.
 
-    Equal values are counted together before they are ordered, so a value that fills a third of
-    the rows is one row here. NULL values are left out; without values the quantiles are NULL.
+    A range is a column and the leading bits of a code, given as (column, bits to drop, prefix);
+    a digit is all of a code but its last ``shift`` bits. Only counts are shuffled.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
+    inside = reduce(
+        lambda a, b: a | b,
+        [(F.col("column") == c) & (F.shiftright("code", d) == p) for c, d, p in ranges if d < 64]
+        or [F.lit(True)],
     )
-    size = counts.agg(F.count("*").alias("distinct"), F.sum("_n").alias("rows")).first()
-    edges = bucket_edges(counts, "_v", rows_per_window, size["distinct"])
-    cumulated = running_totals(counts, [], "_v", {"_upto": F.col("_n")}, edges=edges)
-
-    def value_at(position: int) -> Column:
-        return F.min(F.when(F.col("_upto") > position, F.col("_v")))
-
-    quantiles = []
-    for share in shares:
-        position = ((size["rows"] or 1) - 1) * share
-        low, high = value_at(math.floor(position)), value_at(math.ceil(position))
-        quantiles.append(low + (high - low) * (position - math.floor(position)))
-    return cumulated.agg(F.array(*quantiles).alias("quantiles"))
+    digit = F.shiftright("code", shift).alias("digit") if shift else F.col("code").alias("digit")
+    return (
+        codes.where(inside).groupBy("column", digit).agg(F.count("*").cast("long").alias("n"))
+    )
+
+
+def select_ranks(
+    codes: DataFrame,
+    columns: int,
+    ranks: Callable[[int, int], Sequence[int]],
+    limit: int = COUNTS_PER_PASS,
+) -> dict[int, dict[int, int]]:
+    """Codes at given ranks of several columns, by radix selection: column -> rank -> code.
+
+    ``codes(column, code)`` has a row per value, ``ranks(column, rows)`` says which ranks from 0
+    are wanted. A pass counts the rows of the ranges that hold a wanted rank by their next bits,
+    as many bits as give ``limit`` counts at most, and leaves one narrower range per rank. Ranges
+    with few rows are counted code by code at once. Values are never sorted, and equal ones, as
+    many as there may be, are one count.
+    """
+    # (column, bits to drop, prefix) of a range -> ranks wanted in it, counted from its first row
+    open_ranges: dict[tuple[int, int, int], list[tuple[int, int]]] = {
+        (c, 64, 0): [] for c in range(columns)
+    }
+    found: dict[int, dict[int, int]] = {c: {} for c in range(columns)}
+    left, rows = 64, None
+    while open_ranges:
+        bits = max(1, int(math.log2(max(2, limit / len(open_ranges)))))
+        shift = 0 if rows is not None and rows <= limit else max(0, left - bits)
+        counted = digit_counts(codes, list(open_ranges), shift).collect()
+        per_range: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        for r in counted:
+            prefix = r["digit"] >> (left - shift) if left < 64 else 0
+            per_range.setdefault((r["column"], left, prefix), []).append((r["digit"], r["n"]))
+        narrower: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        rows = 0
+        for key, wanted in open_ranges.items():
+            digits = sorted(per_range.get(key, []))
+            ends = list(accumulate(n for _, n in digits))
+            if left == 64:
+                total = ends[-1] if ends else 0
+                wanted = [(k, k) for k in sorted(set(ranks(key[0], total))) if 0 <= k < total]
+            for rank, inside in wanted:
+                at = bisect.bisect_right(ends, inside)
+                digit, n = digits[at]
+                if shift == 0:
+                    found[key[0]][rank] = digit
+                    continue
+                name = (key[0], shift, digit)
+                if name not in narrower:
+                    narrower[name] = []
+                    rows += n
+                narrower[name].append((rank, inside - (ends[at] - n)))
+        open_ranges, left = narrower, shift
+    return found
+
+
+def exact_quantiles_of(
+    df: DataFrame, shares: dict[str, Sequence[float]], limit: int = COUNTS_PER_PASS
+) -> dict[str, list[float | None]]:
+    """Quantiles with linear interpolation of several columns, all in the same passes.
+
+    The columns' codes are written once, eight bytes a value, and each pass reads them. NULL
+    values are left out; a column without values has NULL quantiles.
+    """
+    names = list(shares)
+    values = [
+        F.struct(F.lit(i).alias("column"), order_code(F.col(c).cast("double")).alias("code"))
+        for i, c in enumerate(names)
+    ]
+    codes = df.select(F.explode(F.array(*values)).alias("v")).select("v.column", "v.code")
+    codes = materialize(codes.where(F.col("code").isNotNull()), "codes")
+    sizes: dict[int, int] = {}
+
+    def wanted(column: int, rows: int) -> list[int]:
+        sizes[column] = rows
+        ends = [(rows - 1) * s for s in shares[names[column]]]
+        return [f(p) for p in ends for f in (math.floor, math.ceil)]
+
+    found = select_ranks(codes, len(names), wanted, limit)
+    out: dict[str, list[float | None]] = {}
+    for i, name in enumerate(names):
+        out[name] = []
+        for share in shares[name]:
+            position = (sizes.get(i, 0) - 1) * share
+            if not sizes.get(i):
+                out[name].append(None)
+                continue
+            low, high = (code_value(found[i][f(position)]) for f in (math.floor, math.ceil))
+            out[name].append(low + (high - low) * (position - math.floor(position)))
+    return out
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, shares: Sequence[float], limit: int = COUNTS_PER_PASS
+) -> DataFrame:
+    """Quantiles with linear interpolation, as one row with an array column ``quantiles``."""
+    found = exact_quantiles_of(df, {value: shares}, limit)[value]
+    return df.sparkSession.createDataFrame([(found,)], "quantiles array<double>")
 
 
 def average_ranks(counts: DataFrame, value: str, groups: Sequence[str], weight: str) -> DataFrame:

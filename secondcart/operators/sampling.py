@@ -5,17 +5,23 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from secondcart.functions.hashing import hash32, hash60
+from secondcart.functions.hashing import hash32
 from secondcart.operators.order_stats import after_cutoff, dense_index, hash_cutoffs
+from secondcart.sources.writers import materialize
 
-# Rows whose draws are made together.
-BLOCK_ROWS = 50_000
+# Cells between which draws are split together, and children of a node above them.
+BLOCK_CELLS = 1 << 14
+FAN_OUT = 64
+OUTPUT_ROWS = 100_000
 
 
 def _per_stratum(stratum: str, cutoffs: dict, expression: Callable) -> Column:
@@ -99,73 +105,197 @@ def hash_sample(
     return df.withColumn("_h", h).where(~after_cutoff(F.col("_h"), id_column, cuts[0])).drop("_h")
 
 
+def split_uniforms(seed: int, replicates: np.ndarray, block: int, nodes: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for every node that is split, two of them from one MD5."""
+    digests = (
+        md5(f"{seed}|split|{r}|{block}|{v >> 1}".encode()).hexdigest()[15 * (v & 1) :][:15]
+        for r, v in zip(replicates.tolist(), nodes.tolist(), strict=True)
+    )
+    return np.fromiter((int(d, 16) for d in digests), np.int64, len(nodes)) / float(1 << 60)
+
+
+def binomial_inverse(
+    draws: np.ndarray, share: np.ndarray, u: np.ndarray, log_factorial: np.ndarray
+) -> np.ndarray:
+    """The smallest k whose binomial distribution function exceeds ``u``, for each of many.
+
+    The search starts ten standard deviations below the mean, where nothing has been left out
+    that a double could tell.
+    """
+    with np.errstate(divide="ignore"):
+        log_p, log_q = np.log(share), np.log1p(-share)
+
+    def mass(at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        n = draws[at]
+        ways = log_factorial[n] - log_factorial[k] - log_factorial[n - k]
+        return np.exp(ways + k * log_p[at] + (n - k) * log_q[at])
+
+    out = np.where(share >= 1, draws, 0)
+    at = np.flatnonzero((share > 0) & (share < 1))
+    mean = draws[at] * share[at]
+    low = mean - 10 * np.sqrt(mean * (1 - share[at])) - 20
+    k = np.maximum(np.floor(low), 0).astype(np.int64)
+    total = mass(at, k)
+    while len(at):
+        out[at] = k
+        more = np.flatnonzero((total <= u[at]) & (k < draws[at]))
+        at, k = at[more], k[more] + 1
+        total = total[more] + mass(at, k)
+    return out
+
+
+def split_draws(
+    weights: np.ndarray, replicates: np.ndarray, draws: np.ndarray, seed: int, block: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(replicate, place, n)``: draws of each replicate dealt out to weighted places.
+
+    A balanced tree over the places is split from its root: the draws of a node go to the left
+    with the share of the left weight, binomially. Nodes without draws are not visited, so a
+    replicate costs about as much as it has different places, however many draws there are.
+    """
+    depth = max(0, int(len(weights) - 1).bit_length())
+    padded = np.zeros(1 << depth, np.int64)
+    padded[: len(weights)] = weights
+    before = np.concatenate([[0], np.cumsum(padded)])
+    log_factorial = np.array([math.lgamma(i + 1) for i in range(int(draws.max(initial=0)) + 1)])
+    node = np.ones(len(replicates), np.int64)
+    for level in range(depth):
+        width = 1 << (depth - level)
+        start = (node - (1 << level)) * width
+        left = before[start + width // 2] - before[start]
+        share = left / (before[start + width] - before[start])
+        u = split_uniforms(seed, replicates, block, node)
+        k = binomial_inverse(draws, share, u, log_factorial)
+        node = np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+        draws = np.stack([k, draws - k], axis=1).ravel()
+        replicates = np.repeat(replicates, 2)
+        some = np.flatnonzero(draws)
+        node, draws, replicates = node[some], draws[some], replicates[some]
+    return replicates, node - (1 << depth), draws
+
+
 def draws_per_block(
-    spark: SparkSession, rows: int, replicates: int, seed: int, block_rows: int
+    blocks: DataFrame, rows: int, replicates: int, seed: int, fan_out: int = FAN_OUT
 ) -> DataFrame:
-    """``(replicate, block, first, draws)``: how many of a replicate's ``rows`` draws fall into
-    each block of ``block_rows`` rows, a seeded multinomial; ``first`` numbers a block's draws so
-    that no two draws of a replicate share a number."""
-    sizes = [min(block_rows, rows - a) for a in range(0, rows, block_rows)]
-    shares = [s / rows for s in sizes]
+    """``(replicate, block, draws)``: how many of a replicate's draws fall into each block of
+    ``blocks(block, weight)``, a seeded multinomial.
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for replicate in batch["id"]:
-                draws = np.random.default_rng([seed, replicate]).multinomial(rows, shares)
-                first = np.cumsum(draws) - draws
-                yield pd.DataFrame(
-                    {
-                        "replicate": np.full(len(sizes), replicate, np.int32),
-                        "block": np.arange(len(sizes)),
-                        "first": first,
-                        "draws": draws,
-                    }
-                )
-
-    return spark.range(replicates).mapInPandas(
-        deal, "replicate int, block long, first long, draws long"
+    The upper part of the tree, ``fan_out`` children to a node. Its weights are a table per level
+    that is joined; no list of blocks is held anywhere.
+    """
+    spark = blocks.sparkSession
+    levels = [blocks.select(F.col("block").alias("node"), "weight")]
+    height = math.ceil(math.log(max(levels[0].count(), 1), fan_out) - 1e-9)
+    for _ in range(height):
+        up = F.expr(f"node div {fan_out}").alias("node")
+        levels.append(levels[-1].groupBy(up).agg(F.sum("weight").alias("weight")))
+    dealt = spark.range(replicates).select(
+        F.col("id").cast("int").alias("replicate"),
+        F.lit(0).cast("long").alias("node"),
+        F.lit(rows).cast("long").alias("draws"),
     )
 
+    def deal(level: int) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                parts = []
+                for r, node, n, own in batch.itertuples(index=False):
+                    children = np.array([c["child"] for c in own])
+                    weight = np.array([c["weight"] for c in own], float)
+                    rng = np.random.default_rng([seed, int(r), level, int(node)])
+                    k = rng.multinomial(n, weight / weight.sum())
+                    parts.append(pd.DataFrame({"replicate": r, "node": children, "draws": k}))
+                if parts:
+                    yield pd.concat(parts).astype({"replicate": np.int32})
+
+        return run
+
+    for level in range(height, 0, -1):
+        child = F.struct(F.col("node").alias("child"), "weight")
+        children = levels[level - 1].groupBy(F.expr(f"node div {fan_out}").alias("node")).agg(
+            F.array_sort(F.collect_list(child)).alias("children")
+        )
+        dealt = (
+            dealt.join(children, "node")
+            .select("replicate", "node", "draws", "children")
+            .mapInPandas(deal(level), "replicate int, node long, draws long")
+            .where("draws > 0")
+        )
+    return dealt.withColumnRenamed("node", "block")
 
-def bootstrap_draws(
+
+def bootstrap_counts(
     cells: DataFrame,
-    id_column: str,
+    first_id: str,
+    weight: str,
     value: str,
     replicates: int,
     seed: int,
-    block_rows: int = BLOCK_ROWS,
+    block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
-    """``(replicate, value)`` for every draw: as many draws per replicate as ``cells`` has rows,
-    with replacement.
+    """``(replicate, value, draws)``: how often each replicate draws each cell.
 
-    Rows are numbered in the order of a hash and cut into blocks. A replicate first deals its
-    draws to the blocks, which is a small table; then each block makes its own draws against its
-    own rows, held as one array, so draws are made where their rows are and none is moved.
+    ``cells`` has one row per different ``value``, with the number of rows that have it in
+    ``weight`` and one of their ids; a replicate has as many draws as there are rows, with
+    replacement. Cells are numbered in the order of a hash of the id and cut into blocks. Draws
+    are dealt to blocks, and in a block to its cells, by splitting a tree, so that a cell of very
+    many rows costs what any other does and only cells that are drawn make a row.
     """
-    numbered = dense_index(cells, hash32(seed, "row", id_column), id_column)
-    rows = max(cells.count(), 1)
-    block, place = F.expr(f"row_idx div {block_rows}"), F.col("row_idx") % block_rows
-    blocks = (
-        numbered.groupBy(block.alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct(place.alias("_place"), value))).alias("own"))
-        .select("block", F.transform("own", lambda c: c[value]).alias("own"))
+    numbered = materialize(
+        dense_index(cells, hash32(seed, "row", first_id), first_id).select(
+            F.expr(f"row_idx div {block_cells}").alias("block"),
+            (F.col("row_idx") % block_cells).cast("int").alias("place"),
+            F.col(weight).cast("long").alias("weight"),
+            F.col(value).alias("value"),
+        ),
+        "cells",
     )
+    totals = numbered.groupBy("block").agg(F.sum("weight").alias("weight"))
+    rows = totals.agg(F.sum("weight")).first()[0] or 0
     spark = cells.sparkSession
-    # Few blocks are repeated, so that replicates of one block keep several tasks busy.
+    n_blocks = max(totals.count(), 1)
+    # Few blocks are met by several groups of replicates, so that many tasks are busy.
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = math.ceil(wanted / math.ceil(rows / block_rows))
-    blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    dealt = draws_per_block(spark, rows, replicates, seed, block_rows).withColumn(
-        "group", F.col("replicate") % groups
+    groups = max(1, math.ceil(wanted / n_blocks))
+    listed = (
+        draws_per_block(totals, rows, replicates, seed)
+        .groupBy("block", (F.col("replicate") % groups).alias("group"))
+        .agg(F.collect_list(F.struct("replicate", "draws")).alias("dealt"))
     )
+    placed = numbered.groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("place", "weight", "value"))).alias("own")
+    )
+    kind = numbered.schema["value"].dataType
 
-    def drawn(i: Column) -> Column:
-        at = hash60(seed, "boot", F.col("replicate"), i) % F.size("own")
-        return F.get("own", at.cast("int"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.column("own").slice(k, 1).flatten()
+                dealt = batch.column("dealt").slice(k, 1).flatten()
+                replicate, place, n = split_draws(
+                    own.field("weight").to_numpy(),
+                    dealt.field("replicate").to_numpy().astype(np.int64),
+                    dealt.field("draws").to_numpy(),
+                    seed,
+                    batch.column("block")[k].as_py(),
+                )
+                values = own.field("value")
+                for a in range(0, len(place), OUTPUT_ROWS):
+                    part = slice(a, a + OUTPUT_ROWS)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(replicate[part], pa.int32()),
+                            values.take(pa.array(place[part])),
+                            pa.array(n[part]),
+                        ],
+                        names=["replicate", "value", "draws"],
+                    )
 
-    numbers = F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)
+    schema = StructType().add("replicate", "integer").add("value", kind).add("draws", "long")
     return (
-        dealt.where("draws > 0")
-        .join(blocks, ["block", "group"])
-        .select("replicate", F.explode(F.transform(numbers, drawn)).alias(value))
+        listed.join(placed, "block")
+        .repartition(wanted, "block", "group")
+        .select("block", "own", "dealt")
+        .mapInArrow(run, schema)
+        .withColumnRenamed("value", value)
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from secondcart.operators import metrics
-from secondcart.operators.sampling import bootstrap_draws
+from secondcart.operators.sampling import bootstrap_counts
 
 
 def scored(spark, labels, scores, model="m"):
@@ -135,21 +135,30 @@ def test_bootstrap_skips_one_class_replicates(spark):
     assert ci["n_replicates"] == n and ci["auc_low"] == 1.0
 
 
-@pytest.mark.parametrize("block_rows", [50_000, 7])
-def test_bootstrap_replicates_match_resampling(spark, sample, block_rows):
+@pytest.mark.parametrize("block_cells", [1 << 14, 8])
+def test_bootstrap_replicates_match_resampling(spark, sample, block_cells):
     y, s = sample
     df = scored(spark, y[:80], s[:80])
-    draws = bootstrap_draws(df.select("id", F.col("id").alias("at")), "id", "at", 3, 42, block_rows)
-    replicated = metrics.bootstrap_metrics(df, "id", 3, 42, block_rows)
+    label = {i: (int(a), float(b)) for i, (a, b) in enumerate(zip(y[:80], s[:80], strict=True))}
+    cells = {}
+    for i, cell in label.items():
+        cells.setdefault(cell, []).append(i)
+    table = spark.createDataFrame(
+        [(min(ids), len(ids), list(map(float, cell))) for cell, ids in cells.items()],
+        "id long, n long, cell array<double>",
+    )
+    drawn = bootstrap_counts(table, "id", "n", "cell", 3, 42, block_cells)
+    replicated = metrics.bootstrap_metrics(df, "id", 3, 42, block_cells)
     got = {r["replicate"]: r for r in replicated.collect()}
     by_replicate = {}
-    for r in draws.collect():
-        by_replicate.setdefault(r["replicate"], []).append(r["at"])
+    for r in drawn.collect():
+        by_replicate.setdefault(r["replicate"], []).extend([r["cell"]] * r["draws"])
     assert len(by_replicate) == 3
-    for b, ids in by_replicate.items():
-        yy, ss = y[ids], s[ids]
-        assert got[b]["auc"] == pytest.approx(brute_auc(yy, ss))
-        assert got[b]["ap"] == pytest.approx(brute_ap(yy, ss))
+    for b, rows in by_replicate.items():
+        yy, ss = np.array(rows).T
+        assert len(rows) == 80
+        assert got[b]["auc"] == pytest.approx(brute_auc(yy.astype(int), ss))
+        assert got[b]["ap"] == pytest.approx(brute_ap(yy.astype(int), ss))
 
 
 def test_spearman_with_ties_and_constants(spark):

@@ -4,13 +4,15 @@ many buckets, with hot values."""
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from secondcart.functions.hashing import hash32, hash60
-from secondcart.operators import sampling
+from secondcart.operators import order_stats, sampling
 from secondcart.operators.caching import small_table
 from secondcart.operators.joins import lookup_by_hot_key
 from secondcart.operators.order_stats import (
@@ -68,14 +70,57 @@ def test_null_groups_and_null_values_in_any_number_of_buckets(spark):
     assert totals == {"a": 49, None: 49}
 
 
-@pytest.mark.parametrize("rows_per_window", [300, 1_000_000])
-def test_exact_quantiles(values, rows_per_window):
+@pytest.mark.parametrize("limit", [30, 300, order_stats.COUNTS_PER_PASS])
+def test_exact_quantiles(values, limit):
     df, v = values
     shares = [0.0, 0.01, 0.25, 0.3333, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, "v", shares, rows_per_window).first()["quantiles"]
+    got = exact_quantiles(df, "v", shares, limit).first()["quantiles"]
     np.testing.assert_allclose(got, np.quantile(v, shares), rtol=1e-12)
 
 
+ODD = [0.0, -0.0, 1.0, -1.0, 2.0**-1074, -(2.0**-1074), 2.0**-1022, 2.0**-1023, 1.7976931348623157e308,
+       -1.7976931348623157e308, math.inf, -math.inf, 0.1, 1 - 2.0**-53, 2 - 2.0**-52, 8.0, 1e-300]
+
+
+def test_order_code_is_the_bits_of_a_double(spark):
+    rng = np.random.default_rng(4)
+    wide = rng.normal(size=3000) * 10.0 ** rng.integers(-320, 308, 3000)
+    near = np.nextafter(2.0 ** rng.integers(-1022, 1023, 500), rng.choice([-np.inf, np.inf], 500))
+    powers = 2.0 ** np.arange(-1074.0, 1024.0)
+    x = np.concatenate([wide, near, powers, ODD])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = [r["c"] for r in df.select(order_stats.order_code(F.col("x")).alias("c")).collect()]
+    bits = np.abs(x).view(np.int64)
+    assert got == np.where(x < 0, -bits, bits).tolist()
+    assert [order_stats.code_value(c) for c in got] == (x + 0.0).tolist()
+    nan = spark.range(1).select(order_stats.order_code(F.lit(math.nan)).alias("c")).first()["c"]
+    assert nan > max(got)
+
+
+def test_quantiles_of_several_columns_in_the_same_passes(spark):
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random(4000) < 0.3, 7.0, rng.normal(size=4000) * 1e6)
+    b = rng.integers(-3, 3, 4000).astype(float)
+    rows = [(float(p), int(q) if k % 5 else None, None) for k, (p, q) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b long, c double").repartition(4)
+    shares = [0.0, 0.1, 0.5, 0.901, 1.0]
+    for limit in (16, 1 << 16):
+        got = order_stats.exact_quantiles_of(df, {"a": shares, "b": [0.5], "c": [0.5]}, limit)
+        np.testing.assert_allclose(got["a"], np.quantile(a, shares), rtol=1e-12)
+        kept = [q for k, q in enumerate(b) if k % 5]
+        assert got["b"] == [np.quantile(kept, 0.5)] and got["c"] == [None]
+
+
+def test_selection_counts_and_nothing_else(values, spark):
+    """A pass is one scan and one aggregation: no window, no sort, no join."""
+    df, _ = values
+    codes = df.select(F.lit(0).alias("column"), order_stats.order_code(F.col("v")).alias("code"))
+    counted = order_stats.digit_counts(codes, [(0, 64, 0)], 48)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Window", "Sort", "Join"))
+    assert counted.count() <= order_stats.COUNTS_PER_PASS
+
+
 def test_quantiles_without_values(spark):
     empty = spark.createDataFrame([(None,)], "v double")
     assert exact_quantiles(empty, "v", [0.5]).first()["quantiles"] == [None]
@@ -150,18 +195,47 @@ def test_hash_sample_size(values):
     assert sampling.hash_sample(df, "id", 10**6, 42).count() == 20_000
 
 
-@pytest.mark.parametrize("block_rows", [50_000, 16])
-def test_bootstrap_draws(values, block_rows):
-    df, _ = values
-    small = df.where("id < 50").select("id", F.col("id").alias("at"))
-    draws = sampling.bootstrap_draws(small, "id", "at", 400, 42, block_rows)
-    per_replicate = draws.groupBy("replicate").count().collect()
-    assert len(per_replicate) == 400 and all(r["count"] == 50 for r in per_replicate)
-    # 20,000 draws with replacement: each row about 400 times, with a Poisson spread.
-    per_row = [r["count"] for r in draws.groupBy("at").count().collect()]
-    assert len(per_row) == 50 and 300 < min(per_row) and max(per_row) < 500
-    distinct = draws.groupBy("replicate").agg(F.count_distinct("at").alias("n"))
-    assert distinct.agg(F.avg("n")).first()[0] == pytest.approx(50 * (1 - 0.98**50), rel=0.02)
+@pytest.mark.parametrize("block_cells, fan_out", [(1 << 14, 64), (4, 3)])
+def test_bootstrap_counts(values, monkeypatch, block_cells, fan_out):
+    """Counts have the means, variances and covariances of plain resampling."""
+    monkeypatch.setattr(sampling.draws_per_block, "__defaults__", (fan_out,))
+    spark = values[0].sparkSession
+    weights = [1, 1, 5, 30, 1, 2, 400, 1, 1, 8, 50, 1, 3]
+    n, replicates = sum(weights), 600
+    rows = [(k, w, f"v{k}") for k, w in enumerate(weights)]
+    cells = spark.createDataFrame(rows, "id long, w long, v string").repartition(3)
+    drawn = sampling.bootstrap_counts(cells, "id", "w", "v", replicates, 42, block_cells)
+    counts = np.zeros((replicates, len(weights)))
+    for r in drawn.collect():
+        assert r["draws"] > 0 and counts[r["replicate"], int(r["v"][1:])] == 0
+        counts[r["replicate"], int(r["v"][1:])] = r["draws"]
+    assert (counts.sum(axis=1) == n).all()
+    again = sampling.bootstrap_counts(cells.repartition(1), "id", "w", "v", replicates, 42, block_cells)
+    assert again.exceptAll(drawn).isEmpty()
+    rng = np.random.default_rng(1)
+    plain = rng.multinomial(n, np.array(weights) / n, 20_000)
+    spread = plain.std(axis=0)
+    assert (np.abs(counts.mean(axis=0) - weights) < 4 * spread / math.sqrt(replicates)).all()
+    assert (np.abs(counts.var(axis=0) / plain.var(axis=0) - 1) < 0.3).all()
+    apart = np.corrcoef(counts.T) - np.corrcoef(plain.T)
+    assert np.abs(apart).max() < 4.5 / math.sqrt(replicates)
+
+
+def test_binomial_inverse_follows_the_distribution():
+    rng = np.random.default_rng(2)
+    for n, p in [(1, 0.3), (7, 0.5), (40, 0.97), (3000, 0.5), (3000, 0.001), (5, 0.0), (5, 1.0)]:
+        table = np.array([math.lgamma(i + 1) for i in range(n + 1)])
+        u = rng.random(4000)
+        k = sampling.binomial_inverse(np.full(4000, n), np.full(4000, p), u, table)
+        assert k.min() >= 0 and k.max() <= n
+        assert abs(k.mean() - n * p) <= 4.5 * math.sqrt(n * p * (1 - p) / 4000)
+        if 0 < p < 1:
+            # Inversion: the distribution function at k exceeds u, and at k - 1 does not.
+            mass = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)] if n < 50 else None
+            if mass:
+                upto = np.cumsum(mass)
+                assert (upto[k] > u - 1e-12).all()
+                assert (np.where(k > 0, upto[np.maximum(k - 1, 0)], 0) <= u + 1e-12).all()
 
 
 def test_lookup_by_hot_key_matches_a_plain_join(values):
