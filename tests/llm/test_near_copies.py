@@ -65,9 +65,9 @@ def test_stage_drops_what_similarity_links(spark, monkeypatch, rows, chunk):
     assert simhash.drop_near_copies(docs).count() > len(expected)
 
 
-def test_refused_pairs_give_way_to_others(spark, monkeypatch, rows):
-    """Where the first comparisons say nothing, later rounds find all links."""
-    monkeypatch.setattr(near_copies, "STAR_BANDS", 0)
+def test_later_bands_find_all_links(spark, monkeypatch, rows):
+    """Where the first bands say nothing, the others find all links."""
+    monkeypatch.setattr(near_copies, "FIRST_BANDS", 0)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in STAGE(spark, docs, "").collect()) == plain_kept(rows)
 
@@ -85,6 +85,40 @@ def test_agreeing_hashes_estimate_the_similarity(rows):
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.05
 
 
+def test_links_join_what_similarity_joins(rows):
+    """Without bands: all texts under one key, in one task."""
+    texts = [t for _, t in rows]
+    hashes, offsets = simhash.shingle_hashes(pa.array(texts), 5)
+    sets = [np.unique(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
+    ends = np.cumsum([0] + [len(s) for s in sets])
+    for component in (np.arange(len(rows)), np.arange(len(rows)) // 3):
+        links = near_copies.links_between(np.concatenate(sets), ends, component)
+        assert len(links) < len(np.unique(component))
+        given = [(a, a - 1) for a in range(1, len(rows)) if component[a] == component[a - 1]]
+        plain = [shingles(t) for t in texts]
+        near = [
+            (a, b)
+            for a in range(len(rows))
+            for b in range(a)
+            if plain[a] and jaccard(plain[a], plain[b]) >= 0.8
+        ]
+        assert cases.groups(len(rows), given + links) == cases.groups(len(rows), given + near)
+
+
+def test_a_large_group_needs_few_rows(spark):
+    """2,000 near copies of one text make no more links than texts in each band."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(2000):
+        words = list(base)
+        for at in rng.integers(0, 200, 2):
+            words[at] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r.doc_id for r in STAGE(spark, docs, "").collect()] == plain_kept(rows)
+
+
 def test_rows_without_own_ids(spark):
     text = " ".join(f"x{k}" for k in range(60))
     table = [(None, text), (7, text + " y"), (7, "other words"), (None, None), (8, "")]
