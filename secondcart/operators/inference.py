@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    GeneralizedLinearRegression,
-    GeneralizedLinearRegressionModel,
-)
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secondcart.functions.distributions import NORMAL_975, chi_square_upper, normal_two_sided
+from secondcart.operators import irls
 from secondcart.operators.caching import persisted
 from secondcart.operators.describe import mode
 from secondcart.operators.features import net_sentiment
@@ -112,16 +109,19 @@ def _assembled(design: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(design)
 
 
-def fit_logit(
-    train: DataFrame, columns: Sequence[str], label: str = "target"
-) -> GeneralizedLinearRegressionModel:
-    """Unpenalised maximum likelihood by iteratively reweighted least squares: each iteration is
-    one distributed pass that returns a small normal-equation matrix."""
-    glr = GeneralizedLinearRegression(
-        family="binomial", link="logit", regParam=0.0, maxIter=300, tol=1e-10, labelCol=label
-    )
-    with persisted(_assembled(train, columns).select(label, "features")) as rows:
-        return glr.fit(rows)
+def fit_logit(train: DataFrame, columns: Sequence[str], label: str = "target") -> irls.Fitted:
+    """Unpenalised maximum likelihood by iteratively reweighted least squares."""
+    return fit_logits(train, {"logit": columns}, label)[0]
+
+
+def fit_logits(
+    train: DataFrame, designs: Mapping[str, Sequence[str]], label: str = "target"
+) -> list[irls.Fitted]:
+    """The regression on each of several lists of columns, all in the same passes."""
+    every = list(dict.fromkeys(c for columns in designs.values() for c in columns))
+    fits = [irls.Fit(name, tuple(columns)) for name, columns in designs.items()]
+    with persisted(train.select(label, *every)) as rows:
+        return irls.fit_all(rows, fits, label)
 
 
 def vif(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -143,13 +143,12 @@ def _odds(log_odds: float) -> float:
 
 
 def logit_table(
-    model: GeneralizedLinearRegressionModel, train: DataFrame, columns: Sequence[str]
+    model: irls.Fitted, train: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
     """Coefficient, odds ratio with 95% interval, p-value and VIF per term."""
     names = ["const", *columns]
-    coefficients = [float(model.intercept), *map(float, model.coefficients)]
-    errors = list(model.summary.coefficientStandardErrors)
-    errors = [errors[-1], *errors[:-1]]  # the summary puts the intercept last
+    coefficients = [model.intercept, *map(float, model.coefficients)]
+    errors = list(map(float, model.standard_errors))
     rows = [
         (
             name,
@@ -169,13 +168,12 @@ def logit_table(
     return table.join(vif(train, columns), "term", "left")
 
 
-def fit_stats(model: GeneralizedLinearRegressionModel, train: DataFrame) -> DataFrame:
+def fit_stats(model: irls.Fitted, train: DataFrame) -> DataFrame:
     """Log-likelihoods and McFadden's pseudo-R2 (for 0/1 labels the deviance is -2 ll)."""
-    summary = model.summary
     row = (
-        -summary.deviance / 2.0,
-        -summary.nullDeviance / 2.0,
-        1.0 - summary.deviance / summary.nullDeviance,
+        -model.deviance / 2.0,
+        -model.null_deviance / 2.0,
+        1.0 - model.deviance / model.null_deviance,
     )
     return train.sparkSession.createDataFrame(
         [row], "log_likelihood double, null_log_likelihood double, pseudo_r2 double"
@@ -183,34 +181,35 @@ def fit_stats(model: GeneralizedLinearRegressionModel, train: DataFrame) -> Data
 
 
 def block_lr_test(
-    model: GeneralizedLinearRegressionModel,
+    model: irls.Fitted,
     train: DataFrame,
     columns: Sequence[str],
     blocks: Sequence[str] = (STATE_PREFIX, MONTH_PREFIX),
 ) -> DataFrame:
-    """Likelihood-ratio test of each block of dummies (named by prefix) against leaving it out."""
+    """Likelihood-ratio test of each block of dummies (named by prefix) against leaving it out.
+    All regressions that leave a block out are fitted together."""
+    kept = {b: [c for c in columns if not c.startswith(b)] for b in blocks}
     rows = []
-    for prefix in blocks:
-        kept = [c for c in columns if not c.startswith(prefix)]
-        df = len(columns) - len(kept)
-        statistic = fit_logit(train, kept).summary.deviance - model.summary.deviance
-        rows.append((prefix.rstrip("_"), df, float(statistic), chi_square_upper(statistic, df)))
+    for fitted in fit_logits(train, kept):
+        df = len(columns) - len(fitted.fit.columns)
+        statistic = float(fitted.deviance - model.deviance)
+        rows.append((fitted.fit.name.rstrip("_"), df, statistic, chi_square_upper(statistic, df)))
     return train.sparkSession.createDataFrame(
         rows, "block string, degrees_of_freedom int, chi_square double, p_value double"
     )
 
 
 def logit_scores(
-    model: GeneralizedLinearRegressionModel,
+    model: irls.Fitted,
     design: DataFrame,
     columns: Sequence[str],
     id_column: str = "customer_unique_id",
     label: str = "target",
 ) -> DataFrame:
     """Score table of the fitted regression."""
-    return model.transform(_assembled(design, columns)).select(
+    return design.select(
         F.lit("logit").alias("model"),
         F.col(id_column),
         F.col(label).cast("int").alias("label"),
-        F.col("prediction").alias("score"),
+        model.probability().alias("score"),
     )

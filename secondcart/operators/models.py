@@ -1,15 +1,17 @@
 """Classifiers: fitting, cross-validated scores, hyper-parameter search, evaluation, ablation.
 
-All fits are MLlib jobs over a table that already has ``split`` and ``fold`` columns. The driver
-only starts fits, several at a time.
+All fits read a table that already has ``split`` and ``fold`` columns. Trees are MLlib jobs that the
+driver starts, several at a time; logistic regressions, of all folds and column sets, are fitted
+together, one job per step.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import chain
 from multiprocessing.pool import ThreadPool
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from secondcart.config import Config
 from secondcart.functions.lookups import FEATURE_BLOCKS, JOINT_BLOCKS
+from secondcart.operators import irls
 from secondcart.operators.metrics import (
     average_precision,
     bootstrap_ci,
@@ -37,7 +40,7 @@ from secondcart.operators.metrics import (
     ranking_metrics,
     threshold_metrics,
 )
-from secondcart.sources.writers import PartTables
+from secondcart.sources.writers import PartTables, is_written, shared_folder
 
 ID = "customer_unique_id"
 LABEL = "target"
@@ -62,15 +65,22 @@ def run_parallel(jobs: Sequence[Callable[[], object]], parallelism: int) -> list
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """A named classifier over a list of columns."""
+    """A named classifier over a list of columns. One with a ``penalty`` is a logistic regression
+    and can be fitted together with others."""
 
     name: str
     columns: tuple[str, ...]
     build: Callable[[int], Estimator]
     weighting: str
+    penalty: float | None = None
 
     def with_columns(self, name: str, columns: Sequence[str]) -> "ModelSpec":
-        return ModelSpec(name, tuple(columns), self.build, self.weighting)
+        return replace(self, name=name, columns=tuple(columns))
+
+    def linear(self) -> irls.Fit:
+        return irls.Fit(
+            self.name, self.columns, balanced=self.weighting == BALANCED, penalty=self.penalty
+        )
 
 
 def class_weights(train: DataFrame) -> DataFrame:
@@ -165,7 +175,7 @@ def logistic(columns: Sequence[str], name: str = "logistic") -> ModelSpec:
         )
         return Pipeline(stages=[scaler, regression])
 
-    return ModelSpec(name, tuple(columns), build, BALANCED)
+    return ModelSpec(name, tuple(columns), build, BALANCED, penalty=1.0)
 
 
 def forest(
@@ -230,10 +240,27 @@ def base_models(
 def test_scores(specs: Sequence[ModelSpec], rows: DataFrame, config: Config) -> DataFrame:
     """Fit each model on the training rows and score the test rows."""
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'").drop("fold")
-    counts = class_counts(train)
-    return written(
-        [lambda s=s: score(s, fit(s, train, counts), test) for s in specs], config.parallelism
-    )
+    linear, others = by_kind(specs)
+    jobs = [lambda s=s: score(s, fit(s, train, counts), test) for s in others]
+    counts = class_counts(train) if others else None
+    if linear:
+        jobs.append(lambda: linear_scores(irls.fit_all(train, linear, LABEL), test))
+    return written(jobs, config.parallelism)
+
+
+def by_kind(specs: Sequence[ModelSpec]) -> tuple[list[irls.Fit], list[ModelSpec]]:
+    """Logistic regressions, which are fitted together, and models that are fitted one by one."""
+    linear = [s.linear() for s in specs if s.penalty is not None]
+    return linear, [s for s in specs if s.penalty is None]
+
+
+def linear_scores(
+    fitted: Sequence[irls.Fitted], rows: DataFrame, fold: str | None = None
+) -> DataFrame:
+    """Score table of logistic regressions; with ``fold`` each row by the fits that never saw it."""
+    keep = [F.col(ID), F.col(LABEL).cast("int").alias("label"), *([F.col(fold)] if fold else [])]
+    found = irls.scored(rows, fitted, keep, fold)
+    return found.select("model", ID, "label", "score", *([fold] if fold else []))
 
 
 def written(jobs: Sequence[Callable[[], DataFrame]], parallelism: int) -> DataFrame:
@@ -249,8 +276,12 @@ def written(jobs: Sequence[Callable[[], DataFrame]], parallelism: int) -> DataFr
     return tables.read()
 
 
-def oof_scores(specs: Sequence[ModelSpec], train: DataFrame, config: Config) -> DataFrame:
-    """Out-of-fold scores: every training row is scored once, by a model that never saw it."""
+def oof_scores(
+    specs: Sequence[ModelSpec], train: DataFrame, config: Config, folds: int | None = None
+) -> DataFrame:
+    """Out-of-fold scores: every training row is scored once, by a model that never saw it. With
+    ``folds`` only the rows of the first so many are scored; the fits are the same."""
+    folds = config.cv_folds if folds is None else folds
 
     counts = counts_by_fold(train)
     total = sum_counts(counts.values())
@@ -260,9 +291,14 @@ def oof_scores(specs: Sequence[ModelSpec], train: DataFrame, config: Config) ->
         model = fit(spec, train.where(F.col("fold") != fold), rest)
         return score(spec, model, train.where(F.col("fold") == fold))
 
+    linear, others = by_kind(specs)
     jobs = [
-        lambda s=s, k=k: one(s, k) for s in specs for k in range(config.cv_folds)
+        lambda s=s, k=k: one(s, k) for s in others for k in range(folds)
     ]
+    if linear:
+        fits = irls.per_fold(linear, folds)
+        own = train.where(F.col("fold") < folds)
+        jobs.append(lambda: linear_scores(irls.fit_all(train, fits, LABEL, "fold"), own, "fold"))
     return written(jobs, config.parallelism)
 
 
@@ -342,14 +378,44 @@ SEARCH_SPACES = [
 ]
 
 
+@dataclass(frozen=True)
+class Trial:
+    """A drawn trial, the last rung it was scored on, and its mean average precision there."""
+
+    drawn: dict
+    rung: int
+    mean_ap: float
+
+
 @dataclass(frozen=True)
 class SearchResult:
     space: SearchSpace
-    trials: list[tuple[dict, float]]
+    trials: list[Trial]
 
     @property
     def best(self) -> dict:
-        return max(self.trials, key=lambda t: t[1])[0]
+        """The best trial of the last rung; earlier rungs are other measures and not compared."""
+        return max(self.trials, key=lambda t: (t.rung, t.mean_ap)).drawn
+
+
+@dataclass(frozen=True)
+class Rung:
+    """What a trial is given on a rung: folds to be scored on, and a share of its trees."""
+
+    folds: int
+    tree_share: float
+    # Share of the trials that come this far.
+    survivors: float
+
+
+def rungs(config: Config) -> list[Rung]:
+    """From few folds and trees for all trials to all folds and trees for a few."""
+    few = max(1, round(config.cv_folds / 5))
+    return [
+        Rung(few, 0.25, 1.0),
+        Rung(min(config.cv_folds, 2 * few), 0.5, 1 / 3),
+        Rung(config.cv_folds, 1.0, 1 / 9),
+    ]
 
 
 def draw_trials(space: SearchSpace, config: Config) -> list[dict]:
@@ -365,31 +431,81 @@ def draw_trials(space: SearchSpace, config: Config) -> list[dict]:
     return trials
 
 
+def _on_rung(space: SearchSpace, drawn: dict, rung: Rung) -> dict:
+    return {
+        name: max(2, round(value * rung.tree_share)) if space.ranges[name].is_tree_count else value
+        for name, value in drawn.items()
+    }
+
+
 def search(
-    space: SearchSpace, train: DataFrame, columns: Sequence[str], config: Config
+    space: SearchSpace,
+    train: DataFrame,
+    columns: Sequence[str],
+    config: Config,
+    steps: Sequence[Rung] | None = None,
 ) -> SearchResult:
-    """Random search: mean average precision over the given folds for every trial.
+    """Random search by successive halving: mean average precision over the folds of a rung.
 
-    All trials are scored out of fold together, so their metrics take one aggregation.
+    All trials of a rung are scored out of fold together, so their metrics take one aggregation;
+    the best of them go on to the next. Every rung is written as a table to a folder that is named
+    after the rows, the columns and the settings, so a driver that starts again reads the rungs
+    that are done. With fewer trials than the last rung takes, all of them are scored there.
     """
     trials = draw_trials(space, config)
-    specs = [
-        space.make(columns, str(i), **drawn, seed=config.seed) for i, drawn in enumerate(trials)
-    ]
-    oof = oof_scores(specs, train, config)
-    means = cv_average_precision(oof).groupBy("model").agg(F.avg("ap").alias("ap")).collect()
-    by_trial = {row["model"]: row["ap"] for row in means}
-    return SearchResult(space, [(drawn, by_trial[str(i)]) for i, drawn in enumerate(trials)])
+    steps = list(rungs(config) if steps is None else steps)
+    last = max(1, math.ceil(len(trials) * steps[-1].survivors))
+    if len(trials) <= last or len(trials) < 3:
+        steps = [replace(steps[-1], survivors=1.0)]
+    folder = RungTables(train, f"{space.name}|{columns}|{trials}|{steps}|{config}")
+    left = list(range(len(trials)))
+    scored = {k: Trial(drawn, -1, 0.0) for k, drawn in enumerate(trials)}
+    for number, rung in enumerate(steps):
+        wanted = max(1, math.ceil(len(trials) * rung.survivors))
+        left = sorted(sorted(left, key=lambda k: (-scored[k].mean_ap, k))[:wanted])
+
+        def measured(rung: Rung = rung, left: list[int] = left) -> DataFrame:
+            specs = [
+                space.make(columns, str(k), **_on_rung(space, trials[k], rung), seed=config.seed)
+                for k in left
+            ]
+            oof = oof_scores(specs, train, config, folds=rung.folds)
+            by_trial = cv_average_precision(oof).groupBy(F.col("model").cast("int").alias("trial"))
+            return by_trial.agg(F.avg("ap").alias("mean_ap"))
+
+        for k, mean_ap in folder.rung(number, measured).items():
+            scored[k] = Trial(trials[k], number, mean_ap)
+    return SearchResult(space, [scored[k] for k in range(len(trials))])
+
+
+class RungTables:
+    """Scores of finished rungs, kept in the shared folder under a name that the same search on
+    the same rows finds again."""
+
+    def __init__(self, train: DataFrame, settings: str):
+        self.spark = train.sparkSession
+        row = train.agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64(*train.columns)).alias("rows")
+        ).first()
+        name = hashlib.sha256(f"{settings}|{row['n']}|{row['rows']}".encode()).hexdigest()[:32]
+        self.path = f"{shared_folder(self.spark)}/secondcart/search/{name}"
+
+    def rung(self, number: int, measure: Callable[[], DataFrame]) -> dict[int, float]:
+        """The scores of a rung by trial: read if it has been written whole, or else measured."""
+        path = f"{self.path}/rung-{number}"
+        if not is_written(self.spark, path):
+            measure().write.mode("overwrite").parquet(path)
+        rows = self.spark.read.schema("trial int, mean_ap double").parquet(path).collect()
+        return {r["trial"]: r["mean_ap"] for r in rows}
 
 
 def search_table(results: Sequence[SearchResult], train: DataFrame) -> DataFrame:
-    """Mean average precision of every trial."""
+    """Of every trial the last rung it came to and its mean average precision there."""
     rows = [
-        (r.space.name, i, ap)
-        for r in results
-        for i, (_, ap) in enumerate(r.trials)
+        (r.space.name, i, t.rung, t.mean_ap) for r in results for i, t in enumerate(r.trials)
     ]
-    return train.sparkSession.createDataFrame(rows, "model string, trial int, mean_ap double")
+    schema = "model string, trial int, rung int, mean_ap double"
+    return train.sparkSession.createDataFrame(rows, schema)
 
 
 def hp_table(results: Sequence[SearchResult], train: DataFrame) -> DataFrame:

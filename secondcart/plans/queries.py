@@ -38,9 +38,9 @@ from secondcart.sources import warehouse
 from secondcart.sources.readers import read_csv
 from secondcart.sources.writers import new_path, write_table
 
-# All rows, folds and replicates, but fewer trees and trials: 300 trees a base model and 450 fits of
-# up to 800 trees in the search are hours of small MLlib jobs (see README).
-QUERY_CONFIG = replace(Config(), tree_scale=0.1, search_trials=2, search_tree_scale=0.02)
+# All rows, folds, replicates and trials, but fewer trees: 300 trees a base model and up to 800 in
+# the search are hours of small MLlib jobs (see README).
+QUERY_CONFIG = replace(Config(), tree_scale=0.1, search_tree_scale=0.02)
 EVENTS_HORIZON_DAYS = 7
 GOLDEN_TOLERANCE = 0.0006
 WAREHOUSE_ITEM_ORDER = ("order_item_id", "product_id", "tie_supplier", "tie_price")

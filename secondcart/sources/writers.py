@@ -60,6 +60,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/secondcart/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written whole: Spark leaves a mark when its last task is done."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 class PartTables:
     """One table that several jobs write side by side, each a folder of its own."""
 

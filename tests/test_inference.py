@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.sql import functions as F
 
 from secondcart.functions.distributions import NORMAL_975, chi_square_upper, normal_two_sided
-from secondcart.operators import inference, models
+from secondcart.operators import inference, irls, models
 from secondcart.operators.quality import QualityError, assert_golden
 
 COLUMNS = ["a", "b", "month_2", "month_3"]
@@ -63,6 +66,35 @@ def test_table_matches_newton(data):
     assert stats["pseudo_r2"] == pytest.approx(1 - ll / null, abs=1e-9)
 
 
+def test_many_fits_equal_mllib(data):
+    """Column subsets and held-out rows in the same passes, each with MLlib's estimates."""
+    df, _, _ = data
+    folds = df.withColumn("fold", (F.col("customer_unique_id") % 3).cast("int"))
+    fits = [irls.Fit("all", tuple(COLUMNS)), irls.Fit("some", ("a", "month_3"))]
+    fitted = irls.fit_all(folds, irls.per_fold(fits, 3) + fits, "target", "fold")
+    assert len(fitted) == 8
+    for f in fitted:
+        own = folds.where(F.col("fold") != f.fit.held_out) if f.fit.held_out >= 0 else folds
+        rows = VectorAssembler(inputCols=list(f.fit.columns), outputCol="features").transform(own)
+        plain = GeneralizedLinearRegression(
+            family="binomial", link="logit", regParam=0.0, maxIter=100, tol=1e-12, labelCol="target"
+        ).fit(rows)
+        np.testing.assert_allclose(f.coefficients, plain.coefficients.toArray(), atol=1e-6)
+        assert f.intercept == pytest.approx(plain.intercept, abs=1e-6)
+        errors = plain.summary.coefficientStandardErrors
+        np.testing.assert_allclose(f.standard_errors, [errors[-1], *errors[:-1]], rtol=1e-5)
+        assert f.deviance == pytest.approx(plain.summary.deviance, abs=1e-6)
+        assert f.null_deviance == pytest.approx(plain.summary.nullDeviance, abs=1e-6)
+
+
+def test_a_level_without_positives_still_ends(spark):
+    rows = [(float(k % 7), float(k % 5 == 0), int(k % 3 == 0 and k % 5 != 0)) for k in range(300)]
+    df = spark.createDataFrame(rows, "a double, month_2 double, target int")
+    fitted = inference.fit_logit(df, ["a", "month_2"])
+    assert fitted.coefficients[1] < -10 and np.isfinite(fitted.coefficients).all()
+    assert fitted.steps < irls.MAX_STEPS
+
+
 def test_vif_is_one_over_unexplained_share(data):
     df, x, _ = data
     got = {r["term"]: r["vif"] for r in inference.vif(df, COLUMNS).collect()}

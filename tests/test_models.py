@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from secondcart.config import Config
 from secondcart.functions.hashing import hash32
-from secondcart.operators import explain, metrics, models, sampling
+from secondcart.operators import explain, irls, metrics, models, sampling
 
 COLUMNS = ["x0", "x1", "x2", "x3"]
 CONFIG = replace(Config().quick(), cv_folds=3, search_trials=2, bootstrap_replicates=20)
@@ -75,7 +75,7 @@ def test_search_is_seeded_and_in_range(train):
         assert 0.3 <= trial["feature_share"] <= 1.0
     result = models.search(space, train, COLUMNS, CONFIG)
     assert len(result.trials) == 2
-    assert result.best == max(result.trials, key=lambda t: t[1])[0]
+    assert result.best == max(result.trials, key=lambda t: t.mean_ap).drawn
     table = models.hp_table([result], train)
     assert table.count() == 4
     leaf = table.where("hyperparameter = 'min_leaf'").first()
@@ -86,7 +86,7 @@ def test_search_metric_is_the_mean_fold_ap(train):
     """The number of a trial equals the mean over folds of fits made one by one."""
     space = models.SEARCH_SPACES[0]
     result = models.search(space, train, COLUMNS, CONFIG)
-    trial, mean_ap = result.trials[0]
+    trial, mean_ap = result.trials[0].drawn, result.trials[0].mean_ap
     spec = space.make(COLUMNS, "again", **trial, seed=CONFIG.seed)
     values = []
     for k in range(3):
@@ -96,6 +96,68 @@ def test_search_metric_is_the_mean_fold_ap(train):
     assert mean_ap == pytest.approx(np.mean(values), abs=1e-9)
 
 
+def test_halving_keeps_the_best_trial(train, monkeypatch):
+    """The survivor of the rungs is the best of the trials when all of them are run in full."""
+    config = replace(CONFIG, search_trials=9)
+
+    def make(columns, name, k, seed):
+        return models.logistic(columns[:k], name)
+
+    space = models.SearchSpace("columns", {"k": models.Range(1, 4, integer=True)}, make)
+    halved = models.search(space, train, COLUMNS, config)
+    assert sorted(t.rung for t in halved.trials) == [0] * 6 + [1] * 2 + [2]
+    full = models.search(space, train, COLUMNS, config, [models.Rung(3, 1.0, 1.0)])
+    assert all(t.rung == 0 for t in full.trials)
+    assert len({t.drawn["k"] for t in full.trials}) > 2
+    assert halved.best == full.best
+    table = models.search_table([halved], train)
+    assert table.where("rung = 2").count() == 1 and table.count() == 9
+    # A driver that starts again reads the rungs and fits nothing.
+    monkeypatch.setattr(models, "oof_scores", None)
+    again = models.search(space, train, COLUMNS, config)
+    assert again.trials == halved.trials
+
+
+def test_rungs_share_out_folds_and_trees():
+    space = models.SEARCH_SPACES[0]
+    steps = models.rungs(Config())
+    assert [(r.folds, r.tree_share) for r in steps] == [(1, 0.25), (2, 0.5), (5, 1.0)]
+    drawn = {"trees": 400, "depth": 9, "min_leaf": 3, "feature_share": 0.5}
+    assert models._on_rung(space, drawn, steps[0]) == drawn | {"trees": 100}
+
+
+def test_a_half_written_rung_is_measured_again(train, spark):
+    folder = models.RungTables(train, "half")
+    rows = spark.createDataFrame([(0, 0.5)], "trial int, mean_ap double")
+    rows.write.mode("overwrite").option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).parquet(f"{folder.path}/rung-0")
+    better = rows.withColumn("mean_ap", F.lit(0.75))
+    assert folder.rung(0, lambda: better) == {0: 0.75}
+    assert models.RungTables(train, "half").rung(0, None) == {0: 0.75}
+    assert models.RungTables(train.where("x0 > 0"), "half").path != folder.path
+
+
+def test_logistic_folds_and_variants_equal_single_fits(train, rows):
+    """One job per step for all of them, and MLlib's coefficients for each."""
+    specs = [models.logistic(COLUMNS), models.logistic(COLUMNS[1:], "fewer")]
+    oof = models.oof_scores(specs, train, CONFIG)
+    got = {(r["model"], r[models.ID]): r["score"] for r in oof.collect()}
+    assert len(got) == 2 * train.count()
+    for spec in specs:
+        for k in range(3):
+            model = models.fit(spec, train.where(F.col("fold") != k))
+            alone = models.score(spec, model, train.where(F.col("fold") == k)).collect()
+            assert max(abs(r["score"] - got[spec.name, r[models.ID]]) for r in alone) < 1e-6
+    (fitted,) = irls.fit_all(train, [specs[0].linear()], models.LABEL)
+    scaler, regression = models.fit(specs[0], train).stages[1].stages
+    raw = regression.coefficients.toArray() / scaler.std.toArray()
+    np.testing.assert_allclose(fitted.coefficients, raw, rtol=1e-6, atol=1e-6)
+    intercept = regression.intercept - (raw * scaler.mean.toArray()).sum()
+    assert fitted.intercept == pytest.approx(intercept, abs=1e-6)
+    assert fitted.steps < 20
+
+
 def test_one_live_model_per_worker_thread(train, monkeypatch):
     """Every fit is written and let go before the next starts on its thread."""
     import gc
