@@ -12,7 +12,11 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondcart.functions.distributions import NORMAL_975, chi_square_upper, normal_two_sided
+from secondcart.functions.distributions import (
+    NORMAL_975,
+    chi_square_upper_p,
+    normal_two_sided_p,
+)
 from secondcart.operators import irls
 from secondcart.operators.caching import persisted
 from secondcart.operators.describe import mode
@@ -156,15 +160,16 @@ def logit_table(
             _odds(b),
             _odds(b - NORMAL_975 * se),
             _odds(b + NORMAL_975 * se),
-            normal_two_sided(b / se),
+            float(b / se),
         )
         for name, b, se in zip(names, coefficients, errors, strict=True)
     ]
     table = train.sparkSession.createDataFrame(
         rows,
         "term string, coefficient double, odds_ratio double, or_ci_low double,"
-        " or_ci_high double, p_value double",
+        " or_ci_high double, z double",
     )
+    table = table.withColumn("p_value", normal_two_sided_p("z")).drop("z")
     return table.join(vif(train, columns), "term", "left")
 
 
@@ -193,10 +198,12 @@ def block_lr_test(
     for fitted in fit_logits(train, kept):
         df = len(columns) - len(fitted.fit.columns)
         statistic = float(fitted.deviance - model.deviance)
-        rows.append((fitted.fit.name.rstrip("_"), df, statistic, chi_square_upper(statistic, df)))
-    return train.sparkSession.createDataFrame(
-        rows, "block string, degrees_of_freedom int, chi_square double, p_value double"
+        rows.append((fitted.fit.name.rstrip("_"), df, statistic))
+    table = train.sparkSession.createDataFrame(
+        rows, "block string, degrees_of_freedom int, chi_square double"
     )
+    p = chi_square_upper_p(F.col("chi_square"), F.col("degrees_of_freedom"))
+    return table.withColumn("p_value", p)
 
 
 def logit_scores(

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from secondcart.functions import distributions
 from secondcart.functions.binning import cut_right, label_of
-from secondcart.functions.distributions import chi_square_upper, normal_two_sided
 from secondcart.functions.lookups import (
     CATEGORY_DURABILITY,
     DELIVERY_EDGES,
@@ -17,6 +17,7 @@ from secondcart.functions.lookups import (
     QUARTILE_LABELS,
 )
 from secondcart.operators import describe
+from tests.tails import chi_square_upper, normal_two_sided
 
 
 def test_durability_map_is_complete():
@@ -86,6 +87,36 @@ def test_chi_square_tail(df, x):
     assert chi_square_upper(x, df) == pytest.approx(np.trapezoid(density, t), rel=1e-5)
 
 
+# Published 0.05 and 0.001 points of chi-square, and the normal's.
+PUBLISHED = [(1, 3.841459, 0.05), (2, 5.991465, 0.05), (10, 18.307038, 0.05), (11, 19.675138, 0.05),
+             (1, 10.827566, 0.001), (10, 29.588298, 0.001), (30, 43.772972, 0.05)]
+
+
+def test_tail_columns(spark):
+    """Column expressions against sums and the error function, and no Python in the plan."""
+    rows = [(float(x), df) for df in (1, 2, 3, 10, 11, 40, 120) for x in
+            (-1, 0, 1e-9, 0.3, 1, 5, 11.9, 12.1, 40, 41.5, 130, 600)]
+    rows += [(x, df) for df, x, _ in PUBLISHED]
+    table = spark.createDataFrame(rows, "x double, df int")
+    p = distributions.chi_square_upper_p(F.col("x"), F.col("df"))
+    got = table.withColumn("p", p)
+    for r in got.collect():
+        assert r["p"] == pytest.approx(chi_square_upper(r["x"], r["df"]), rel=1e-9, abs=1e-300)
+    for r, (_, _, level) in zip(got.collect()[-len(PUBLISHED):], PUBLISHED, strict=True):
+        assert r["p"] == pytest.approx(level, rel=1e-6)
+    zs = [(float(z),) for z in (-12, -1.959963984540054, -0.1, 0, 1e-8, 0.5, 2, 6, 30)] + [(None,)]
+    normal = spark.createDataFrame(zs, "z double").withColumn(
+        "p", distributions.normal_two_sided_p("z")
+    )
+    for r in normal.collect():
+        expected = None if r["z"] is None else pytest.approx(normal_two_sided(r["z"]), rel=1e-9)
+        assert r["p"] == expected
+    assert "Python" not in normal._jdf.queryExecution().executedPlan().toString()
+    a = spark.createDataFrame([(v,) for v in (0.5, 1.0, 1.5, 2.0, 7.25, 60.0)], "a double")
+    for r in a.withColumn("g", distributions.log_gamma(F.col("a"))).collect():
+        assert r["g"] == pytest.approx(math.lgamma(r["a"]), rel=1e-12, abs=1e-13)
+
+
 def test_normal_tail_far_out():
     assert normal_two_sided(1.959963984540054) == pytest.approx(0.05)
     assert 0 < normal_two_sided(-12.0) < 1e-30

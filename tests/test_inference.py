@@ -8,9 +8,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
-from secondcart.functions.distributions import NORMAL_975, chi_square_upper, normal_two_sided
+from secondcart.functions.distributions import NORMAL_975
 from secondcart.operators import inference, irls, models
 from secondcart.operators.quality import QualityError, assert_golden
+from tests.tails import chi_square_upper, normal_two_sided
 
 COLUMNS = ["a", "b", "month_2", "month_3"]
 
