@@ -160,27 +160,89 @@ def test_op3(table):
         digest = hashlib.sha256(cases.written(spans).encode()).hexdigest()
         base[(i, *(kinds[k] for k in privacy.KINDS), digest)] += 1
     assert bag((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == base
+    expected = plain_spans(rows)
+    assert any(s[1] == 4 for _, spans in expected for s in spans)
+    assert bag((r.doc_id, r.spans) for r in got) == bag((i, cases.written(s)) for i, s in expected)
     for r in got:
-        found = [(s.start, s.order, s.kind, s.end) for s in r.found]
-        assert found == sorted(found) and r.spans == cases.written(found)
-        if not any(s.order < 4 for s in r.found):
-            assert not found
+        assert r.spans == cases.written([(s.start, s.order, s.kind, s.end) for s in r.found])
+
+
+def plain_spans(rows):
+    """All spans per row, from counts of whole documents."""
+    import regex
+
+    terms = [
+        [(m.group().lower(), m.start(), m.end()) for m in regex.finditer(r"\p{L}{3,}", t or "")]
+        for _, t in rows
+    ]
+    base = [cases.personal(t) for _, t in rows]
+
+    def entity(text, span):
+        value = text[span[0] : span[3]]
+        if span[2] in ("card", "phone"):
+            value = re.sub("[^0-9]", "", value)
+        return span[2], value.lower()
+
+    held = [{entity(t, s) for s in spans} for (_, t), spans in zip(rows, base, strict=True)]
+    n_term = Counter(t for own in terms for t in {x[0] for x in own})
+    n_entity = Counter(e for own in held for e in own)
+    n_both = Counter(
+        (e, t) for own, near in zip(terms, held, strict=True) for e in near for t in {x[0] for x in own}
+    )
+
+    def told(e, t):
+        p = n_entity[e] / len(rows)
+        if p == 1:
+            return 0.0
+        given = (n_both[e, t] + privacy.DOUBT * p) / (n_term[t] + privacy.DOUBT)
+        return math.log2(given / p) / -math.log2(p)
+
+    out = []
+    for (i, _), own, near, spans in zip(rows, terms, held, base, strict=True):
+        marked = []
+        for term, a, b in own:
+            most = max((told(e, term) for e in near), default=0.0)
+            clear = all(b <= s[0] or s[3] <= a for s in spans)
+            if clear and most >= privacy.GENERALISE_AT:
+                kind = "removed" if most >= privacy.REMOVE_AT else "generalised"
+                marked.append((a, 4, kind, b))
+        out.append((i, sorted(spans + marked)))
+    return out
 
 
 def test_op3_terms_that_disclose(spark):
-    # "quarterback" stands beside one address in three documents and nowhere else; "here" does
-    # too, but is everywhere.
-    rows = [(i, "the quarterback here is at jo@team.example.org today") for i in range(3)]
-    rows += [(10 + i, f"nothing here number {i}") for i in range(200)]
+    # "quarterback" stands in the documents of one address and in no others, at whatever distance;
+    # "here" does too, but is everywhere. The last address occurs once, and so does "someone".
+    far = "here and there " * 40
+    rows = [(i, f"the Quarterback {far} is at jo@team.example.org today") for i in range(3)]
+    rows += [(10 + i, f"nothing here and there number {i}") for i in range(200)]
     rows += [(500, "someone here at other@team.example.org today")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     by_id = {r.doc_id: r for r in privacy.find_personal_data(docs).collect()}
-    text = rows[0][1]
-    marked = {(s.kind, text[s.start : s.end]) for s in by_id[0].found}
-    assert ("removed", "quarterback") in marked
+    assert {i: r.spans for i, r in by_id.items()} == {
+        i: cases.written(s) for i, s in plain_spans(rows)
+    }
+    marked = {(s.kind, rows[0][1][s.start : s.end]) for s in by_id[0].found}
+    assert ("removed", "Quarterback") in marked
     assert not any(word == "here" for _, word in marked)
     assert by_id[10].spans == ""
-    assert [s.kind for s in by_id[500].found] == ["email"]
+    assert [s.kind for s in by_id[500].found] == ["generalised", "email"]
+
+
+def test_op3_hot_entities_and_sets_of_entities(spark):
+    """An address in most documents, some that always come together, and long lists."""
+    rows = []
+    for k in range(120):
+        text = f"word{'abcdefgh'[k % 8]}x common{'ab'[k % 2]}y "
+        text += "help@site.example " if k % 5 else ""
+        text += "a@b.example c@d.example pair " if k % 7 == 0 else ""
+        text += " ".join(f"u{j}@list.example" for j in range(60)) + " rare" if k == 50 else ""
+        rows.append((k, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = privacy.find_personal_data(docs).collect()
+    assert bag((r.doc_id, r.spans) for r in got) == bag(
+        (i, cases.written(s)) for i, s in plain_spans(rows)
+    )
 
 
 @pytest.mark.parametrize(
