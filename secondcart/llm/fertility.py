@@ -37,28 +37,34 @@ class Band:
 
     ``low`` and ``high`` bound the characters per token, ``bytes`` the share of tokens that stand
     for single bytes, ``entropy`` is the least entropy of the tokens as a share of the most that
-    as many tokens could have.
+    as many tokens could have, ``second`` the least characters per token of a second vocabulary.
     """
 
     low: float
     high: float
     bytes: float
     entropy: float
+    second: float = 0.0
 
 
-# Bands per language code, then per script for other or missing codes. They are wide: a text in
-# its language lies well inside, while encoded data, runs of one token and texts in a script that
-# the vocabulary does not know lie outside.
-LATIN = Band(low=1.2, high=9.0, bytes=0.10, entropy=0.30)
+# Bands per language code, then per script for other or missing codes. Prose of a Latin language
+# has some 4 characters a token, made-up words of its syllables nearly 2; words of random letters
+# have 1.55 in lower and 1.35 in upper case, random letters and digits and base64 1.2, runs of
+# punctuation 1.25 and of digits 0.9. The lower bounds lie between. Runs of one token fall to the
+# entropy, scripts that a vocabulary does not know to the share of bytes, and a text without any
+# letter is judged as "other".
+LATIN = Band(low=1.6, high=9.0, bytes=0.10, entropy=0.30, second=1.3)
+GERMANIC = Band(low=1.65, high=9.0, bytes=0.10, entropy=0.30, second=1.3)
 BANDS = {
-    **dict.fromkeys("en de fr es it pt nl".split(), LATIN),
+    **dict.fromkeys("en de nl".split(), GERMANIC),
+    **dict.fromkeys("fr es it pt".split(), LATIN),
     "latin": LATIN,
     "greek": Band(0.6, 6.0, 0.20, 0.30),
     "cyrillic": Band(1.0, 8.0, 0.20, 0.30),
     "semitic": Band(0.6, 6.0, 0.30, 0.30),
     "indic": Band(0.2, 6.0, 0.95, 0.20),
     "cjk": Band(0.2, 4.0, 0.95, 0.20),
-    "other": Band(0.0, 1e9, 1.0, 0.10),
+    "other": Band(1.4, 9.0, 0.95, 0.10),
 }
 SCRIPTS = ("other", "latin", "greek", "cyrillic", "semitic", "indic", "cjk")
 
@@ -98,6 +104,23 @@ class Vocabulary:
         return flat, sizes
 
 
+class ByteVocabulary:
+    """Ranks of a byte-level vocabulary: how many tokens a word has, after a blank."""
+
+    def __init__(self, path: str, pattern: str):
+        import base64
+
+        from tiktoken import Encoding
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.model = Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def sizes(self, some: list[str]) -> np.ndarray:
+        encode = self.model.encode_ordinary
+        return np.fromiter((len(encode(" " + w)) for w in some), np.int64, len(some))
+
+
 def _owner(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
@@ -145,8 +168,14 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8), offsets_of(lengths)
 
 
-def measure(texts: pa.Array, vocabulary: str) -> dict[str, np.ndarray]:
-    """All measures of every text (NULL counts as empty)."""
+def measure(
+    texts: pa.Array, vocabulary: str, second: tuple[str, str] | None = None
+) -> dict[str, np.ndarray]:
+    """All measures of every text (NULL counts as empty).
+
+    ``second`` is the file and the split pattern of a byte-level vocabulary. Every distinct word
+    is encoded once per batch, so a very long text costs what its different words do.
+    """
     texts = pc.fill_null(texts, "")
     flat, offsets = words(texts)
     n_words = np.diff(offsets)
@@ -167,20 +196,26 @@ def measure(texts: pa.Array, vocabulary: str) -> dict[str, np.ndarray]:
         out["script"] = np.where(per_script.max(0) > 0, there[per_script.argmax(0)], 0)
     if len(flat) == 0:
         zeros = np.zeros(len(texts), np.int64)
-        return out | dict.fromkeys(("n_repeat_words", "n_tokens", "n_bytes"), zeros) | {
+        names = ("n_repeat_words", "n_tokens", "n_bytes", "n_second")
+        return out | dict.fromkeys(names, zeros) | {
             "entropy": zeros.astype(float)
         }
     distinct, index = codes(flat)
     index = index.astype(np.int64)
     out["n_repeat_words"] = repeated_words(index, offsets, REPEAT_WINDOW)
     model = per_process(f"pieces:{vocabulary}", lambda: Vocabulary(vocabulary))
-    ids, sizes = model.encode(joined(distinct).split(" "))
+    some = joined(distinct).split(" ")
+    ids, sizes = model.encode(some)
     starts = offsets_of(sizes)[:-1]
     token_offsets = offsets_of(sizes[index])[offsets]
     tokens = ids[ragged(sizes[index], starts[index])]
     out["n_tokens"] = np.diff(token_offsets)
     out["n_bytes"] = sums(model.is_byte[tokens], token_offsets)
     out["entropy"] = token_entropy(tokens, token_offsets, len(model.is_byte))
+    out["n_second"] = np.zeros(len(texts), np.int64)
+    if second is not None:
+        other = per_process(f"bytes:{second[0]}", lambda: ByteVocabulary(*second))
+        out["n_second"] = sums(other.sizes(some)[index], offsets)
     return out
 
 
@@ -209,40 +244,50 @@ def outside_band(m: dict[str, np.ndarray], langs: list[str | None], bands: dict[
         bands[lang] if lang in bands and SCRIPTS[s] in ("latin", "other") else bands[SCRIPTS[s]]
         for lang, s in zip(langs, m["script"], strict=True)
     ]
-    low, high, most_bytes, entropy = np.array(
-        [(b.low, b.high, b.bytes, b.entropy) for b in picked]
-    ).reshape(-1, 4).T
+    low, high, most_bytes, entropy, second = np.array(
+        [(b.low, b.high, b.bytes, b.entropy, b.second) for b in picked]
+    ).reshape(-1, 5).T
     tokens = np.maximum(m["n_tokens"], 1)
     per_token, share = m["word_chars"] / tokens, m["n_bytes"] / tokens
-    return (per_token < low) | (per_token > high) | (share > most_bytes) | (m["entropy"] < entropy)
+    # Without a second vocabulary no text has tokens of it.
+    poor = m["word_chars"] < second * m["n_second"]
+    return (
+        (per_token < low)
+        | (per_token > high)
+        | (share > most_bytes)
+        | (m["entropy"] < entropy)
+        | poor
+    )
 
 
 OUTPUT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
     " n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long,"
-    " n_byte_tokens long, token_entropy double"
+    " n_byte_tokens long, token_entropy double, n_second_tokens long"
 )
 
 
-def _verdict(batch: pa.RecordBatch, text: str, lang: str, vocabulary: str, bands):
-    m = measure(batch.column(text), vocabulary)
-    failed = base_failed(m)
-    kept = ~failed & ~outside_band(m, batch.column(lang).to_pylist(), bands)
-    return m, failed, kept
-
-
-def quality(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None = None) -> DataFrame:
+def quality(
+    docs: DataFrame,
+    vocabulary: str,
+    bands: dict[str, Band] | None = None,
+    second: tuple[str, str] | None = None,
+) -> DataFrame:
     """Measures and verdict of every row, in one pass without a shuffle.
 
-    ``doc_id`` is passed on as it is (NULL and repeated ids too). A NULL or empty text has no
-    words and fails the base rule. A NULL or unknown ``lang`` is judged by the script of the text,
-    as is a known one whose text is in another script. Other columns are ignored.
+    ``doc_id`` is passed on as it is (NULL and repeated ids too); every row is judged for itself,
+    so ties and repeated rows have the same verdict. A NULL or empty text has no words and fails
+    the base rule; a very long one is measured whole. A NULL or unknown ``lang`` is judged by the
+    script of the text, as is a known one whose text is in another script. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
     bands = bands or BANDS
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            m, failed, kept = _verdict(batch, "text", "lang", vocabulary, bands)
+            m = measure(batch.column("text"), vocabulary, second)
+            failed = base_failed(m)
+            kept = ~failed & ~outside_band(m, batch.column("lang").to_pylist(), bands)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -262,6 +307,7 @@ def quality(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None = No
                     pa.array(m["n_tokens"], pa.int64()),
                     pa.array(m["n_bytes"], pa.int64()),
                     pa.array(m["entropy"], pa.float64()),
+                    pa.array(m["n_second"], pa.int64()),
                 ],
                 names=[x.split()[0] for x in OUTPUT.split(", ")],
             )
@@ -270,8 +316,13 @@ def quality(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None = No
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, OUTPUT)
 
 
-def keep_good(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None = None) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+def keep_good(
+    docs: DataFrame,
+    vocabulary: str,
+    bands: dict[str, Band] | None = None,
+    second: tuple[str, str] | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns; see :func:`quality`."""
     bands = bands or BANDS
     names = docs.columns
     at = {n: i for i, n in reversed(list(enumerate(names)))}
@@ -280,7 +331,7 @@ def keep_good(docs: DataFrame, vocabulary: str, bands: dict[str, Band] | None =
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text):
-            m = measure(batch.column(text), vocabulary)
+            m = measure(batch.column(text), vocabulary, second)
             langs = batch.column(lang).to_pylist() if lang else [None] * batch.num_rows
             kept = ~base_failed(m) & ~outside_band(m, langs, bands)
             yield batch.filter(pa.array(kept))

@@ -35,6 +35,13 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def second_vocabulary() -> tuple[str, str]:
+    """File and split pattern of the byte-level vocabulary that fertility is measured by too."""
+    import public_tokenizers
+
+    return vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_host_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     rules = url_filter.rules_of(url_filter.DEFAULT_RULES)
     return url_filter.judge_urls(read_warehouse(spark, folder, "pages"), rules)
@@ -81,7 +88,9 @@ def op8_binary_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_tokeniser_fertility(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_warehouse(spark, folder, "documents")
-    return fertility.quality(docs, vocabulary("piece_bpe_32k.model"))
+    return fertility.quality(
+        docs, vocabulary("piece_bpe_32k.model"), second=second_vocabulary()
+    )
 
 
 def op10_line_block_text(spark: SparkSession, folder: str) -> DataFrame:

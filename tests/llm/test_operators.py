@@ -7,6 +7,7 @@ runs on an empty table.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -29,7 +30,7 @@ from secondcart.llm import (
     simhash,
     url_filter,
 )
-from secondcart.llm.queries import vocabulary
+from secondcart.llm.queries import second_vocabulary, vocabulary
 from tests.llm import cases
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -559,6 +560,80 @@ def test_op9_fertility_bands(spark):
     assert {r.doc_id for r in kept} == {i for i, r in got.items() if r.kept}
 
 
+CLEAN = {
+    "en": "The committee agreed on Tuesday that the proposal would be sent to the council before the"
+    " end of the month, although several members were not satisfied with its wording and asked for"
+    " more time. Nobody expected the discussion to last so long, and the chairman closed the meeting"
+    " without a vote after the last speaker had left the room quietly.",
+    "de": "Der Ausschuss beschloss am Dienstag, den Vorschlag noch vor Ende des Monats an den Rat zu"
+    " senden, obwohl mehrere Mitglieder mit der Formulierung nicht zufrieden waren und mehr Zeit"
+    " verlangten. Niemand hatte erwartet, dass die Aussprache so lange dauert, und der Vorsitzende"
+    " schloss die Sitzung ohne Abstimmung, nachdem der letzte Redner den Saal verlassen hatte.",
+    "fr": "Le comité a décidé mardi que la proposition serait envoyée au conseil avant la fin du"
+    " mois, bien que plusieurs membres ne soient pas satisfaits de sa rédaction et demandent plus de"
+    " temps. Personne ne pensait que la discussion durerait si longtemps, et le président a levé la"
+    " séance sans vote après que le dernier orateur eut quitté la salle en silence.",
+    "es": "El comité acordó el martes que la propuesta se enviaría al consejo antes de fin de mes,"
+    " aunque varios miembros no estaban satisfechos con su redacción y pidieron más tiempo. Nadie"
+    " esperaba que la discusión durara tanto, y el presidente cerró la sesión sin votación después"
+    " de que el último orador hubiera salido de la sala en silencio y sin despedirse.",
+}
+
+
+def junk_texts():
+    rng = np.random.default_rng(8)
+
+    def words_of(letters, n=300):
+        return " ".join(
+            "".join(rng.choice(list(letters), int(rng.integers(3, 10)))) for _ in range(n)
+        )
+
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    return {
+        "base64": " ".join(base64.b64encode(rng.bytes(45)).decode() for _ in range(80)),
+        "lower": words_of(lower),
+        "upper": words_of(lower.upper()),
+        "punctuation": words_of("!#$%&'()*+,-./:;<=>?@[]^_`{|}~"),
+        "digits": words_of("0123456789"),
+        "hex": " ".join(rng.bytes(8).hex() for _ in range(100)),
+    }
+
+
+def test_op9_rejects_junk_and_keeps_prose(spark):
+    rows = [(name, text, lang) for name, text in junk_texts().items() for lang in ("en", "fr", None)]
+    rows += [(lang, text, own) for lang, text in CLEAN.items() for own in (lang, None, "xx")]
+    docs = spark.createDataFrame(
+        [(k, *r[1:]) for k, r in enumerate(rows)], "doc_id long, text string, lang string"
+    )
+    second = second_vocabulary()
+    got = fertility.quality(docs, vocabulary(PIECES), second=second).collect()
+    kept = {rows[r.doc_id][::2]: r.kept for r in got}
+    assert not any(r.base_failed for r in got)
+    assert kept == {(name, lang): name in CLEAN for name, _, lang in rows}
+    # The verdict again, from tokens of whole words, without batches.
+    from sentencepiece import SentencePieceProcessor
+
+    pieces = SentencePieceProcessor(model_file=vocabulary(PIECES))
+    other = fertility.ByteVocabulary(*second).model
+    for r in got:
+        words = cases.words(rows[r.doc_id][1])
+        tokens = [t for w in words for t in pieces.encode(w)]
+        assert r.n_tokens == len(tokens)
+        assert r.n_second_tokens == sum(len(other.encode_ordinary(" " + w)) for w in words)
+        lang = rows[r.doc_id][2]
+        band = fertility.BANDS[lang if lang in fertility.BANDS else r.script]
+        n, counts = len(tokens), Counter(tokens)
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+        chars = sum(map(len, words))
+        inside = (
+            band.low <= chars / n <= band.high
+            and sum(map(pieces.is_byte, tokens)) <= band.bytes * n
+            and entropy / math.log2(min(n, len(pieces))) >= band.entropy
+            and chars >= band.second * r.n_second_tokens
+        )
+        assert r.kept == inside
+
+
 def test_op9_stage_and_empty(table, empty):
     rows, docs = table
     kept = fertility.keep_good(docs, vocabulary(PIECES))

@@ -14,14 +14,16 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from secondcart.llm import fertility, hilbert_pack, mixing
-from secondcart.llm.queries import QUERIES, vocabulary
+from secondcart.llm.queries import QUERIES, second_vocabulary, vocabulary
 from tests.llm import cases
 from tests.llm.test_near_copies import jaccard, shingles
 
 
 def plain_quality(text, lang):
     """The verdict on one text alone, so that nothing leaks between the texts of a batch."""
-    m = fertility.measure(pa.array([text], pa.string()), vocabulary("piece_bpe_32k.model"))
+    m = fertility.measure(
+        pa.array([text], pa.string()), vocabulary("piece_bpe_32k.model"), second_vocabulary()
+    )
     counts = cases.rule_counts(text)
     if counts["n_words"] < 50 or 100 * counts["n_repeat_words"] > 50 * counts["n_words"]:
         return False
