@@ -320,6 +320,50 @@ def average_ranks(counts: DataFrame, value: str, groups: Sequence[str], weight:
     ).drop("_upto", "_from")
 
 
+class TooManyStrata(ValueError):
+    """More strata than are looked at on the driver."""
+
+
+def cutoff_table(
+    df: DataFrame, stratum: str, h: Column, id_column: str, ranks: Callable[[Column], Column]
+) -> DataFrame:
+    """``stratum, n, cuts`` for any number of strata: of each its rows and the rows at given ranks
+    in the order of hash, then id, as (hash, id).
+
+    ``ranks`` makes an array of ranks from 1, ascending, of the number of rows. Rows are counted by
+    stratum and hash bucket; only the buckets that hold a wanted rank are looked into. Nothing is
+    collected: a stratum has at most as many buckets as there are, whatever its size.
+    """
+    bits = hash_bucket_bits(df.count())
+    keyed = df.select(
+        F.col(stratum).alias("stratum"), h.alias("h"), F.col(id_column).alias("id")
+    ).withColumn("bucket", hash_bucket(F.col("h"), bits))
+    own = Window.partitionBy("stratum")
+    before = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    n, first = F.col("n"), F.col("before")
+    buckets = (
+        keyed.where(F.col("stratum").isNotNull())
+        .groupBy("stratum", "bucket")
+        .agg(F.count("*").alias("rows"))
+        .withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+        .withColumn("n", F.sum("rows").over(own))
+        .withColumn("here", F.filter(ranks(n), lambda r: (r > first) & (r <= first + F.col("rows"))))
+        .withColumn("places", F.transform("here", lambda r: r - first))
+    )
+    buckets = materialize(buckets.select("stratum", "bucket", "n", "places"), "buckets")
+    wanted = buckets.where(F.size("places") > 0)
+    place = F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("h", "id"))
+    cuts = (
+        keyed.join(wanted.select("stratum", "bucket", "places"), ["stratum", "bucket"])
+        .withColumn("place", place)
+        .where(F.array_contains("places", F.col("place").cast("long")))
+        .groupBy("stratum")
+        .agg(F.array_sort(F.collect_list(F.struct("h", "id"))).alias("cuts"))
+    )
+    sizes = buckets.groupBy("stratum").agg(F.max("n").alias("n"))
+    return sizes.join(cuts, "stratum", "left")
+
+
 def hash_cutoffs(
     df: DataFrame, stratum: str | None, h: Column, id_column: str,
     ranks: Callable[[object, int], Sequence[int]],
@@ -338,7 +382,7 @@ def hash_cutoffs(
     limit = MAX_STRATA << bits
     counts = keyed.groupBy("stratum", "bucket").count().limit(limit + 1).collect()
     if len(counts) > limit:
-        raise ValueError(f"{stratum!r} has more than {MAX_STRATA} strata")
+        raise TooManyStrata(f"{stratum!r} has more than {MAX_STRATA} strata")
 
     per_stratum: dict[object, list] = {}
     for row in sorted(counts, key=lambda r: r["bucket"]):

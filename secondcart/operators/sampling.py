@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from secondcart.functions.hashing import hash32
-from secondcart.operators.order_stats import after_cutoff, dense_index, hash_cutoffs
+from secondcart.operators.joins import lookup_by_hot_key
+from secondcart.operators.order_stats import (
+    TooManyStrata,
+    after_cutoff,
+    cutoff_table,
+    dense_index,
+    hash_cutoffs,
+)
 from secondcart.sources.writers import materialize
 
 # Cells between which draws are split together, and children of a node above them.
@@ -35,19 +42,49 @@ def _per_stratum(stratum: str, cutoffs: dict, expression: Callable) -> Column:
     return chosen
 
 
+def _with_cuts(
+    df: DataFrame, dealt: DataFrame, stratum: str, h: Column, id_column: str,
+    ranks: Callable[[Column], Column],
+) -> DataFrame:
+    """``df`` with ``_cuts``, the cutoffs of each row's stratum among the rows of ``dealt``, from
+    a table that is joined."""
+    table = cutoff_table(dealt, stratum, h, id_column, ranks).withColumnsRenamed(
+        {"stratum": stratum, "n": "_n", "cuts": "_cuts"}
+    )
+    return lookup_by_hot_key(df, table, stratum, "_n").drop("_n")
+
+
+def _cuts_before(h: Column, id_column: str) -> Column:
+    """How many of a row's cutoffs come strictly before it; a stratum without any has none."""
+    own = F.struct(h.alias("h"), F.col(id_column).alias("id"))
+    before = F.size(F.filter("_cuts", lambda c: c < own))
+    return F.when(F.col("_cuts").isNull(), 0).otherwise(before)
+
+
 def stratified_split(
     df: DataFrame, id_column: str, stratum: str, share: float, seed: int, tag: str = "split"
 ) -> DataFrame:
     """Add ``split``: ``test`` for ``share`` of each stratum (rounded), else ``train``.
 
     The rows of a stratum are ordered by a hash of their key; the first ones are the test set.
-    Only the cutoff of each stratum is computed, so the data are not moved.
+    Only the cutoff of each stratum is computed: a literal for each of a few strata, so that the
+    data are not moved, or a table that is joined where there are many.
     """
     h = hash32(seed, tag, id_column)
-    cutoffs = hash_cutoffs(
-        df, stratum, h, id_column, lambda _, n: [math.floor(share * n + 0.5)]
-    )
-    # Without a cutoff the share rounds to no row of the stratum.
+    try:
+        cutoffs = hash_cutoffs(
+            df, stratum, h, id_column, lambda _, n: [math.floor(share * n + 0.5)]
+        )
+    except TooManyStrata:
+        joined = _with_cuts(
+            df, df, stratum, h, id_column,
+            lambda n: F.array(F.floor(n * F.lit(share) + 0.5).cast("long")),
+        )
+        # Without a cutoff the share rounds to no row of the stratum.
+        no_cut = F.col("_cuts").isNull() & F.col(stratum).isNotNull()
+        is_train = no_cut | (_cuts_before(h, id_column) > 0)
+        split = F.when(is_train, "train").otherwise("test")
+        return joined.select(*df.columns, split.alias("split"))
     is_train = _per_stratum(
         stratum,
         cutoffs,
@@ -64,6 +101,11 @@ def _tile_ends(n: int, tiles: int) -> list[int]:
     return [sum(sizes[: i + 1]) for i in range(tiles - 1)]
 
 
+def _tile_end_columns(n: Column, tiles: int) -> Column:
+    whole, rest = F.floor(n / tiles), n % tiles
+    return F.array(*[(i * whole + F.least(F.lit(i), rest)).cast("long") for i in range(1, tiles)])
+
+
 def stratified_folds(
     df: DataFrame,
     id_column: str,
@@ -79,7 +121,16 @@ def stratified_folds(
     """
     h = hash32(seed, tag, id_column)
     dealt = df if within is None else df.where(within)
-    cutoffs = hash_cutoffs(dealt, stratum, h, id_column, lambda _, n: _tile_ends(n, folds))
+    try:
+        cutoffs = hash_cutoffs(dealt, stratum, h, id_column, lambda _, n: _tile_ends(n, folds))
+    except TooManyStrata:
+        joined = _with_cuts(
+            df, dealt, stratum, h, id_column, lambda n: _tile_end_columns(n, folds)
+        )
+        fold = F.when(F.col(stratum).isNotNull(), _cuts_before(h, id_column))
+        if within is not None:
+            fold = F.when(within, fold)
+        return joined.select(*df.columns, fold.cast("int").alias("fold"))
     fold = _per_stratum(
         stratum,
         cutoffs,

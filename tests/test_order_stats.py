@@ -172,6 +172,51 @@ def test_split_rounds_to_nothing_for_a_tiny_stratum(spark):
     assert split.where("split = 'test'").count() == 2
 
 
+def _plain_places(rows, seed, tag):
+    """Place of every row in its stratum, by the hash and then the id, and rows per stratum."""
+    by = {}
+    for i, g in rows:
+        digest = hashlib.md5(f"{seed}|{tag}|{i}".encode()).hexdigest()[:8]
+        by.setdefault(g, []).append((int(digest, 16), i))
+    return {i: (k, len(own)) for own in by.values() for k, (_, i) in enumerate(sorted(own))}
+
+
+def test_any_number_of_strata(spark, values, monkeypatch):
+    """More strata than the driver looks at: the same rows, from a joined table."""
+    df = values[0].select("id", F.when(F.col("id") % 50 != 0, F.col("id") % 7).alias("g"))
+    plain = {
+        "split": sampling.stratified_split(df, "id", "g", 0.2, 42),
+        "fold": sampling.stratified_folds(df, "id", "g", 5, 42, within=F.col("id") % 3 > 0),
+    }
+    expected = {name: bag.collect() for name, bag in plain.items()}
+    monkeypatch.setattr(order_stats, "MAX_STRATA", 0)
+    joined = {
+        "split": sampling.stratified_split(df, "id", "g", 0.2, 42),
+        "fold": sampling.stratified_folds(df, "id", "g", 5, 42, within=F.col("id") % 3 > 0),
+    }
+    for name, rows in expected.items():
+        assert set(map(tuple, joined[name].collect())) == set(map(tuple, rows))
+
+
+def test_a_hundred_thousand_strata(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "MAX_STRATA", 16)
+    # A third of the rows in one stratum, the others in strata of one to three rows.
+    g = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 100_000)
+    df = spark.range(300_000).select("id", g.alias("g"))
+    split = sampling.stratified_split(df, "id", "g", 0.2, 42)
+    folds = sampling.stratified_folds(df, "id", "g", 5, 42)
+    rows = [(r["id"], r["g"], r["split"]) for r in split.collect()]
+    assert len(rows) == 300_000 and len({g for _, g, _ in rows}) == 100_001
+    places = _plain_places([r[:2] for r in rows], 42, "split")
+    for i, _, half in rows:
+        place, n = places[i]
+        assert (half == "test") == (place < math.floor(0.2 * n + 0.5))
+    places = _plain_places([r[:2] for r in rows], 42, "fold")
+    for r in folds.collect():
+        place, n = places[r["id"]]
+        assert r["fold"] == sum(place + 1 > e for e in set(sampling._tile_ends(n, 5)) if e > 0)
+
+
 def test_folds_cover_each_row_once_and_are_even(values):
     df, _ = values
     odd = df.where("id < 1003")
