@@ -5,9 +5,9 @@ Every window of bytes belongs to the shard of its smallest gram hash, so equal w
 shard whichever documents they come from. Neighbouring windows with one smallest gram form a
 fragment. A shard's fragments are a collection of short strings: each round puts the next symbol
 of every string in front of its last suffix, finds the place of the longer suffix from the symbols
-before it, and writes the transform, the common prefixes and the suffixes anew, front to back.
-After as many rounds as the longest fragment has bytes, suffixes with a common prefix as long as a
-window stand side by side.
+before it, and writes the transform and the common prefixes anew, front to back. After as many
+rounds as the longest fragment has bytes, suffixes with a common prefix as long as a window stand
+side by side; a walk through the transform says which they are.
 """
 
 from __future__ import annotations
@@ -31,14 +31,15 @@ from secondcart.operators.joins import lookup_by_hot_key
 from secondcart.sources.writers import materialize, new_path
 
 WINDOW = 50
-GRAM = 16
+GRAM = 20
 # Rows that are looked up together: so many ids next to each other, or a single long text.
 SLICE_ROWS = 9  # bits
 LONG_TEXT = 256 << 10
 # Bytes of fragments in one shard; fragments with one key are never divided between shards.
-SHARD_BYTES = 2 << 20
-# Fragments with one key from which equal ones are merged before they meet.
-HOT = 2048
+SHARD_BYTES = 512 << 10
+# Rows with one key, some two megabytes of fragments, from which equal ones are merged before they
+# meet.
+HOT = 32_768
 # Different fragments of one key from which they are cut again by a longer gram.
 WIDE = 16_384
 # A shard's files are kept in memory up to this size.
@@ -130,16 +131,12 @@ def column_transform(
     string, place = np.arange(m), np.arange(m)
     files.write("symbols", code[text[ends - 1]])
     files.write("common", np.zeros(m, np.uint8))
-    files.write("suffixes", ends.astype(np.int64))
     column = 0
     while len(string):
         column += 1
         symbols, common = files.read("symbols"), files.read("common")
-        order = np.argsort(symbols, kind="stable")
-        sizes = np.bincount(symbols, minlength=len(present) + 1)
+        order, rank, sizes = symbol_order(symbols, len(present) + 1)
         first_of = offsets_of(sizes)[:-1]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
         at = rank[place]
         by_rank = np.argsort(at)
         at, string = at[by_rank], string[by_rank]
@@ -162,9 +159,29 @@ def column_transform(
         common[starts_of[starts_of < len(common)]] = 0
         files.write("common", common)
         files.write("symbols", merged(symbols, symbol, is_new))
-        files.write("suffixes", merged(files.read("suffixes"), before + 1, is_new))
         string, place = string[~last], place[~last]
-    return files.read("suffixes"), files.read("common")
+    return suffixes_of(files.read("symbols"), ends, len(present) + 1), files.read("common")
+
+
+def symbol_order(symbols: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the order of their symbols, each place's rank in that order, and symbol counts."""
+    order = np.argsort(symbols, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return order, rank, np.bincount(symbols, minlength=n_symbols)
+
+
+def suffixes_of(symbols: np.ndarray, ends: np.ndarray, n_symbols: int) -> np.ndarray:
+    """Where the suffix at each place of the transform starts, by walking through all strings at
+    once from their ends."""
+    _, rank, sizes = symbol_order(symbols, n_symbols)
+    out = np.empty(len(symbols), np.int64)
+    place, at = np.arange(len(ends)), ends.astype(np.int64)
+    while len(place):
+        out[place] = at
+        more = symbols[place] != 0
+        place, at = rank[place[more]] + (len(ends) - sizes[0]), at[more] - 1
+    return out
 
 
 def least_ids(
@@ -278,12 +295,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 SLICE_KEYS = "bucket int, slice long, keys binary, counts binary"
-FULL, MANY = 127, 128
 
 
 def _slice_keys(buckets: int, window: int, gram: int):
-    """Keys of each slice, packed by bucket. A key's count is cut off at ``FULL``; ``MANY`` is
-    added where several rows of the slice have it."""
+    """Keys of each slice and in how many of its rows they are, packed by bucket."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "data"):
@@ -295,10 +310,12 @@ def _slice_keys(buckets: int, window: int, gram: int):
             bucket = keys % buckets
             order = np.lexsort((own, keys, bucket, part))
             part, bucket, keys, own = part[order], bucket[order], keys[order], own[order]
-            borders = _runs(part, keys)
-            first, n = borders[:-1], np.diff(borders)
-            several = own[first] != own[borders[1:] - 1]
-            counts = (np.minimum(n, FULL) + MANY * several).astype(np.uint8)
+            first = _runs(part, keys)[:-1]
+            new_row = np.ones(len(own), np.int64)
+            new_row[1:] = own[1:] != own[:-1]
+            new_row[first] = 1
+            # No slice has nearly as many rows as this type can count.
+            counts = np.add.reduceat(new_row, first).astype("<u2")
             part, bucket, packed = part[first], bucket[first], _packed(keys[first])
             rows = _runs(part, bucket)
             sizes = np.diff(rows)
@@ -307,7 +324,7 @@ def _slice_keys(buckets: int, window: int, gram: int):
                     pa.array(bucket[rows[:-1]], pa.int32()),
                     pa.array(part[rows[:-1]]),
                     _binaries(packed.ravel(), sizes * KEY_BYTES),
-                    _binaries(counts, sizes),
+                    _binaries(counts.view(np.uint8), sizes * 2),
                 ],
                 names=["bucket", "slice", "keys", "counts"],
             )
@@ -323,15 +340,14 @@ def _shared_keys(hot: int):
 
     def run(table: pa.Table) -> pa.Table:
         keys = _unpacked(b"".join(table["keys"].to_pylist()))
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
-        sizes = pc.binary_length(table["counts"]).to_numpy()
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u2").astype(np.int64)
+        sizes = pc.binary_length(table["counts"]).to_numpy() // 2
         part = np.repeat(table["slice"].to_numpy(), sizes)
         order = np.argsort(keys, kind="stable")
         borders = _runs(keys[order])
         first, n = borders[:-1], np.diff(borders)
-        several = (n > 1) | (counts[order][first] >= MANY)
-        total = np.add.reduceat((counts[order] & FULL).astype(np.int64), first)
-        kind = np.repeat(np.where(several, np.where(total > hot, 2, 1), 0), n)
+        total = np.add.reduceat(counts[order], first)
+        kind = np.repeat(np.where(total > 1, np.where(total > hot, 2, 1), 0), n)
         left = np.flatnonzero(kind)
         order, kind = order[left], kind[left]
         by_slice = np.lexsort((kind, part[order]))
@@ -355,27 +371,36 @@ def _shared_keys(hot: int):
     return guarded
 
 
-FRAGMENTS = "shard long, key long, hot boolean, row long, id long, start int, windows int, text binary"
+FRAGMENTS = "shard long, key long, hot boolean, row long, id long, starts binary, text binary"
+
+
+def _merged(own: np.ndarray, start: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """One entry for equal fragments of one row: the place of a first one, and all their starts."""
+    code = texts.dictionary_encode().indices.to_numpy().astype(np.int64)
+    order = np.lexsort((start, code, own))
+    borders = _runs(own[order], code[order])
+    starts = np.ascontiguousarray(start[order].astype("<i4")).view(np.uint8)
+    return order[borders[:-1]], _binaries(starts, np.diff(borders) * 4)
 
 
 def _fragment_rows(batch, own, start, count, keys, hot, values, offsets, window) -> pa.RecordBatch:
-    rows = batch.column("row").to_numpy()[own]
     length = count + window - 1
-    flat = values[ragged(length, offsets[own] + start)]
+    texts = _binaries(values[ragged(length, offsets[own] + start)], length)
+    first, starts = _merged(own, start, texts)
+    rows = batch.column("row").to_numpy()[own[first]]
     # Hot fragments are only passed on, wherever they land.
-    spread = (rows * 1_000_003 + start) * 0x9E3779B97F4A7C1
+    spread = (rows * 1_000_003 + start[first]) * 0x9E3779B97F4A7C1
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.where(hot, spread, keys)),
-            pa.array(keys),
-            pa.array(hot),
+            pa.array(np.where(hot[first], spread, keys[first])),
+            pa.array(keys[first]),
+            pa.array(hot[first]),
             pa.array(rows),
-            batch.column("id").take(pa.array(own)),
-            pa.array(start, pa.int32()),
-            pa.array(count, pa.int32()),
-            _binaries(flat, length),
+            batch.column("id").take(pa.array(own[first])),
+            starts,
+            texts.take(pa.array(first)),
         ],
-        names=["shard", "key", "hot", "row", "id", "start", "windows", "text"],
+        names=["shard", "key", "hot", "row", "id", "starts", "text"],
     )
 
 
@@ -425,16 +450,20 @@ def _cut_again(window: int, gram: int):
             values, offsets = _bytes_of(batch.column("text"))
             own, start, count, keys = fragments_of(values, offsets, window, gram)
             length = count + window - 1
+            # Every start of the fragment is one of the new one as well.
+            flat, ends = _bytes_of(batch.column("starts"))
+            before, n = flat.view("<i4"), np.diff(ends)[own] // 4
+            places = before[ragged(n, ends[own] // 4)] + np.repeat(start, n)
+            starts = np.ascontiguousarray(places.astype("<i4")).view(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys),
                     batch.column("row").take(pa.array(own)),
                     batch.column("id").take(pa.array(own)),
-                    pa.array(batch.column("start").to_numpy()[own] + start, pa.int32()),
-                    pa.array(count, pa.int32()),
+                    _binaries(starts, n * 4),
                     _binaries(values[ragged(length, offsets[own] + start)], length),
                 ],
-                names=["key", "row", "id", "start", "windows", "text"],
+                names=["key", "row", "id", "starts", "text"],
             )
 
     return run
@@ -488,7 +517,8 @@ def _in_shards(batches, size_of: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-RESULTS = "row long, start int, mask long, key long, id long, windows int, text binary"
+RESULTS = "row long, starts binary, mask long, key long, id long, text binary"
+RESULT_NAMES = ["row", "starts", "mask", "key", "id", "text"]
 
 
 def _bits(smaller: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -507,11 +537,9 @@ def _search(window: int, folder: str):
             hot = table["hot"].to_numpy()
             passed = table.filter(pa.array(hot)).combine_chunks()
             for b in passed.to_batches():
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("row"), b.column("start"), pa.nulls(b.num_rows, pa.int64()),
-                     b.column("key"), b.column("id"), b.column("windows"), b.column("text")],
-                    names=["row", "start", "mask", "key", "id", "windows", "text"],
-                )
+                columns = {name: b.column(name) for name in ("row", "starts", "key", "id", "text")}
+                columns["mask"] = pa.nulls(b.num_rows, pa.int64())
+                yield _results(columns, b.num_rows)
             cold = table.filter(pa.array(~hot)).combine_chunks()
             if not cold.num_rows:
                 continue
@@ -530,21 +558,21 @@ def _search(window: int, folder: str):
             mask = _bits(smaller, offsets_of(count))
             left = np.flatnonzero(mask)
             some = cold.take(pa.array(left)).combine_chunks()
-            n = len(left)
-            yield pa.RecordBatch.from_arrays(
-                [some["row"].combine_chunks(), some["start"].combine_chunks(), pa.array(mask[left]),
-                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
-                 pa.nulls(n, pa.binary())],
-                names=["row", "start", "mask", "key", "id", "windows", "text"],
-            ) if n else _no_results()
+            columns = {name: some[name].combine_chunks() for name in ("row", "starts")}
+            yield _results(columns | {"mask": pa.array(mask[left])}, len(left))
 
     return run
 
 
-def _no_results() -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    names = ["row", "start", "mask", "key", "id", "windows", "text"]
-    return pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=names)
+def _results(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    arrays = []
+    for name, kind in zip(RESULT_NAMES, kinds, strict=True):
+        column = columns.get(name, pa.nulls(n, kind))
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], kind)
+        arrays.append(column)
+    return pa.RecordBatch.from_arrays(arrays, names=RESULT_NAMES)
 
 
 def _search_different(window: int, folder: str):
@@ -569,7 +597,7 @@ def _search_different(window: int, folder: str):
 def hot_masks(
     hot: DataFrame, window: int, gram: int, folder: str, wide: int
 ) -> list[DataFrame]:
-    """``row, start, mask`` of fragments with frequent keys.
+    """``row, starts, mask`` of fragments with frequent keys.
 
     Equal fragments become one with its least id before they meet, and each finds its result by
     its digest. Where that leaves very many under one key, they are cut again by a longer gram,
@@ -601,18 +629,17 @@ def hot_masks(
             .mapInArrow(_search_different(window, folder), "fragment string, n long, least array<long>")
         )
         found = lookup_by_hot_key(
-            hot.select("row", "id", "start", "fragment"), searched, "fragment", "n"
+            hot.select("row", "id", "starts", "fragment"), searched, "fragment", "n"
         )
         bits = F.transform(
             "least", lambda x, j: F.when(x < F.col("id"), F.expr("1L")).otherwise(F.lit(0)) * F.pow(F.lit(2), j).cast("long")
         )
         mask = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc + x)
-        out.append(found.select("row", "start", mask.alias("mask")).where(F.col("mask") != 0))
+        out.append(found.select("row", "starts", mask.alias("mask")).where(F.col("mask") != 0))
         if some is None:
             break
-        hot = some.select("key", "row", "id", "start", "windows", "text").mapInArrow(
-            _cut_again(window, gram),
-            "key long, row long, id long, start int, windows int, text binary",
+        hot = some.select("key", "row", "id", "starts", "text").mapInArrow(
+            _cut_again(window, gram), "key long, row long, id long, starts binary, text binary"
         )
     return out
 
@@ -631,9 +658,11 @@ def _kept(window: int):
             inner = spans.flatten()
             if len(inner):
                 filled = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
-                first = offsets[np.repeat(np.arange(batch.num_rows), filled)]
-                first = first + inner.field("start").to_numpy()
-                mask = inner.field("mask").to_numpy()
+                flat, ends = _bytes_of(inner.field("starts"))
+                n = np.diff(ends) // 4
+                first = np.repeat(offsets[np.repeat(np.arange(batch.num_rows), filled)], n)
+                first = first + flat.view("<i4")
+                mask = np.repeat(inner.field("mask").to_numpy(), n)
                 for j in range(int(mask.max()).bit_length()):
                     at = first[(mask >> j) & 1 == 1] + j
                     np.add.at(change, at, 1)
@@ -665,7 +694,9 @@ def _kept(window: int):
 def found_windows(
     rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, wide: int = WIDE
 ) -> DataFrame:
-    """``row, start, mask``: windows of ``rows(row, id, slice, data)`` that a smaller id holds."""
+    """``row, starts, mask``: windows of ``rows(row, id, slice, data)`` that a smaller id holds.
+
+    Bit j of a mask stands for the window j bytes after each of the starts."""
     spark = rows.sparkSession
     folder = new_path(spark, "columns")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -696,7 +727,7 @@ def found_windows(
         .mapInArrow(_search(window, folder), RESULTS),
         "windows",
     )
-    masks = found.where(F.col("mask").isNotNull()).select("row", "start", "mask")
+    masks = found.where(F.col("mask").isNotNull()).select("row", "starts", "mask")
     frequent = found.where(F.col("mask").isNull()).drop("mask")
     if not frequent.isEmpty():
         for more in hot_masks(frequent, window, gram, folder, wide):
@@ -731,15 +762,44 @@ def remove_repeated_bytes(
     )
     near = F.shiftright("row", SLICE_ROWS)
     own_slice = F.when(F.octet_length("data") > LONG_TEXT, -1 - F.abs("row")).otherwise(near)
-    masks = found_windows(rows.withColumn("slice", own_slice), window, gram, hot, wide)
+    copies = _few(materialize(later_copies(rows, window), "copies"))
+    firsts = rows.join(copies, "row", "left_anti")
+    masks = found_windows(firsts.withColumn("slice", own_slice), window, gram, hot, wide)
     spans = materialize(
-        masks.groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("spans")), "spans"
+        masks.groupBy("row").agg(F.collect_list(F.struct("starts", "mask")).alias("spans")), "spans"
     )
     # Texts that lose nothing need not meet the others.
-    changed = spans.select("row")
-    if changed.count() <= BROADCAST_ROWS:
-        changed = F.broadcast(changed)
+    changed = _few(spans.select("row"))
     none = F.lit(None).cast(spans.schema["spans"].dataType)
-    whole = rows.join(changed, "row", "left_anti").select("doc_id", "data", none.alias("spans"))
-    cut = rows.join(changed, "row", "left_semi").join(spans, "row").select("doc_id", "data", "spans")
-    return whole.unionAll(cut).mapInArrow(_kept(window), KEPT)
+    whole = firsts.join(changed, "row", "left_anti").select("doc_id", "data", none.alias("spans"))
+    cut = (
+        firsts.join(changed, "row", "left_semi").join(spans, "row").select("doc_id", "data", "spans")
+    )
+    done = whole.unionAll(cut).mapInArrow(_kept(window), KEPT)
+    size, nothing = F.octet_length("data").cast("long"), F.lit(b"")
+    gone = rows.join(copies, "row", "left_semi").select(
+        "doc_id",
+        size.alias("n_bytes"),
+        size.alias("n_removed"),
+        F.lit(1).cast("long").alias("n_spans"),
+        F.sha2(nothing, 256).alias("kept_sha256"),
+        nothing.alias("kept"),
+    )
+    return done.unionAll(gone)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Row numbers that are broadcast up to a million of them (8 MB), and joined beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def later_copies(rows: DataFrame, window: int) -> DataFrame:
+    """Rows that go as a whole: a row with a smaller id has the same bytes, at least a window of
+    them. Whatever they hold the first of their copies holds too, so no other row needs them."""
+    texts = rows.where(F.octet_length("data") >= window).select(
+        "row", "id", F.sha2("data", 256).alias("digest")
+    )
+    first = texts.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    first = first.where(F.col("n") > 1)
+    found = lookup_by_hot_key(texts, first, "digest", "n")
+    return found.where(F.col("id") > F.col("first")).select("row")

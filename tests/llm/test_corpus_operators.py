@@ -151,7 +151,7 @@ def got_bytes(df):
     return bag((*r[:5], bytes(r.kept)) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot, wide", [(column_bwt.HOT, column_bwt.WIDE), (1, 50), (1, 1)])
+@pytest.mark.parametrize("hot, wide", [(column_bwt.HOT, column_bwt.WIDE), (2, 50), (1, 1)])
 def test_op12(table, hot, wide):
     rows, docs = table
     expected = plain_bytes(rows)
