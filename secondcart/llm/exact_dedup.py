@@ -49,7 +49,8 @@ def exact_groups(
     stay only if no row of it has an id; of rows that share the smallest id all stay, since
     nothing tells them apart (:func:`drop_copies` numbers rows and keeps one). A NULL text equals
     an empty one. ``digest`` only speeds the comparison up: where two different texts share a
-    digest, rows are matched by their texts.
+    digest, rows are matched by their texts. Very long texts are compared whole. An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     text = normalised(F.col("text"))
     rows = exact_columns(docs, id_column, "text").select(

@@ -396,7 +396,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     k-gram but differ, in very large numbers, are taken apart into windows.
 
     A NULL text has no words. Rows may share ids or have none (they are numbered then); equal rows
-    repeat each other. Other columns are ignored.
+    repeat each other. Very long texts are windows like any others; ties of hashes go to the leftmost
+    k-gram. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     if not gram < window <= 64 or gram & (gram - 1) or window - gram + 1 > 62:
         raise ValueError("gram must be a power of two below window, and window at most 64")

@@ -269,8 +269,10 @@ def _extract(batches) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars.
 
-    Works row by row without a shuffle. A NULL or empty html has the empty text; ids and urls are
-    passed on as they are, NULL and repeated ones too; other columns are ignored.
+    Works row by row without a shuffle. A NULL or empty html has the empty text, a very long page
+    is parsed whole; ids and urls are passed on as they are, NULL and repeated ones too, and equal
+    pages have equal texts. Of windows with equal sums the first rise and the last fall count. An
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = exact_columns(pages, "page_id", "url", "html").withColumn(
         "page_id", F.col("page_id").cast("long")

@@ -91,7 +91,9 @@ def mix(
 
     A NULL source is a source of its own (weight key ``None`` is not possible; it gets weight 0 if
     weights are stated). Rows with the same id, and rows without id with the same text, repeat
-    alike. All columns are passed on by position, so clashing names do no harm.
+    alike; repeated rows are copied each for itself. A NULL or empty text is copied like any other, a
+    very long one moves once per copy. An empty table gives an empty result. All columns are passed
+    on by position, so clashing names do no harm.
     """
     names = docs.columns
     at = {n: i for i, n in reversed(list(enumerate(names)))}

@@ -44,7 +44,8 @@ def second_vocabulary() -> tuple[str, str]:
 
 def op1_host_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     rules = url_filter.rules_of(url_filter.DEFAULT_RULES)
-    return url_filter.judge_urls(read_warehouse(spark, folder, "pages"), rules)
+    public = url_filter.public_words(vocabulary("word_bpe_49k.json"))
+    return url_filter.judge_urls(read_warehouse(spark, folder, "pages"), rules, public=public)
 
 
 def op2_fm_substrings(spark: SparkSession, folder: str) -> DataFrame:

@@ -143,8 +143,9 @@ def write_records(
     The rows are range-partitioned by ``doc_id`` (NULL first, equal ids by text), and partition N
     becomes shard N, so that reading the shards in order gives the documents in order. Text
     crosses the network once and is tokenised where it arrives. A NULL or empty text is a record
-    with the end id alone; an empty table has no shards. The result has one row per shard, with
-    ``start``, the ids in all shards before it; it is written as ``shards`` beside them.
+    with the end id alone, a very long one is a single record; an empty table has no shards. Rows
+    with equal ids and texts are a record each. Other columns are ignored, whatever their names.
+    The result has one row per shard, with ``start``, the ids in all shards before it; it is written as ``shards`` beside them.
     """
     spark = docs.sparkSession
     store, root = open_store(folder)

@@ -377,8 +377,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     Fingerprints link at 4 or fewer differing bits; ``component_id`` is the smallest id reachable
     over links. Rows with equal fingerprints are one node however many they are, so a group of
     copies costs what one document costs; no pairs of documents are ever made. A NULL text is
-    empty: fingerprint 0. Rows without id belong to their fingerprint's group; a group without
-    any id has a NULL ``component_id``. Other columns are ignored.
+    empty: fingerprint 0. Very long texts are hashed whole, a bounded number of shingles at a time.
+    Rows without id belong to their fingerprint's group; a group without any id has a NULL
+    ``component_id``. Rows with equal ids or texts have a result each, and ties of bits (set in
+    exactly half the hashes) are 0. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
     marked = materialize(fingerprints(docs, id_column), "fingerprints")
     nodes = materialize(

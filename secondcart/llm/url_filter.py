@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,13 +17,14 @@ from secondcart.operators.joins import lookup_by_hot_key
 from secondcart.sources.writers import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Longest word of the language model; longer runs of letters are cut into words up to this.
-MAX_WORD = 24
-# Least share of the corpus that a word of the labelled names is taken to have.
-SEED_SHARE = 1e-6
+# Share of a word's probability that comes from the public vocabulary, the rest is the corpus's;
+# and the least that a word of the labelled names has.
+PUBLIC_SHARE = 0.5
+SEED_PROBABILITY = 1e-6
+# Size of the corpus that an unknown run of letters is measured against. It is fixed, so that the
+# split of a name does not depend on the number of pages.
+TOTAL = 1e9
 PRIOR_BLOCK = 0.2
-# Shorter pieces are mostly what is left over where a run of letters is no word.
-MIN_LETTERS = 3
 SMOOTHING = 0.5
 MARKUP = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]+;"
 
@@ -62,27 +64,24 @@ DEFAULT_RULES = [
 
 # Labelled names from which naive Bayes is trained, one name per line. Words are
 # separated where a reader would separate them; the names are glued together for training, so
-# that they pass through the same segmentation as hosts do.
+# that they pass through the same segmentation as hosts do. Words of a site's structure, such as
+# www, blog, index or page, are in no name and have no weight.
 BLOCK_NAMES = """
 adult video
-adult x
 xxx porn
 free porn
 sex cams
 live sex chat
 adult dating
 escort girls
-casino win
 online casino
 casino bonus
 free spins
 slots jackpot
 poker bets
-free bets
 sports betting
 bet win
 lottery winner
-cheap pills
 online pharmacy
 viagra pills
 buy cialis
@@ -90,11 +89,9 @@ weight loss pills
 diet pills
 replica watches
 cheap replica
-spam farm
 link farm
 link spam
 seo spam
-ads track
 ad tracker
 ads server
 click ads
@@ -144,10 +141,10 @@ government portal
 research institute
 math forum
 physics lecture
-garden blog
-photo blog
-personal blog
-tech blog
+garden club
+photo album
+personal diary
+tech magazine
 code review
 data science
 map atlas
@@ -159,11 +156,6 @@ help center
 product support
 online shop
 company about
-contact page
-article page
-blog post
-index page
-home page
 """
 
 
@@ -210,31 +202,62 @@ def corpus_words(pages: DataFrame) -> DataFrame:
     visible = F.regexp_replace(F.coalesce("html", F.lit("")), MARKUP, " ")
     return (
         pages.select(F.explode(letters(visible)).alias("word"))
-        .where(F.length("word") <= MAX_WORD)
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
 
 
-def unknown(length: int, total: float) -> float:
-    """Log probability of a run of letters that is no word: the longer, the less likely."""
-    return math.log(10.0 / total) - length * math.log(10.0)
+def public_words(path: str) -> list[tuple[str, float]]:
+    """Words of a public vocabulary of whole-word tokens, by Zipf's law of their ranks.
+
+    The file's tokens are ordered by how early they were merged, that is by frequency; those that
+    end a word and have three letters or more are words.
+    """
+    with open(path, encoding="utf-8") as f:
+        ranks = json.load(f)["model"]["vocab"]
+    ends = sorted((i, t.removesuffix("</w>")) for t, i in ranks.items() if t.endswith("</w>"))
+    words = [w for _, w in ends if len(w) >= 3 and w.isascii() and w.isalpha() and w.islower()]
+    whole = sum(1 / k for k in range(1, len(words) + 1))
+    return [(w, 1 / (k * whole)) for k, w in enumerate(words, 1)]
+
+
+def language_model(
+    corpus: DataFrame, public: list[tuple[str, float]], known: list[str]
+) -> DataFrame:
+    """``(word, n)``: counts out of ``TOTAL`` from corpus and public vocabulary; words of the
+    labelled names are words, however rare they are."""
+    spark = corpus.sparkSession
+    total = float(corpus.agg(F.sum("n")).first()[0] or 0)
+    own = 1 - PUBLIC_SHARE if public else 1.0
+    parts = corpus.select("word", (F.col("n") * F.lit(own * TOTAL / max(total, 1))).alias("n"))
+    listed = [(w, p * PUBLIC_SHARE * TOTAL) for w, p in public]
+    listed += [(w, SEED_PROBABILITY * TOTAL) for w in known]
+    more = spark.createDataFrame(listed, "word string, n double")
+    return parts.unionAll(more).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def best_split(token: str, found: dict[tuple[int, int], float], total: float) -> list[str]:
     """Most likely way to write ``token`` as words (Viterbi over its positions).
 
-    ``found`` has the log probability of each known word by start and length.
+    ``found`` has the log probability of each known word by start and length. A run of letters
+    that is no word has probability 10 / total, less by ten for every letter; it may be of any
+    length, and its best start is carried along.
     """
     n = len(token)
-    best = [0.0] + [-math.inf] * n
-    back = [0] * (n + 1)
+    by_end: dict[int, list[tuple[int, float]]] = {}
+    for (start, size), p in found.items():
+        by_end.setdefault(start + size, []).append((start, p))
+    letter, opening = math.log(10.0), math.log(10.0 / total)
+    best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    run, run_start = -math.inf, 0
     for end in range(1, n + 1):
-        for start in range(max(0, end - MAX_WORD), end):
-            p = found.get((start, end - start))
-            score = best[start] + (unknown(end - start, total) if p is None else p)
-            if score > best[end]:
-                best[end], back[end] = score, start
+        if best[end - 1] + opening > run:
+            run, run_start = best[end - 1] + opening, end - 1
+        run -= letter
+        best[end], back[end] = run, run_start
+        for start, p in by_end.get(end, ()):
+            if best[start] + p >= best[end]:
+                best[end], back[end] = best[start] + p, start
     out, end = [], n
     while end:
         out.append(token[back[end] : end])
@@ -255,19 +278,22 @@ def _split_tokens(batches, total: float) -> Iterator[pa.RecordBatch]:
         )
 
 
-def segmented(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def segmented(tokens: DataFrame, vocabulary: DataFrame, total: float = TOTAL) -> DataFrame:
     """``(token, words)`` for every distinct token.
 
     Tokens meet the word counts by a join on their substrings, so neither the vocabulary nor the
     tokens have to fit anywhere; what one token gathers is bounded by its own length.
     """
-    total = float(vocabulary.agg(F.sum("n")).first()[0] or 1)
+    # Lengths of words, of which there are few different ones however many words there are.
+    lengths = [
+        r["size"] for r in vocabulary.select(F.length("word").alias("size")).distinct().collect()
+    ]
     n = F.length("token")
     spans = F.flatten(
         F.transform(
             F.sequence(F.lit(1), n),
             lambda at: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), n - at + 1)),
+                F.filter(F.lit(sorted(lengths) or [1]), lambda size: size <= n - at + 1),
                 lambda size: F.struct(
                     (at - 1).alias("at"),
                     size.alias("len"),
@@ -293,8 +319,8 @@ def segmented(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def bayes_weights(counts: dict[tuple[str, str], int]) -> dict[str, float]:
-    """Log odds for ``block`` of every word of the labelled names that is not very short."""
-    words = sorted({w for w, _ in counts if len(w) >= MIN_LETTERS})
+    """Log odds for ``block`` of every word of the labelled names."""
+    words = sorted({w for w, _ in counts})
     total = {
         label: sum(counts.get((w, label), 0) for w in words) + SMOOTHING * len(words)
         for label in ("block", "allow")
@@ -315,18 +341,22 @@ def judge_urls(
     pages: DataFrame,
     rules: list[Rule],
     labelled: list[tuple[str, list[str]]] | None = None,
+    public: list[tuple[str, float]] | None = None,
 ) -> DataFrame:
     """Verdict on every row's url: page_id, host, path, rule, verdict, score.
 
     The longest rule that fits decides (see :func:`first_rule`). Otherwise the words of host and
     path do: their letters are split by unigram Viterbi with the word counts of all pages' visible
-    text, and multinomial naive Bayes, trained on ``labelled`` names (label and words; a bounded
+    text, mixed with those of ``public`` (words and their probabilities, see
+    :func:`public_words`), and multinomial naive Bayes, trained on ``labelled`` names (label and words; a bounded
     list that is given, not gathered), blocks at positive log odds. Words that no labelled name
     has say nothing.
 
     A url that is NULL or has no ``://`` has an empty host and path and, as no rule fits, is
-    judged by the prior alone: allowed. NULL and repeated ``page_id`` are passed on; each row is
-    judged. Pages without html add no words; an empty table gives an empty result.
+    judged by the prior alone: allowed. Very long urls are judged whole, token by token. NULL and
+    repeated ``page_id`` are passed on; each row is judged, and equal urls alike. Pages without html
+    add no words; an empty table gives an empty result. Other columns are ignored, whatever their
+    names.
     """
     spark = pages.sparkSession
     labelled = seeds() if labelled is None else labelled
@@ -336,12 +366,9 @@ def judge_urls(
     used = parsed.select(ROW, F.explode(letters(F.concat_ws(" ", "host", "path"))).alias("token"))
     counts = used.groupBy("token").agg(F.count("*").alias("n"))
 
-    # Words of the labelled names are words, however rare they are in this corpus.
     corpus = materialize(corpus_words(exact_columns(pages, "html")), "word-counts")
-    least = max(1, int((corpus.agg(F.sum("n")).first()[0] or 0) * SEED_SHARE))
     known = sorted({w for _, words in labelled for w in words})
-    listed = spark.createDataFrame([(w, least) for w in known], "word string, n long")
-    vocabulary = corpus.unionAll(listed).groupBy("word").agg(F.max("n").alias("n"))
+    vocabulary = materialize(language_model(corpus, public or [], known), "words")
 
     names = _seed_table(spark, labelled)
     tokens = counts.unionAll(names.select("token", F.lit(0).alias("n")))

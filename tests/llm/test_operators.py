@@ -110,7 +110,71 @@ def test_op1(spark, ids):
     assert by_method["cheappills.example.org"] == "block"
     assert by_method["www.casino-win.example.net"] == "block"
     assert by_method["citylibrary.example.org"] == "allow"
-    assert by_method[""] == "allow" and by_method["anet"] == "allow"
+
+
+# Names that no labelled name is equal to, and whose words stand in other labelled names.
+UNSEEN_BLOCK = """cheappharmacy pornvideo casinobets slotsbonus viagraloans cialispharmacy
+replicaviagra seofarm cryptolottery escortdating phishingmalware payday-cash sexvideo xxx-cams
+pokerjackpot adsserver-click torrentcrack forexscam bettinglottery popuptracker""".split()
+UNSEEN_ALLOW = """cityhistory universitymuseum musicreview travelweather statelibrary worldatlas
+medicalresearch-institute languageforum schoolscience governmentarchive cookingguide artreview
+documentation sciencelecture healthinstitute publicschool booklanguage communitymuseum
+www.blog.index page""".split()
+
+
+def test_op1_unseen_names_at_any_size(spark):
+    """Precision and recall on names outside the list, and the same verdicts with other pages."""
+    labelled = {"".join(words) for _, words in url_filter.seeds()}
+    assert not labelled & {n.replace("-", "") for n in UNSEEN_BLOCK + UNSEEN_ALLOW}
+    names = UNSEEN_BLOCK + UNSEEN_ALLOW
+    public = url_filter.public_words(vocabulary(WORDS))
+    verdicts = []
+    for copies in (1, 60):
+        html = "<p>a page of the blog about other things</p>" * copies
+        rows = [(k, f"http://m.{n}.example.org/index/{k}", html) for k, n in enumerate(names)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = url_filter.judge_urls(pages, [], public=public).collect()
+        verdicts.append({r.page_id: r.verdict for r in got})
+    assert verdicts[0] == verdicts[1]
+    blocked = {names[k] for k, v in verdicts[0].items() if v == "block"}
+    hits = len(blocked & set(UNSEEN_BLOCK))
+    assert hits >= 0.9 * len(UNSEEN_BLOCK) and hits >= 0.95 * len(blocked)
+
+
+def test_op1_split_and_weights_by_brute_force():
+    """Viterbi against all ways to cut a short token, and Bayes by hand."""
+    rng = np.random.default_rng(4)
+    total = 1000.0
+    for _ in range(200):
+        token = "".join(rng.choice(list("ab"), int(rng.integers(1, 9))))
+        words = {"".join(rng.choice(list("ab"), int(rng.integers(1, 5)))): int(rng.integers(1, 300))
+                 for _ in range(5)}
+        found = {
+            (a, len(w)): math.log(n / total)
+            for w, n in words.items() for a in range(len(token)) if token.startswith(w, a)
+        }
+
+        def score(parts):
+            return sum(
+                math.log(words[p] / total) if p in words
+                else math.log(10 / total) - len(p) * math.log(10)
+                for p in parts
+            )
+
+        every = []
+        for mask in range(1 << (len(token) - 1)):
+            cuts = [0] + [k + 1 for k in range(len(token) - 1) if mask >> k & 1] + [len(token)]
+            every.append([token[a:b] for a, b in zip(cuts, cuts[1:])])
+        best = url_filter.best_split(token, found, total)
+        assert "".join(best) == token
+        assert score(best) == pytest.approx(max(map(score, every)))
+    counts = {("pills", "block"): 3, ("city", "allow"): 2, ("x", "block"): 1}
+    weights = url_filter.bayes_weights(counts)
+    s = url_filter.SMOOTHING
+    for w in ("pills", "city", "x"):
+        block = (counts.get((w, "block"), 0) + s) / (4 + 3 * s)
+        allow = (counts.get((w, "allow"), 0) + s) / (2 + 3 * s)
+        assert weights[w] == pytest.approx(math.log(block / allow))
 
 
 def test_op1_empty(spark):
