@@ -106,11 +106,11 @@ def test_links_join_what_similarity_joins(rows):
 
 
 def test_a_large_group_needs_few_rows(spark):
-    """2,000 near copies of one text make no more links than texts in each band."""
+    """600 near copies of one text make no more links than texts in each band."""
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(200)]
     rows = []
-    for k in range(2000):
+    for k in range(600):
         words = list(base)
         for at in rng.integers(0, 200, 2):
             words[at] = f"x{k}"
