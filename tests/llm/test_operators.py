@@ -291,7 +291,11 @@ def test_op3_terms_that_disclose(spark):
     assert ("removed", "Quarterback") in marked
     assert not any(word == "here" for _, word in marked)
     assert by_id[10].spans == ""
-    assert [s.kind for s in by_id[500].found] == ["generalised", "email"]
+    # "someone" is in no other document, "today" in three others of 204.
+    text = rows[-1][1]
+    assert [(s.kind, text[s.start : s.end]) for s in by_id[500].found] == [
+        ("generalised", "someone"), ("email", "other@team.example.org"), ("generalised", "today")
+    ]
 
 
 def test_op3_hot_entities_and_sets_of_entities(spark):
