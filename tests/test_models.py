@@ -173,7 +173,8 @@ def test_one_live_model_per_worker_thread(train, monkeypatch):
         return plain(spec, model, rows)
 
     monkeypatch.setattr(models, "score", watched)
-    specs = [models.logistic(COLUMNS, f"m{i}") for i in range(4)]
+    # Logistic regressions are fitted together; trees are what threads fit one by one.
+    specs = [models.forest(COLUMNS, f"m{i}", trees=2, depth=2) for i in range(4)]
     oof = models.oof_scores(specs, train, replace(CONFIG, parallelism=2))
     assert len(made) == 12 and most[0] <= 3
     assert oof.select("model").distinct().count() == 4
