@@ -7,9 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from secondcart.sources.quoted_csv import read_quoted_csv
 from secondcart.sources.schemas import table_schema
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+PARSER_OPTIONS = {"timestampNTZFormat": TIMESTAMP_FORMAT, "mode": "FAILFAST"}
 
 
 def read_csv(
@@ -17,19 +19,13 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header. Columns are matched by header name order, types come from ``schema``.
 
-    ``multiline_text`` is for free text whose quoted fields span lines; it makes a file
-    unsplittable, so it is off for every table that does not need it.
+    ``multiline_text`` is for free text whose quoted fields span lines. Counting the quotes takes
+    a pass of its own, so it is off for every table that does not need it.
     """
-    reader = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-        .option("mode", "FAILFAST")
-    )
     if multiline_text:
-        reader = reader.option("multiLine", True).option("quote", '"').option("escape", '"')
-    return reader.csv(path)
+        return read_quoted_csv(spark, path, schema, PARSER_OPTIONS)
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    return reader.options(**PARSER_OPTIONS).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
