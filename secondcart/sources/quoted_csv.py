@@ -4,14 +4,15 @@ A line break ends a record if the number of quotes before it in the file is even
 files into byte ranges and reads their lines; a first pass gives the parity of every range, and sums
 over the earlier ranges of the file say whether a range begins inside a quoted field. In the second
 pass each task puts the records of its ranges together, and only records that a cut goes through
-are shuffled. Spark does all reading, so any file system it knows will do.
+are shuffled, in a third one. Spark does all reading, so any file system it knows will do.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,12 +21,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 QUOTE = '"'
 # Quotes stand around a whole field only, and are doubled inside it.
-_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
-WELL_QUOTED = re.compile(rf"{_FIELD}(?:,{_FIELD})*+")
+_FIELD = r'(?:"[^"]*(?:""[^"]*)*"|[^",]*)'
+WELL_QUOTED = rf"\A{_FIELD}(?:,{_FIELD})*\z"
 
-# What a piece of a range is: a whole record, or the end, an inner part or the start of one.
-WHOLE, HEAD, MIDDLE, TAIL = 0, 1, 2, 3
-PIECES = "file string, block long, kind int, header boolean, text string"
+# Parts of a record that a cut goes through: its end, an inner part, its start.
+HEAD, MIDDLE, TAIL = 1, 2, 3
+RECORDS = "header boolean, text string"
+PARTS = "file string, block long, kind int, header boolean, text string"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -55,89 +57,146 @@ def _inside(lines: DataFrame) -> dict[str, frozenset[int]]:
         .groupBy("file", "block")
         .agg(F.sum("quotes").alias("quotes"))
     )
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    odd = ranges.withColumn("before", F.sum("quotes").over(before)).where("before % 2 = 1")
+    upto = Window.partitionBy("file").orderBy("block")
+    sums = ranges.withColumns(
+        {
+            "before": F.sum("quotes").over(upto) - F.col("quotes"),
+            "open": (F.sum("quotes").over(Window.partitionBy("file")) % 2) == 1,
+        }
+    )
     found: dict[str, set[int]] = {}
-    for file, block in odd.select("file", "block").collect():
+    for file, block, left_open in (
+        sums.where("open or before % 2 = 1").select("file", "block", "open").collect()
+    ):
+        if left_open:
+            raise ValueError(f"odd number of quotes in {file}")
         found.setdefault(file, set()).add(block)
     return {file: frozenset(blocks) for file, blocks in found.items()}
 
 
-def _checked(record: str, file: str) -> str:
-    if QUOTE in record and not WELL_QUOTED.fullmatch(record):
+def _check(records: pa.Array, file: str) -> None:
+    bad = pc.invert(pc.match_substring_regex(records, WELL_QUOTED))
+    if pc.any(bad).as_py():
+        record = records.filter(bad)[0].as_py()
         raise ValueError(f"quote inside an unquoted field in {file}: {record[:200]!r}")
-    return record
-
 
-def _ended(record: str) -> str:
-    return record.removesuffix("\r")
 
-
-def _pieces(batches, inside: dict[str, frozenset[int]]) -> Iterator[pa.RecordBatch]:
-    """Records and parts of records of all ranges in a task; lines come in file order."""
-    schema = pa.schema(
-        [
-            ("file", pa.string()), ("block", pa.int64()), ("kind", pa.int32()),
-            ("header", pa.bool_()), ("text", pa.string()),
-        ]
-    )
-    at: tuple[str, int] | None = None
-    open_lines: list[str] = []
-    odd = continued = first = False
-    out: list[tuple] = []
-
-    def leave() -> None:
-        if at is not None and open_lines:
-            kind = MIDDLE if continued else TAIL
-            out.append((*at, kind, first and kind == TAIL, "\n".join(open_lines)))
-
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * len(schema)
-        out.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+def _without_cr(records: pa.Array) -> pa.Array:
+    ending = pc.ends_with(records, "\r")
+    if not pc.any(ending).as_py():
+        return records
+    return pc.if_else(ending, pc.utf8_slice_codeunits(records, 0, -1), records)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
+    """Lines of a batch by range; ranges follow each other and do not mix."""
+    files, blocks = batch.column("file"), batch.column("block")
+    n = batch.num_rows
+    if n == 0:
+        return
+    changed = pc.or_(
+        pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1])
+    ).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), n]
+    for start, stop in pairwise(cuts):
+        yield (
+            files[start].as_py(), blocks[start].as_py(),
+            batch.column("value")[start:stop],
         )
 
+
+class _Range:
+    """Records of one range, whose lines come in file order."""
+
+    def __init__(self, file: str, block: int, inside: bool):
+        self.file, self.block = file, block
+        self.odd = inside  # inside a quoted field
+        self.continued = inside  # inside a record of an earlier range
+        self.first = block == 0
+        self.open: list[pa.Array] = []
+
+    def add(self, lines: pa.Array) -> tuple[pa.Array, bool]:
+        """Takes lines; returns the records they end and whether the first of them began in an
+        earlier range."""
+        if self.block == 0 and self.first and not self.open:
+            start = lines[:1].to_pylist()[0].removeprefix("\ufeff")
+            lines = pa.concat_arrays([pa.array([start], lines.type), lines[1:]])
+        quotes = pc.count_substring(lines, QUOTE).to_numpy(zero_copy_only=False)
+        odd = (np.cumsum(quotes) + self.odd) % 2 == 1
+        self.odd = bool(odd[-1])
+        ends = np.flatnonzero(~odd)
+        if len(ends) == 0:
+            self.open.append(lines)
+            return lines[:0], False
+        held = sum(map(len, self.open))
+        lines = pa.concat_arrays([*self.open, lines])
+        stops = ends + held + 1
+        self.open = [lines[stops[-1] :]] if stops[-1] < len(lines) else []
+        offsets = pa.array(np.concatenate([[0], stops]), pa.int32())
+        records = pc.binary_join(pa.ListArray.from_arrays(offsets, lines), "\n")
+        continued, self.continued = self.continued, False
+        return _without_cr(records), continued
+
+    def rest(self) -> str | None:
+        if not self.open:
+            return None
+        return "\n".join(line for lines in self.open for line in lines.to_pylist())
+
+
+def _ranges(batches, inside) -> Iterator[tuple[_Range, pa.Array, bool, bool]]:
+    """Every range with the records its lines end, batch by batch, and last without any."""
+    now = None
     for batch in batches:
-        columns = (batch.column(name).to_pylist() for name in ("file", "block", "value"))
-        for file, block, line in zip(*columns, strict=True):
-            if (file, block) != at:
-                leave()
-                at, open_lines = (file, block), []
-                odd = continued = block in inside.get(file, ())
-                first = block == 0
-                if first:
-                    line = line.removeprefix("\ufeff")
-            open_lines.append(line)
-            if line.count(QUOTE) % 2:
-                odd = not odd
-            if odd:
-                continue
-            text = _ended("\n".join(open_lines))
-            open_lines = []
-            if continued:
-                out.append((file, block, HEAD, False, text))
-            elif text:
-                out.append((file, block, WHOLE, first, _checked(text, file)))
-                first = False
-            continued = False
-        yield flush()
-    leave()
-    yield flush()
-
-
-def _joined(pieces: DataFrame) -> DataFrame:
-    """Records that a cut goes through. A record's pieces follow its start in the order of the
-    ranges; the window of a file has at most two pieces for each of its ranges."""
+        for file, block, lines in _runs(batch):
+            if now is None or (file, block) != (now.file, now.block):
+                if now is not None:
+                    yield now, lines[:0], False, True
+                now = _Range(file, block, block in inside.get(file, ()))
+            records, continued = now.add(lines)
+            yield now, records, continued, False
+    if now is not None:
+        yield now, pa.array([], pa.string()), False, True
+
+
+def _whole_records(batches, inside) -> Iterator[pa.RecordBatch]:
+    """Records that begin and end in the same range; empty lines are none."""
+    for place, records, continued, _ in _ranges(batches, inside):
+        records = records[1:] if continued else records
+        records = records.filter(pc.not_equal(records, ""))
+        if len(records) == 0:
+            continue
+        _check(records, place.file)
+        header = np.zeros(len(records), bool)
+        header[0], place.first = place.first, False
+        yield pa.RecordBatch.from_arrays([pa.array(header), records], ["header", "text"])
+
+
+def _cut_parts(batches, inside) -> Iterator[pa.RecordBatch]:
+    """Ends, inner parts and starts of records that a cut goes through."""
+    for place, records, continued, last in _ranges(batches, inside):
+        text = records[0].as_py() if continued else place.rest() if last else None
+        if not continued and pc.any(pc.not_equal(records, "")).as_py():
+            place.first = False
+        if text is None:
+            continue
+        kind = HEAD if continued else MIDDLE if place.continued else TAIL
+        row = {
+            "file": [place.file], "block": [place.block], "kind": pa.array([kind], pa.int32()),
+            "header": [kind == TAIL and place.first], "text": [text],
+        }
+        yield pa.RecordBatch.from_pydict(row)
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """Records that a cut goes through. A record's parts follow its start in the order of the
+    ranges; the window of a file has at most two parts for each of its ranges."""
     order = Window.partitionBy("file").orderBy("block", "kind")
-    starts = F.count_if(F.col("kind") == TAIL).over(order)
     # An end comes before the next start in its range.
-    parts = F.array_sort(F.collect_list(F.struct("block", "kind", "text")))
+    in_order = F.array_sort(F.collect_list(F.struct("block", "kind", "text")))
     return (
-        pieces.where(F.col("kind") != WHOLE)
-        .withColumn("record", starts)
+        parts.withColumn("record", F.count_if(F.col("kind") == TAIL).over(order))
         .groupBy("file", "record")
-        .agg(parts.alias("parts"), F.bool_or("header").alias("header"))
+        .agg(in_order.alias("parts"), F.bool_or("header").alias("header"))
         .select(
             "file",
             "header",
@@ -146,11 +205,11 @@ def _joined(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _check_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file, text in zip(*(batch.column(c).to_pylist() for c in ("file", "text")), strict=True):
-            _checked(text, file)
-        yield batch
+        for i in range(batch.num_rows):
+            _check(batch.column("text")[i : i + 1], batch.column("file")[i].as_py())
+        yield batch.select(["header", "text"])
 
 
 def split_records(spark: SparkSession, path: str) -> DataFrame:
@@ -162,16 +221,11 @@ def split_records(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = _lines(spark, path)
     inside = _inside(lines)
-
-    def pieces_of(batches):
-        return _pieces(batches, inside)
-
-    pieces = lines.mapInArrow(pieces_of, PIECES)
-    # Ends and inner parts exist only if a range begins inside a field; a start without an end is
-    # a field left open, which the check refuses.
-    cut = _joined(pieces).mapInArrow(_check_batches, "file string, header boolean, text string")
-    whole = pieces.where(F.col("kind") == WHOLE)
-    return whole.select("header", "text").unionByName(cut.select("header", "text"))
+    whole = lines.mapInArrow(lambda batches: _whole_records(batches, inside), RECORDS)
+    if not inside:
+        return whole
+    parts = lines.mapInArrow(lambda batches: _cut_parts(batches, inside), PARTS)
+    return whole.unionByName(_joined(parts).mapInArrow(_checked, RECORDS))
 
 
 def read_quoted_csv(

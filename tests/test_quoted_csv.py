@@ -87,8 +87,9 @@ def test_a_long_field_goes_through_many_ranges(spark, tmp_path):
 
 def test_what_is_refused(spark, tmp_path):
     cases = {
+        "odd": (f'{HEADER}1,a"b,c,\n', "odd number"),
         "stray": (f'{HEADER}1,a"b,c,\n2,d"e,f,\n', "unquoted"),
-        "open": (f'{HEADER}1,a,"never closed,\n2,b,c,\n', "unquoted"),
+        "open": (f'{HEADER}1,a,"never closed,\n2,b,c,\n', "odd number"),
         "header": ("id,title,text,at\n1,a,b,\n", "header"),
         "type": (f"{HEADER}one,a,b,\n", "(?i)malformed|parse"),
         "short": (f"{HEADER}1,a\n", "(?i)malformed|parse"),
