@@ -7,6 +7,7 @@ correlated counts. Common table expressions are shared; each query takes those i
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 
 def _h32(*parts: str) -> str:
@@ -665,6 +666,12 @@ BODIES: dict[str, str] = {
             CAST(ntile(2) OVER (PARTITION BY label ORDER BY
                 {_h32("'42'", "'text'", "review_id")}, review_id) - 1 AS INTEGER) AS fold
         FROM doc_label WHERE has_text = 1""",
+    "log_ratio_sentiment": """
+        SELECT review_id, label, fold,
+            max(score) FILTER (c = 0) AS score_neg, max(score) FILTER (c = 1) AS score_neu,
+            max(score) FILTER (c = 2) AS score_pos,
+            CAST(arg_max(c, struct_pack(s := score, first := -c)) AS INTEGER) AS prediction
+        FROM gram_score GROUP BY ALL""",
     "sentiment_layout": f"""
         SELECT review_id, review_id AS order_id, review_score, has_text,
             CASE WHEN has_text = 1 THEN CAST(ntile(2) OVER (PARTITION BY has_text, label ORDER BY
@@ -684,6 +691,48 @@ CTES["fold_ap"] = """
         FROM fold_cum GROUP BY ALL"""
 
 
+CTES["gram"] = f"""
+        SELECT review_id, label, fold, CAST({_h32("'0'", "'gram'", "g")} % 65536 AS INTEGER) AS b,
+            count(*) AS n
+        FROM (SELECT review_id, label, fold, unnest(list_concat(w,
+                  list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g
+              FROM (SELECT review_id, label, list_filter(string_split_regex(
+                        translate(review_text, '{ascii_uppercase}', '{ascii_lowercase}'),
+                        '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w,
+                        CAST(ntile(2) OVER (PARTITION BY label ORDER BY
+                            {_h32("'42'", "'text'", "review_id")}, review_id) - 1 AS INTEGER) AS fold
+                    FROM doc_label WHERE has_text = 1))
+        GROUP BY ALL"""
+# Training counts of a fold: everything outside it.
+CTES["gram_gain"] = """
+        SELECT k.fold, k.label, k.b, CAST(floor(ln(
+            CAST(coalesce(n, 0) + 1 AS DOUBLE) / CAST(s + 65536 AS DOUBLE)) * 1000) AS BIGINT) AS g
+        FROM (SELECT DISTINCT x.fold, l.label, x.b
+              FROM gram x CROSS JOIN (SELECT unnest([0, 1, 2]) AS label) l) k
+        LEFT JOIN (SELECT f.fold, label, b, sum(n) AS n
+                   FROM gram JOIN (SELECT DISTINCT fold FROM gram) f ON gram.fold <> f.fold
+                   GROUP BY ALL) USING (fold, label, b)
+        JOIN (SELECT f.fold, l.label, coalesce(sum(n), 0) AS s
+              FROM (SELECT DISTINCT fold FROM gram) f
+              CROSS JOIN (SELECT unnest([0, 1, 2]) AS label) l
+              LEFT JOIN gram ON gram.fold <> f.fold AND gram.label = l.label
+              GROUP BY ALL) USING (fold, label)"""
+CTES["gram_prior"] = """
+        SELECT f.fold, l.label, CAST(floor(ln(
+            CAST(count(DISTINCT review_id) FILTER (gram.label = l.label) + 1 AS DOUBLE)
+            / CAST(count(DISTINCT review_id) + 3 AS DOUBLE)) * 1000) AS BIGINT) AS p
+        FROM (SELECT DISTINCT fold FROM gram) f
+        CROSS JOIN (SELECT unnest([0, 1, 2]) AS label) l
+        LEFT JOIN gram ON gram.fold <> f.fold
+        GROUP BY ALL"""
+CTES["gram_score"] = """
+        SELECT review_id, gram.label, gram.fold, x.label AS c,
+            CAST(sum(n * g) + any_value(p) AS BIGINT) AS score
+        FROM gram JOIN gram_gain x ON gram.fold = x.fold AND gram.b = x.b
+        JOIN gram_prior q ON q.fold = x.fold AND q.label = x.label
+        GROUP BY ALL"""
+
+
 def _needed(body: str) -> list[str]:
     """The common table expressions a query refers to, in the order of definition."""
     found: set[str] = set()

@@ -32,6 +32,7 @@ from secondcart.operators import (
     quality,
     sampling,
 )
+from secondcart.operators.log_ratio import log_ratio_scores
 from secondcart.operators.order_stats import exact_quantiles
 from secondcart.plans.study import Study
 from secondcart.sources import warehouse
@@ -784,6 +785,17 @@ def text_folds(spark: SparkSession, folder: str) -> DataFrame:
     return study(spark, folder).text_scores.select("review_id", "label", "fold")
 
 
+@query
+def log_ratio_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    """Out-of-fold scores of all texts by log counts of hashed words and word pairs."""
+    s = study(spark, folder)
+    labelled = s.reviews().where("has_text = 1").select("review_id", "label", "text")
+    folded = sampling.stratified_folds(
+        labelled, "review_id", "label", s.config.text_folds, s.config.seed, tag="text"
+    )
+    return log_ratio_scores(folded).drop("prob_neg", "prob_neu", "prob_pos")
+
+
 @query
 def sentiment_oof(spark: SparkSession, folder: str) -> DataFrame:
     return study(spark, folder).text_scores.select(
