@@ -691,6 +691,25 @@ CTES["fold_ap"] = """
         FROM fold_cum GROUP BY ALL"""
 
 
+ORDER_COLUMNS = [
+    "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
+    "order_delivered_carrier_date", "order_delivered_customer_date",
+    "order_estimated_delivery_date",
+]
+
+
+def _encoded(column: str) -> str:
+    return f"coalesce(length(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+BODIES["checkpoint_manifest"] = f"""
+        SELECT count(*) AS n_rows,
+            concat_ws(',', {", ".join(f"count(*) FILTER ({c} IS NULL)" for c in ORDER_COLUMNS)})
+                AS n_nulls,
+            CAST(sum(CAST({_h60("'42'", "'row'", *map(_encoded, ORDER_COLUMNS))} AS HUGEINT))
+                AS VARCHAR) AS content_hash
+        FROM ord"""
+
 CTES["gram"] = f"""
         SELECT review_id, label, fold, CAST({_h32("'0'", "'gram'", "g")} % 65536 AS INTEGER) AS b,
             count(*) AS n

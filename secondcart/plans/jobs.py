@@ -35,7 +35,7 @@ from secondcart.plans.study import (
     proportion_comparisons,
     with_split_and_folds,
 )
-from secondcart.sources.readers import read_parquet
+from secondcart.sources.checkpoints import read_checkpoint, write_checkpoint
 from secondcart.sources.writers import materialize, write_result, write_table
 
 GOLDEN_TOLERANCE = 0.0006
@@ -96,8 +96,8 @@ def study_job(
     # Curves have a point per distinct score, so they are written like tables.
     write_table(metrics.roc_curve(study.final_scores), f"{out}/roc_curve")
     write_table(metrics.pr_curve(study.final_scores), f"{out}/pr_curve")
-    write_table(study.modeling_base(), f"{out}/modeling_base")
-    write_table(state_levels(base), f"{out}/state_levels")
+    write_checkpoint(study.modeling_base(), f"{out}/modeling_base")
+    write_checkpoint(state_levels(base), f"{out}/state_levels")
     return study
 
 
@@ -134,10 +134,11 @@ def regression_job(
     """Inferential regression on the base a study has written.
 
     ``expected`` holds stored coefficients ``(term, coefficient)`` of the specification with
-    three text columns; when they are not reproduced the job stops before anything is written.
+    three text columns; when they are not reproduced the job stops before anything is written, as
+    it does when the base is not what its manifest says.
     """
-    base = read_parquet(spark, f"{study_out}/modeling_base")
-    levels = read_parquet(spark, f"{study_out}/state_levels").orderBy("state_code")
+    base = read_checkpoint(spark, f"{study_out}/modeling_base")
+    levels = read_checkpoint(spark, f"{study_out}/state_levels").orderBy("state_code")
     names = [row["state_group"] for row in small_table(levels).collect()]
     decoded = features.decode_levels(base, "state_code", names, "state_group")
     assert_not_null(decoded, ["state_group"])

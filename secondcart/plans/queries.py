@@ -36,6 +36,7 @@ from secondcart.operators.log_ratio import log_ratio_scores
 from secondcart.operators.order_stats import exact_quantiles
 from secondcart.plans.study import Study
 from secondcart.sources import warehouse
+from secondcart.sources.checkpoints import content_manifest, read_checkpoint, write_checkpoint
 from secondcart.sources.readers import read_csv
 from secondcart.sources.writers import new_path, write_table
 
@@ -356,6 +357,16 @@ def csv_reviews(spark: SparkSession, folder: str) -> DataFrame:
     return _by_way_of_csv(reviews, "csv-reviews")
 
 
+@query
+def checkpoint_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders written with a manifest and read back through its check: what the manifest holds."""
+    path = new_path(spark, "checkpoint")
+    write_checkpoint(study(spark, folder).tables["orders"], path)
+    return content_manifest(read_checkpoint(spark, path)).select(
+        "n_rows", F.array_join("n_nulls", ",").alias("n_nulls"), "content_hash"
+    )
+
+
 @query
 def golden_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Payments per order from CSV against the same from the source, within a tolerance."""
