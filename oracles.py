@@ -711,13 +711,13 @@ BODIES["checkpoint_manifest"] = f"""
         FROM ord"""
 
 CTES["gram"] = f"""
-        SELECT review_id, label, fold, CAST({_h32("'0'", "'gram'", "g")} % 65536 AS INTEGER) AS b,
-            count(*) AS n
+        SELECT review_id, label, fold, b, count(*) AS n
         FROM (SELECT review_id, label, fold, unnest(list_concat(w,
-                  list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g
-              FROM (SELECT review_id, label, list_filter(string_split_regex(
+                  list_transform(range(1, len(w)), lambda i: (w[i] * 31 + w[i + 1]) % 65536))) AS b
+              FROM (SELECT review_id, label, list_transform(list_filter(string_split_regex(
                         translate(review_text, '{ascii_uppercase}', '{ascii_lowercase}'),
-                        '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w,
+                        '[\\x09-\\x0D ]+'), lambda x: x <> ''),
+                        lambda x: CAST('0x' || substr(md5(x), 1, 4) AS BIGINT)) AS w,
                         CAST(ntile(2) OVER (PARTITION BY label ORDER BY
                             {_h32("'42'", "'text'", "review_id")}, review_id) - 1 AS INTEGER) AS fold
                     FROM doc_label WHERE has_text = 1))

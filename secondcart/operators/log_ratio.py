@@ -12,51 +12,49 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from secondcart.functions.hashing import hash32
 from secondcart.sources.writers import materialize
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # four hexadecimal digits
+PAIR_FACTOR = 31
 SCALE = 1000  # logarithms are whole thousandths, so that sums have no order
 CLASSES = 3
 
 
-def _grams(text: Column) -> Column:
-    """Words and pairs of neighbouring words, repeats included."""
+def _buckets(text: Column) -> Column:
+    """Buckets of words and of pairs of neighbouring words, repeats included. A word's is the
+    start of its MD5; a pair's is made of those of its words."""
     lower = F.translate(text, ascii_uppercase, ascii_lowercase)
     words = F.filter(F.split(lower, r"[\x09-\x0D ]+"), lambda w: w != "")
-    after = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"))
+
+
+def _with_pairs(words: Column) -> Column:
     # the last word has none after it, and NULL makes the pair NULL
-    pairs = F.zip_with(words, after, lambda a, b: F.concat(a, F.lit(" "), b))
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    pairs = F.zip_with(words, after, lambda a, b: (a * PAIR_FACTOR + b) % BUCKETS)
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def hashed_grams(rows: DataFrame, id_column: str) -> DataFrame:
-    """Rows of ``id_column``, ``label``, ``fold``, ``bucket``, ``n``; a text without a word has one
-    row with a NULL bucket. Counted within each text, so a hot word is one row per text."""
-    keys = [id_column, "label", "fold"]
-    grams = rows.select(*keys, F.explode_outer(_grams(F.col("text"))).alias("gram"))
-    bucket = F.when(F.col("gram").isNotNull(), hash32(0, "gram", "gram") % BUCKETS)
-    return grams.groupBy(*keys, bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    """One row per text: ``id_column``, ``label``, ``fold``, ``words`` (buckets in order)."""
+    return rows.select(id_column, "label", "fold", _buckets(F.col("text")).alias("words"))
 
 
 def _log(part: Column, whole: Column) -> Column:
     return F.floor(F.log(part.cast("double") / whole.cast("double")) * SCALE)
 
 
-def _class_sums(n: Column) -> list[Column]:
-    return [
-        F.sum(F.when(F.col("label") == c, n).otherwise(0)).alias(f"n{c}") for c in range(CLASSES)
-    ]
+def _class_counts() -> list[Column]:
+    return [F.count_if(F.col("label") == c).alias(f"n{c}") for c in range(CLASSES)]
 
 
-def log_counts(grams: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+def log_counts(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Log counts by fold and bucket, and log priors by fold: at most ``BUCKETS`` rows and one row
     for each fold, however many texts there are."""
     names = [f"n{c}" for c in range(CLASSES)]
-    seen = grams.where(F.col("bucket").isNotNull())
-    own = materialize(
-        seen.groupBy("fold", "bucket").agg(*_class_sums(F.col("n"))), "gram-counts"
-    )
+    # Counts are added up in the tasks before they are shuffled, so a hot word is no hot key.
+    seen = grams.select("label", "fold", F.explode(_with_pairs(F.col("words"))).alias("bucket"))
+    own = materialize(seen.groupBy("fold", "bucket").agg(*_class_counts()), "gram-counts")
     total = own.groupBy("bucket").agg(
         *[F.sum(n).alias(f"t{c}") for c, n in enumerate(names)]
     )
@@ -70,8 +68,7 @@ def log_counts(grams: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     ]
     gains = rest.join(F.broadcast(sums), "fold").select("fold", "bucket", *smoothed)
 
-    texts = grams.groupBy(id_column, "label", "fold").agg(F.lit(1).alias("one"))
-    docs = _with_totals(texts.groupBy("fold").agg(*_class_sums(F.col("one"))))
+    docs = _with_totals(grams.groupBy("fold").agg(*_class_counts()))
     all_docs = sum((F.col(f"s{c}") for c in range(CLASSES)), F.lit(CLASSES))
     priors = docs.select(
         "fold", *[_log(F.col(f"s{c}") + 1, all_docs).alias(f"p{c}") for c in range(CLASSES)]
@@ -101,14 +98,15 @@ def log_ratio_scores(rows: DataFrame, id_column: str = "review_id") -> DataFrame
     empty table gives an empty result.
     """
     grams = materialize(hashed_grams(rows, id_column), "grams")
-    gains, priors = log_counts(grams, id_column)
+    gains, priors = log_counts(grams)
     names = ["neg", "neu", "pos"]
     # At most BUCKETS rows per fold of five numbers.
+    keys = [id_column, "label", "fold"]
     scored = (
-        grams.join(F.broadcast(gains), ["fold", "bucket"], "left")
-        .groupBy(id_column, "label", "fold")
-        .agg(*[F.coalesce(F.sum(F.col(f"g{c}") * F.col("n")), F.lit(0)).alias(f"g{c}")
-               for c in range(CLASSES)])
+        grams.select(*keys, F.explode_outer(_with_pairs(F.col("words"))).alias("bucket"))
+        .join(F.broadcast(gains), ["fold", "bucket"], "left")
+        .groupBy(*keys)
+        .agg(*[F.coalesce(F.sum(f"g{c}"), F.lit(0)).alias(f"g{c}") for c in range(CLASSES)])
         .join(F.broadcast(priors), "fold")
         .select(
             id_column, "label", "fold",

@@ -6,20 +6,18 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import pairwise
 
-from secondcart.operators.log_ratio import BUCKETS, SCALE, log_ratio_scores
+from secondcart.operators.log_ratio import BUCKETS, PAIR_FACTOR, SCALE, log_ratio_scores
 
 SCHEMA = "review_id long, text string, label int, fold int, g0 string"
 
 
-def bucket(gram: str) -> int:
-    return int(hashlib.md5(f"0|gram|{gram}".encode()).hexdigest()[:8], 16) % BUCKETS
-
-
 def grams(text: str) -> Counter:
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
     words = [w for w in re.split(r"[\x09-\x0D ]+", lower) if w]
-    return Counter(map(bucket, words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
+    found = [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in words]
+    return Counter(found + [(a * PAIR_FACTOR + b) % BUCKETS for a, b in pairwise(found)])
 
 
 def log(a: int, b: int) -> int:
