@@ -20,7 +20,7 @@ SCALE = 1000  # logarithms are whole thousandths, so that sums have no order
 CLASSES = 3
 
 
-def _buckets(text: Column) -> Column:
+def word_buckets(text: Column) -> Column:
     """Buckets of words and of pairs of neighbouring words, repeats included. A word's is the
     start of its MD5; a pair's is made of those of its words."""
     lower = F.translate(text, ascii_uppercase, ascii_lowercase)
@@ -37,7 +37,7 @@ def _with_pairs(words: Column) -> Column:
 
 def hashed_grams(rows: DataFrame, id_column: str) -> DataFrame:
     """One row per text: ``id_column``, ``label``, ``fold``, ``words`` (buckets in order)."""
-    return rows.select(id_column, "label", "fold", _buckets(F.col("text")).alias("words"))
+    return rows.select(id_column, "label", "fold", word_buckets(F.col("text")).alias("words"))
 
 
 def _log(part: Column, whole: Column) -> Column:
@@ -97,7 +97,12 @@ def log_ratio_scores(rows: DataFrame, id_column: str = "review_id") -> DataFrame
     score of its class priors; an unknown class (NULL label) is scored and not learnt from. An
     empty table gives an empty result.
     """
-    grams = materialize(hashed_grams(rows, id_column), "grams")
+    return scores_of_grams(hashed_grams(rows, id_column), id_column)
+
+
+def scores_of_grams(hashed: DataFrame, id_column: str = "review_id") -> DataFrame:
+    """As :func:`log_ratio_scores`, from rows of :func:`hashed_grams`."""
+    grams = materialize(hashed, "grams")
     gains, priors = log_counts(grams)
     names = ["neg", "neu", "pos"]
     # At most BUCKETS rows per fold of five numbers.

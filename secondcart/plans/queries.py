@@ -31,8 +31,9 @@ from secondcart.operators import (
     models,
     quality,
     sampling,
+    sentiment,
 )
-from secondcart.operators.log_ratio import log_ratio_scores
+from secondcart.operators.log_ratio import scores_of_grams, word_buckets
 from secondcart.operators.order_stats import exact_quantiles
 from secondcart.plans.study import Study
 from secondcart.sources import warehouse
@@ -799,12 +800,19 @@ def text_folds(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def log_ratio_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     """Out-of-fold scores of all texts by log counts of hashed words and word pairs."""
-    s = study(spark, folder)
-    labelled = s.reviews().where("has_text = 1").select("review_id", "label", "text")
+    config = study(spark, folder).config
+    rated = warehouse.document_ratings(spark, folder).where("has_text = 1").select(
+        F.col("doc_id").alias("review_id"),
+        sentiment.polarity_label(F.col("review_score")).alias("label"),
+    )
     folded = sampling.stratified_folds(
-        labelled, "review_id", "label", s.config.text_folds, s.config.seed, tag="text"
+        rated, "review_id", "label", config.text_folds, config.seed, tag="text"
     )
-    return log_ratio_scores(folded).drop("prob_neg", "prob_neu", "prob_pos")
+    texts = warehouse.document_texts(spark, folder)
+    words = texts.select("review_id", word_buckets(F.col("text")).alias("words"))
+    # Texts become buckets in the scan. Labels grow with the texts, so they are not broadcast.
+    hashed = words.join(folded.hint("merge"), "review_id")
+    return scores_of_grams(hashed).drop("prob_neg", "prob_neu", "prob_pos")
 
 
 @query

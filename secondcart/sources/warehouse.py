@@ -153,6 +153,13 @@ def document_reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def document_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The consolidated text of every document's review, without a join."""
+    return read_warehouse(spark, folder, "documents").select(
+        F.col("doc_id").alias("review_id"), consolidated_text(_title(), _message()).alias("text")
+    )
+
+
 def document_ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Rating of every document and whether it has a text. The text becomes a flag in the scan,
     before the join, so no text is shuffled."""
