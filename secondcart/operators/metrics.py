@@ -7,10 +7,13 @@ metrics, curves and thresholds leave it out everywhere, in the class totals too.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from secondcart.functions.binning import label_of
 from secondcart.functions.hashing import hash32
@@ -24,7 +27,7 @@ from secondcart.operators.order_stats import (
     hash_cutoffs,
     running_totals,
 )
-from secondcart.operators.sampling import BLOCK_CELLS, bootstrap_counts
+from secondcart.operators.sampling import BLOCK_CELLS, drawn_by_block
 from secondcart.sources.writers import materialize
 
 
@@ -245,6 +248,51 @@ def lift_top(
     )
 
 
+def _score_counts(values: pa.Array) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A row for each replicate: its draws by model, score and label in a block of cells."""
+    flat, sizes = values.flatten(), values.value_lengths().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    model = flat.field("model").dictionary_encode().indices.fill_null(-1).to_numpy()
+    score = np.unique(
+        flat.field("score").to_numpy(zero_copy_only=False), return_inverse=True
+    )[1].astype(np.int64)
+    _, first, key = np.unique(
+        model * np.int64(len(score) + 1) + score, return_index=True, return_inverse=True
+    )
+    label = flat.field("label")
+    positive = label.fill_null(0).to_numpy()
+    negative = np.where(label.is_null().to_numpy(zero_copy_only=False), 0, 1 - positive)
+
+    def made(
+        replicate: np.ndarray, place: np.ndarray, draws: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
+        found, own = np.unique(replicate, return_inverse=True)
+        n_each = sizes[place]
+        total = int(n_each.sum())
+        at = np.arange(total) + np.repeat(starts[place] - (np.cumsum(n_each) - n_each), n_each)
+        index = np.repeat(own, n_each) * len(first) + key[at]
+        n, size = np.repeat(draws, n_each), len(found) * len(first)
+        some = np.flatnonzero(np.bincount(index, minlength=size))
+        pos, neg = (np.bincount(index, n * y[at], size)[some] for y in (positive, negative))
+        ends = np.searchsorted(some, np.arange(len(found) + 1) * len(first)).astype(np.int32)
+        entry = flat.take(pa.array(first[some % len(first)]))
+        counts = pa.StructArray.from_arrays(
+            [
+                entry.field("model"),
+                entry.field("score"),
+                pa.array(pos.astype(np.int64)),
+                pa.array(neg.astype(np.int64)),
+            ],
+            names=["model", "score", "pos", "neg"],
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), counts)],
+            names=["replicate", "counts"],
+        )
+
+    return made
+
+
 def bootstrap_metrics(
     scored: DataFrame, id_column: str, replicates: int, seed: int, block_cells: int = BLOCK_CELLS
 ) -> DataFrame:
@@ -252,7 +300,8 @@ def bootstrap_metrics(
 
     Every model is scored on the same draws: a draw takes a person with the scores of all models.
     Persons with the same label and scores are one cell, and a replicate is a number of draws per
-    cell; only these are shuffled.
+    cell. Draws of a block of cells are added up by score where they are made; only sums are
+    shuffled.
     """
     scored = scored.where(F.col("score").isNotNull())
     cells = (
@@ -261,12 +310,22 @@ def bootstrap_metrics(
         .groupBy("cells")
         .agg(F.count("*").alias("persons"), F.min(id_column).alias("first"))
     )
-    drawn = bootstrap_counts(
-        cells, "first", "persons", "cells", replicates, seed, block_cells
-    ).select("replicate", "draws", F.inline("cells"))
-    counts = drawn.groupBy("model", "replicate", "score").agg(
-        F.sum(F.col("draws") * F.col("label")).alias("pos"),
-        F.sum(F.col("draws") * (1 - F.col("label"))).alias("neg"),
+    kinds = scored.schema
+    count = (
+        StructType()
+        .add("model", kinds["model"].dataType)
+        .add("score", kinds["score"].dataType)
+        .add("pos", "long")
+        .add("neg", "long")
+    )
+    drawn = drawn_by_block(
+        cells, "first", "persons", "cells", replicates, seed, block_cells, _score_counts,
+        StructType().add("replicate", "integer").add("counts", ArrayType(count)),
+    )
+    counts = (
+        drawn.select("replicate", F.inline("counts"))
+        .groupBy("model", "replicate", "score")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
     # The distinct scores of all replicates are those of the score table, so the bucket bounds
     # come from the small side.

@@ -29,6 +29,8 @@ from secondcart.sources.writers import materialize
 BLOCK_CELLS = 1 << 14
 FAN_OUT = 64
 OUTPUT_ROWS = 100_000
+# Cells of a block times replicates that are drawn at a time.
+DRAWN_AT_ONCE = 1 << 20
 
 
 def _per_stratum(stratum: str, cutoffs: dict, expression: Callable) -> Column:
@@ -158,11 +160,21 @@ def hash_sample(
 
 def split_uniforms(seed: int, replicates: np.ndarray, block: int, nodes: np.ndarray) -> np.ndarray:
     """A number in [0, 1) for every node that is split, two of them from one MD5."""
-    digests = (
-        md5(f"{seed}|split|{r}|{block}|{v >> 1}".encode()).hexdigest()[15 * (v & 1) :][:15]
-        for r, v in zip(replicates.tolist(), nodes.tolist(), strict=True)
+    if not len(nodes):
+        return np.zeros(0)
+    pair = nodes >> 1
+    # Neighbours come one after the other, so their digest is made once.
+    new = np.ones(len(nodes), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (replicates[1:] != replicates[:-1])
+    digests = b"".join(
+        md5(f"{seed}|split|{r}|{block}|{v}".encode()).digest()
+        for r, v in zip(replicates[new].tolist(), pair[new].tolist(), strict=True)
     )
-    return np.fromiter((int(d, 16) for d in digests), np.int64, len(nodes)) / float(1 << 60)
+    first, second = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
+    # Hexadecimal digits 1 to 15, and 16 to 30.
+    odd = ((first & np.uint64(15)) << np.uint64(56)) | (second >> np.uint64(8))
+    own = np.cumsum(new) - 1
+    return np.where(nodes & 1, odd[own], (first >> np.uint64(4))[own]) / float(1 << 60)
 
 
 def binomial_inverse(
@@ -275,6 +287,30 @@ def draws_per_block(
     return dealt.withColumnRenamed("node", "block")
 
 
+# Makes of a block's values a function that makes batches of ``(replicate, place, draws)``.
+Made = Callable[[pa.Array], Callable[..., Iterator[pa.RecordBatch]]]
+
+
+def _each_draw(values: pa.Array) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A row for each replicate and cell that it draws."""
+
+    def made(
+        replicate: np.ndarray, place: np.ndarray, n: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(place), OUTPUT_ROWS):
+            part = slice(a, a + OUTPUT_ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(replicate[part], pa.int32()),
+                    values.take(pa.array(place[part])),
+                    pa.array(n[part]),
+                ],
+                names=["replicate", "value", "draws"],
+            )
+
+    return made
+
+
 def bootstrap_counts(
     cells: DataFrame,
     first_id: str,
@@ -284,7 +320,26 @@ def bootstrap_counts(
     seed: int,
     block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
-    """``(replicate, value, draws)``: how often each replicate draws each cell.
+    """``(replicate, value, draws)``: how often each replicate draws each cell."""
+    schema = StructType().add("replicate", "integer")
+    schema = schema.add("value", cells.schema[value].dataType).add("draws", "long")
+    return drawn_by_block(
+        cells, first_id, weight, value, replicates, seed, block_cells, _each_draw, schema
+    ).withColumnRenamed("value", value)
+
+
+def drawn_by_block(
+    cells: DataFrame,
+    first_id: str,
+    weight: str,
+    value: str,
+    replicates: int,
+    seed: int,
+    block_cells: int,
+    make: Made,
+    schema: StructType,
+) -> DataFrame:
+    """What ``make`` makes of how often each replicate draws each cell of a block.
 
     ``cells`` has one row per different ``value``, with the number of rows that have it in
     ``weight`` and one of their ids; a replicate has as many draws as there are rows, with
@@ -316,37 +371,25 @@ def bootstrap_counts(
     placed = numbered.groupBy("block").agg(
         F.array_sort(F.collect_list(F.struct("place", "weight", "value"))).alias("own")
     )
-    kind = numbered.schema["value"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 own = batch.column("own").slice(k, 1).flatten()
                 dealt = batch.column("dealt").slice(k, 1).flatten()
-                replicate, place, n = split_draws(
-                    own.field("weight").to_numpy(),
-                    dealt.field("replicate").to_numpy().astype(np.int64),
-                    dealt.field("draws").to_numpy(),
-                    seed,
-                    batch.column("block")[k].as_py(),
-                )
-                values = own.field("value")
-                for a in range(0, len(place), OUTPUT_ROWS):
-                    part = slice(a, a + OUTPUT_ROWS)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(replicate[part], pa.int32()),
-                            values.take(pa.array(place[part])),
-                            pa.array(n[part]),
-                        ],
-                        names=["replicate", "value", "draws"],
-                    )
-
-    schema = StructType().add("replicate", "integer").add("value", kind).add("draws", "long")
+                weights = own.field("weight").to_numpy()
+                replicate = dealt.field("replicate").to_numpy().astype(np.int64)
+                draws = dealt.field("draws").to_numpy()
+                block = batch.column("block")[k].as_py()
+                made = make(own.field("value"))
+                step = max(1, DRAWN_AT_ONCE // len(weights))
+                for a in range(0, len(replicate), step):
+                    part = slice(a, a + step)
+                    yield from made(*split_draws(weights, replicate[part], draws[part], seed, block))
+
     return (
         listed.join(placed, "block")
         .repartition(wanted, "block", "group")
         .select("block", "own", "dealt")
         .mapInArrow(run, schema)
-        .withColumnRenamed("value", value)
     )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from secondcart.operators import metrics
+from secondcart.operators import metrics, sampling
 from secondcart.operators.sampling import bootstrap_counts
 
 
@@ -161,6 +162,40 @@ def test_bootstrap_replicates_match_resampling(spark, sample, block_cells):
         assert got[b]["ap"] == pytest.approx(brute_ap(yy.astype(int), ss))
 
 
+def test_draws_leave_a_task_as_sums_by_score():
+    """A block of many cells with few scores makes a row a replicate with an entry a score, not a
+    row for each cell that is drawn."""
+    cells = [
+        [("a", int(i % 3 == 0), float(i % 4)), ("b", int(i % 3 == 0), i / 1000.0)]
+        for i in range(1000)
+    ]
+    kind = pa.list_(pa.struct([("model", pa.string()), ("label", pa.int32()), ("score", pa.float64())]))
+    names = ("model", "label", "score")
+    values = pa.array([[dict(zip(names, c, strict=True)) for c in own] for own in cells], kind)
+    replicate = np.array([7] * 500 + [9] * 3)
+    place = np.concatenate([np.arange(500), [0, 4, 999]])
+    draws = np.concatenate([np.full(500, 2), [1, 5, 1]])
+    (batch,) = metrics._score_counts(values)(replicate, place, draws)
+    got = {r["replicate"]: r["counts"] for r in batch.to_pylist()}
+    assert len([c for c in got[7] if c["model"] == "a"]) == 4 and len(got[7]) == 504
+    assert sum(c["pos"] + c["neg"] for c in got[7] if c["model"] == "a") == 1000
+    own = sorted((c["model"], c["score"], c["pos"], c["neg"]) for c in got[9])
+    assert own == [
+        ("a", 0.0, 1, 5), ("a", 3.0, 1, 0),
+        ("b", 0.0, 1, 0), ("b", 0.004, 0, 5), ("b", 0.999, 1, 0),
+    ]
+
+
+def test_neighbours_share_a_digest():
+    from hashlib import md5
+
+    replicates, nodes = np.array([1, 1, 1, 1, 2, 2]), np.array([2, 3, 4, 7, 4, 5])
+    got = sampling.split_uniforms(42, replicates, 5, nodes)
+    for r, v, u in zip(replicates, nodes, got, strict=True):
+        text = md5(f"42|split|{r}|5|{v >> 1}".encode()).hexdigest()
+        assert u == int(text[15 * (v & 1) :][:15], 16) / float(1 << 60)
+
+
 def test_spearman_with_ties_and_constants(spark):
     rng = np.random.default_rng(1)
     x = np.where(rng.random(400) < 0.35, 0.0, np.round(rng.random(400), 1))
