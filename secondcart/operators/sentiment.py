@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,6 +21,7 @@ from secondcart.operators.models import run_parallel
 from secondcart.operators.sampling import stratified_folds
 
 TEXT_FEATURES = 1 << 15
+ROWS_PER_PARTITION = 20_000
 OUTPUT_COLUMNS = [
     "review_id", "order_id", "review_score", "review_creation_date", "has_text",
     "prob_neg", "prob_neu", "prob_pos", "sentiment_label", "fold",
@@ -53,6 +55,14 @@ def hashed_words(rows: DataFrame) -> DataFrame:
     return counts.transform(words.transform(rows)).drop("words")
 
 
+def word_table(labelled: DataFrame) -> DataFrame:
+    """The hashed words of ``labelled`` with all columns but the texts, which the fits do not read,
+    in partitions of a bounded number of rows, however large the source's splits are."""
+    partitions = max(1, math.ceil(labelled.count() / ROWS_PER_PARTITION))
+    rows = hashed_words(labelled).drop("text", "review_comment_title", "review_comment_message")
+    return rows.repartition(partitions, "review_id")
+
+
 def bag_of_words_scorer(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Multinomial logistic regression on inversely weighted words; the length of a text is
     divided out."""

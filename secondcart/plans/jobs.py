@@ -25,9 +25,9 @@ from secondcart.operators.caching import persisted, small_table
 from secondcart.operators.quality import assert_golden, assert_not_null
 from secondcart.operators.sentiment import (
     cross_fit,
-    hashed_words,
     sentiment_table,
     with_review_text,
+    word_table,
 )
 from secondcart.plans.study import (
     ITEM_ORDER,
@@ -190,8 +190,8 @@ def regression_job(
 def sentiment_job(reviews: DataFrame, out: str, config: Config = Config()) -> None:
     """Cross-fitted sentiment of every review with a text; writes the table and its quality."""
     with_text = with_review_text(reviews)
-    with persisted(hashed_words(with_text.where("has_text = 1"))) as labelled:
-        scored = cross_fit(labelled, config.text_folds, config.seed).drop("text", "counts")
+    with persisted(word_table(with_text.where("has_text = 1"))) as labelled:
+        scored = cross_fit(labelled, config.text_folds, config.seed).drop("counts")
         scored = materialize(scored, "sentiment-scores")
     write_table(sentiment_table(with_text, scored), f"{out}/sentiment")
     write_result(metrics.classification_report(scored, POLARITY_NAMES), f"{out}/sentiment_report")

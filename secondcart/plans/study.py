@@ -259,9 +259,9 @@ class Study:
     @cached_property
     def text_scores(self) -> DataFrame:
         labelled = self.reviews().where("has_text = 1")
-        with persisted(sentiment.hashed_words(labelled)) as rows:
+        with persisted(sentiment.word_table(labelled)) as rows:
             scored = sentiment.cross_fit(rows, self.config.text_folds, self.config.seed)
-            return materialize(scored.drop("text", "counts"), "text-scores")
+            return materialize(scored.drop("counts"), "text-scores")
 
     def sentiment_table(self) -> DataFrame:
         return sentiment.sentiment_table(self.reviews(), self.text_scores)

@@ -49,6 +49,19 @@ def reviews(spark):
     return sentiment.with_review_text(df)
 
 
+def test_fits_keep_words_and_no_texts(reviews, monkeypatch):
+    """What the fits hold has no text, and its partitions grow in number, not in size."""
+    monkeypatch.setattr(sentiment, "ROWS_PER_PARTITION", 20)
+    labelled = reviews.where("has_text = 1").coalesce(1)
+    words = sentiment.word_table(labelled)
+    assert not {"text", "review_comment_title", "review_comment_message"} & set(words.columns)
+    assert words.rdd.getNumPartitions() == -(-labelled.count() // 20)
+    kept = [c for c in labelled.columns if c in words.columns and c != "review_creation_date"]
+    got = sorted(map(tuple, words.select(*kept, "counts").collect()))
+    want = sentiment.hashed_words(labelled).select(*kept, "counts")
+    assert got == sorted(map(tuple, want.collect()))
+
+
 def test_cross_fit_scores_each_text_once(reviews):
     labelled = reviews.where("has_text = 1")
     scored = sentiment.cross_fit(labelled, 2, 42).cache()
