@@ -371,6 +371,12 @@ def near_links(distinct: DataFrame, n: int) -> DataFrame:
     )
 
 
+def fingerprint_components(nodes: DataFrame) -> DataFrame:
+    """``(node, component)`` of the different fingerprints ``fp`` that link to a smaller one."""
+    links = materialize(near_links(nodes.select("fp"), nodes.count()).distinct(), "links")
+    return components(links)
+
+
 def near_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Near-duplicate group of every row: doc_id, fingerprint, component_id.
 
@@ -387,8 +393,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     nodes = materialize(
         marked.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "nodes"
     )
-    links = materialize(near_links(nodes.select("fp"), nodes.count()).distinct(), "links")
-    groups = components(links)
+    groups = fingerprint_components(nodes)
     in_group = nodes.join(groups, nodes["fp"] == groups["node"], "left").select(
         "fp", "n", "first", F.coalesce("component", "fp").alias("component")
     )

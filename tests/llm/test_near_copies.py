@@ -125,3 +125,33 @@ def test_rows_without_own_ids(spark):
     docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
     kept = [r.text for r in STAGE(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([text, "other words", None], key=str)
+
+
+def test_simhash_brings_texts_together(spark, monkeypatch):
+    """Near copies within four bits are found where no MinHash band says anything."""
+    rng = np.random.default_rng(5)
+    base = [[f"w{k}" for k in rng.integers(0, 3000, 8000)] for _ in range(4)]
+    rows = []
+    for k in range(40):
+        words = list(base[k % 4])
+        words[1000 + k] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    marks = simhash.fold(*simhash.shingle_hashes(pa.array([t for _, t in rows])))
+    far = [bin(int(marks[k] ^ marks[k % 4])).count("1") for k in range(40)]
+    assert max(far) <= simhash.RADIUS and max(far) > 0
+
+    def own_keys(signs):
+        return np.random.default_rng().integers(0, 1 << 63, (len(signs), 25)).astype(np.uint64)
+
+    monkeypatch.setattr(near_copies, "band_keys", own_keys)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in STAGE(spark, docs, "").collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("chunk", [near_copies.CHUNK, 2])
+def test_equal_fingerprints_are_compared_exactly(spark, monkeypatch, rows, chunk):
+    """Texts that are far apart stay, even if all have the same fingerprint."""
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "fold", lambda h, o: np.zeros(len(o) - 1, np.uint64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in STAGE(spark, docs, "").collect()) == plain_kept(rows)
