@@ -155,3 +155,15 @@ def test_equal_fingerprints_are_compared_exactly(spark, monkeypatch, rows, chunk
     monkeypatch.setattr(near_copies, "fold", lambda h, o: np.zeros(len(o) - 1, np.uint64))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(r.doc_id for r in STAGE(spark, docs, "").collect()) == plain_kept(rows)
+
+
+def test_a_cut_group_of_fingerprints_is_compared_whole(spark, monkeypatch):
+    """Texts that share nothing but their fingerprint link over all chunks, not only inside one."""
+    monkeypatch.setattr(near_copies, "CHUNK", 2)
+    text = " ".join(f"w{k}" for k in range(30))
+    marks = spark.createDataFrame(
+        [(k, 26, 7, [100 + k]) for k in range(12)], "node long, size long, fp long, keys array<long>"
+    )
+    texts = spark.createDataFrame([(k, text) for k in range(12)], "id long, text string")
+    found = near_copies.near_components(marks, texts).collect()
+    assert sorted((r["node"], r["component"]) for r in found) == [(k, 0) for k in range(1, 12)]
