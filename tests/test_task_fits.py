@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from secondcart.config import Config
 from secondcart.functions.hashing import hash32
 from secondcart.operators import deep_forest, metrics, models, parzen, task_fits
+from secondcart.plans.queries import QUERY_CONFIG
 
 COLUMNS = ["x0", "x1", "x2"]
 CONFIG = replace(Config(), cv_folds=3, bootstrap_replicates=20)
@@ -101,6 +102,17 @@ def test_repeated_and_missing_ids_have_a_score_each(train):
     assert found.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def test_no_query_has_fewer_trees_trials_or_folds(train):
+    """Base models grew a tenth of their trees in the queries, searched ones a fiftieth."""
+    assert QUERY_CONFIG == Config()
+    trees = [s.ensemble.trees for s in models.base_models(COLUMNS, COLUMNS, QUERY_CONFIG)[1:]]
+    assert trees == [300, 300, 300]
+    for space in models.SEARCH_SPACES:
+        own = space.ranges["trees"]
+        drawn = [t["trees"] for t in models.draw_trials(space, QUERY_CONFIG)]
+        assert len(drawn) == 30 and own.low <= min(drawn) and max(drawn) <= own.high
+
+
 def test_every_trial_is_scored_on_all_folds_with_all_trees(train, monkeypatch):
     """The search went by one fold and a quarter of the trees for most of its trials."""
     seen = []
