@@ -113,7 +113,7 @@ def test_no_query_has_fewer_trees_trials_or_folds(train):
         assert len(drawn) == 30 and own.low <= min(drawn) and max(drawn) <= own.high
 
 
-def test_every_trial_is_scored_on_all_folds_with_all_trees(train, monkeypatch):
+def test_every_trial_is_scored_on_all_folds_with_all_trees(train, tmp_path, monkeypatch):
     """The search went by one fold and a quarter of the trees for most of its trials."""
     seen = []
     plain = models.oof_scores
@@ -124,6 +124,8 @@ def test_every_trial_is_scored_on_all_folds_with_all_trees(train, monkeypatch):
 
     monkeypatch.setattr(models, "oof_scores", watched)
     monkeypatch.setattr(parzen, "STARTUP", 3)
+    # Where no step of an earlier run is found.
+    monkeypatch.setattr(models, "shared_folder", lambda spark: str(tmp_path))
     space = models.SEARCH_SPACES[0]
     config = replace(SMALL, search_trials=5)
     table = models.coded_for_search(train, COLUMNS, config)
